@@ -19,6 +19,20 @@ from skinnyqr.operators.tsqr import (
     tall_skinny_qr,
     tall_skinny_r,
 )
+from skinnyqr.operators.ssvd import (
+    SSVDResult,
+    at_times_q,
+    gram_matrix,
+    random_projection,
+    stochastic_svd,
+)
+from skinnyqr.operators.recommend import (
+    recommend,
+    recommend_split,
+    score_pairs,
+)
+from skinnyqr.operators.topn import merge_topn, top_n
+
 __all__ = [
     "QRResult",
     "SSVDResult",
