@@ -1,0 +1 @@
+"""Distributed operators: TSQR, stochastic SVD, recommender, top-n, text."""

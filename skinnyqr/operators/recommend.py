@@ -206,14 +206,17 @@ def score_pairs(
     item: str = "item_id",
     u_col: str = "u",
     v_col: str = "v",
+    power: int = 3,
 ) -> DataFrame:
-    """Scores u diag(sigma^3) v^t at the given (user, item) pairs only.
+    """Scores u diag(sigma^power) v^t at the given (user, item) pairs only.
 
-    Two equi-joins and a JVM-side dot product: the cost is linear in the
+    power=3 gives the recommender's scores, power=1 the reconstruction
+    U Sigma V^t, power=0 the product of half-sigma factors.  Two
+    equi-joins and a JVM-side dot product: the cost is linear in the
     number of pairs, never users x items.
     """
     k = len(v.select(v_col).first()[0]) if v.take(1) else 0
-    s3 = [float(x) for x in _sigma_cubed(sigma, k)]
+    s3 = [float(x) ** power for x in np.asarray(sigma, dtype=np.float64)[:k]]
     s3_col = F.array(*[F.lit(x) for x in s3])
     uu = u.select(user, F.zip_with(F.col(u_col).cast("array<double>"), s3_col, lambda a, b: a * b).alias("_u3"))
     vv = v.select(item, F.col(v_col).cast("array<double>").alias("_v"))
