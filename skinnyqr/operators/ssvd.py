@@ -202,16 +202,15 @@ def stochastic_svd(
     kp = k + p
     held: list[DataFrame] = []
     a = ratings.select(F.col(user), F.col(item), F.col(rating).cast("double").alias(rating))
-    y = materialize(random_projection(a, kp, seed, user, item, rating, omega_table))
+    y = materialize(random_projection(a, kp, seed, user, item, rating, omega_table), eager=False)
     held.append(y)
     qr = tall_skinny_qr(y, user, "y", block_rows=block_rows, schedule=schedule)
-    q = materialize(qr.q.select(user, "q"))
+    q = materialize(qr.q.select(user, "q"), eager=False)
     held.append(q)
     held.extend(qr._held)
     # Q has min(#users, kp) columns
-    first = q.select(F.size("q").alias("w")).take(1)
-    width = int(first[0]["w"]) if first else 0
-    bt = materialize(at_times_q(a, q, width, user, item, rating))
+    width = qr.width
+    bt = materialize(at_times_q(a, q, width, user, item, rating), eager=False)
     held.append(bt)
     g = gram_matrix(bt, "b", width)
     sigma, uhat = sym_eig_desc(g)

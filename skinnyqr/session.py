@@ -35,7 +35,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/skinnyqr-{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, reliable: bool = False) -> DataFrame:
+def materialize(df: DataFrame, reliable: bool = False, eager: bool = True) -> DataFrame:
     """Compute ``df`` once and keep it.
 
     Small intermediate results (R factors, slices, Gram pieces) are
@@ -43,6 +43,8 @@ def materialize(df: DataFrame, reliable: bool = False) -> DataFrame:
     only the lost partitions from lineage.  With ``reliable=True`` and a
     checkpoint folder configured, the result is checkpointed instead,
     which cuts the lineage (used where recomputation would be costly).
+    With ``eager=False`` the data is only marked for persistence and is
+    computed by the first job that reads it.
     """
     spark = df.sparkSession
     ship_package(spark)
@@ -52,7 +54,8 @@ def materialize(df: DataFrame, reliable: bool = False) -> DataFrame:
             sc.setCheckpointDir(checkpoint_dir(spark))
         return df.checkpoint(eager=True)
     out = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out.count()
+    if eager:
+        out.count()
     return out
 
 
