@@ -64,7 +64,7 @@ def q_block_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rating_lines(spark, sf_dir) -> DataFrame:
-    ev = rating_events(spark, sf_dir)
+    ev = rating_events(spark, sf_dir, spread_rows=True)
     # three delimiter styles the parser accepts, chosen per line
     sep = F.when(F.pmod(F.col("l_linenumber"), F.lit(3)) == 0, F.lit(","))\
         .when(F.pmod(F.col("l_linenumber"), F.lit(3)) == 1, F.lit("::")).otherwise(F.lit("\t"))

@@ -7,13 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-# tables large enough that per-row CPU work should use every core
-_SPREAD = {"lineitem", "documents", "events"}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = False) -> DataFrame:
+    """A driver table; ``spread_rows`` for queries with heavy per-row work (see :func:`spread`)."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if name in _SPREAD else df
+    return spread(df) if spread_rows else df
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -35,13 +32,13 @@ def brand_number(col: str = "p_brand"):
     return F.substring(F.col(col), 7, 16).cast("long")
 
 
-def rating_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rating_events(spark: SparkSession, sf_dir: str, spread_rows: bool = False) -> DataFrame:
     """One (customer, brand, quantity) triple per line item.
 
     lineitem joins orders on the order key and part on the part key;
     only the four needed columns are read (the scans prune the rest).
     """
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
+    li = table(spark, sf_dir, "lineitem", spread_rows).select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     return (
