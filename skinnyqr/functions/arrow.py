@@ -25,12 +25,12 @@ def list_to_matrix(arr, width: int | None = None) -> np.ndarray:
     if values.null_count:
         raise ValueError("matrix entries must not be NULL")
     flat = values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    n = flat.size // m
-    if width is not None and n != width:
-        raise ValueError(f"expected rows of length {width}, got {flat.size / m}")
-    offsets = arr.offsets.to_numpy()
-    if flat.size != m * n or not np.array_equal(np.diff(offsets), np.full(m, n)):
+    lengths = np.diff(arr.offsets.to_numpy())
+    n = int(lengths[0])
+    if not np.all(lengths == n):
         raise ValueError("all matrix rows must have the same length")
+    if width is not None and n != width:
+        raise ValueError(f"all matrix rows must have the same length (expected {width}, got {n})")
     return flat.reshape(m, n)
 
 
@@ -40,6 +40,7 @@ def ragged_to_matrices(arr, heights, widths) -> list[np.ndarray]:
         arr = arr.combine_chunks() if arr.num_chunks != 1 else arr.chunk(0)
     flat = arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     offsets = arr.offsets.to_numpy()
+    offsets = offsets - offsets[0]  # flatten() starts at the first offset of a sliced array
     out = []
     for i, (h, w) in enumerate(zip(heights, widths)):
         out.append(flat[offsets[i] : offsets[i + 1]].reshape(int(h), int(w)))

@@ -77,15 +77,22 @@ def dedupe_ratings(df: DataFrame, how: str = "sum", order_col: str | None = None
     return df.groupBy(user, item).agg(agg.alias(rating))
 
 
-def user_rows(df: DataFrame, user: str = "user_id", item: str = "item_id", rating: str = "rating") -> DataFrame:
-    """A1: one sparse row per user, ``items ARRAY<STRUCT<item_id, rating>>`` sorted by item.
-
-    A user's row holds that user's ratings only (bounded by the item
-    count); use the COO form directly for the matrix operators.
+def user_rows(df: DataFrame, user: str = "user_id", item: str = "item_id", rating: str = "rating",
+              segments: int = 1) -> DataFrame:
+    """A1: sparse rows per user, ``items ARRAY<STRUCT<item_id, rating>>`` sorted by item.
+
+    With ``segments=1`` each user has one row.  A row holds one user's
+    ratings, so its size is bounded by the item count; when that is too
+    large for one row, ``segments > 1`` splits every user's ratings by a
+    hash of the item into that many rows ``(user, segment, items)`` -
+    exact, nothing dropped.  The matrix operators use the COO form
+    directly and never need these rows.
     """
-    return df.groupBy(user).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(item).alias("item_id"), F.col(rating).alias("rating")))).alias("items")
-    )
+    entry = F.struct(F.col(item).alias("item_id"), F.col(rating).alias("rating"))
+    if segments <= 1:
+        return df.groupBy(user).agg(F.array_sort(F.collect_list(entry)).alias("items"))
+    seg = F.pmod(F.xxhash64(F.col(item)), F.lit(int(segments))).alias("segment")
+    return df.groupBy(user, seg).agg(F.array_sort(F.collect_list(entry)).alias("items"))
 
 
 def user_row_text(rows: DataFrame, user: str = "user_id") -> DataFrame:

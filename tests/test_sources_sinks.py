@@ -109,3 +109,10 @@ def test_text_contains_count(spark):
     assert (r["lines_with_a"], r["lines_with_b"]) == (2, 2)
     r2 = count_lines_containing(df.select(F.col("text")), ("a",), split_lines=False).first()
     assert r2["lines_with_a"] == 2
+
+
+def test_user_rows_segments_lossless(spark):
+    df = spark.createDataFrame([(1, i, float(i)) for i in range(50)], "user_id long, item_id long, rating double")
+    rows = user_rows(df, segments=4).collect()
+    assert len(rows) <= 4 and all(r["user_id"] == 1 for r in rows)
+    assert sorted(e["item_id"] for r in rows for e in r["items"]) == list(range(50))

@@ -113,9 +113,12 @@ def test_empty_input_raises(spark):
 
 
 def test_ragged_rows_raise(spark):
+    # checked inside the block kernels, so the error surfaces when Q is computed
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0])], "row_id long, v array<double>")
-    with pytest.raises(ValueError):
-        tall_skinny_qr(df, "row_id", "v")
+    with pytest.raises(Exception, match="same length"):
+        tall_skinny_qr(df, "row_id", "v").q.collect()
+    with pytest.raises(Exception, match="same length|expected rows"):
+        tall_skinny_r(df, "v").collect()
 
 
 def test_residual_zero_and_detects_sign_errors(spark):
