@@ -104,8 +104,9 @@ def recommend(
     threshold = _check_threshold(threshold)
     spark = u.sparkSession
     ship_package(spark)
-    k = len(v.select(v_col).first()[0]) if v.take(1) else 0
-    n_items = v.count()
+    # one pass: item count and factor width, checked before anything is collected
+    stats = v.agg(F.count(F.lit(1)).alias("m"), F.max(F.size(v_col)).alias("k")).first()
+    n_items, k = int(stats["m"]), int(stats["k"] or 0)
     if n_items * (k * 8 + 16) > max_broadcast_bytes:
         # V is not provably small: score against hashed parts of V instead
         parts = math.ceil(n_items * (k * 8 + 16) / max_broadcast_bytes)

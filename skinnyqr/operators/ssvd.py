@@ -204,7 +204,7 @@ def stochastic_svd(
     a = ratings.select(F.col(user), F.col(item), F.col(rating).cast("double").alias(rating))
     y = materialize(random_projection(a, kp, seed, user, item, rating, omega_table), eager=False)
     held.append(y)
-    qr = tall_skinny_qr(y, user, "y", block_rows=block_rows, schedule=schedule)
+    qr = tall_skinny_qr(y, user, "y", block_rows=block_rows, schedule=schedule, n=kp)
     q = materialize(qr.q.select(user, "q"), eager=False)
     held.append(q)
     held.extend(qr._held)
