@@ -34,7 +34,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skinnyqr.functions.arrow import list_to_matrix
-from skinnyqr.functions.columns import array_dot
 from skinnyqr.functions.kernels import topn_rows
 from skinnyqr.operators.topn import top_n
 from skinnyqr.operators.tsqr import _to_arrow
@@ -216,14 +215,17 @@ def score_pairs(
     equi-joins and a JVM-side dot product: the cost is linear in the
     number of pairs, never users x items.
     """
-    k = len(v.select(v_col).first()[0]) if v.take(1) else 0
-    s3 = [float(x) ** power for x in np.asarray(sigma, dtype=np.float64)[:k]]
-    s3_col = F.array(*[F.lit(x) for x in s3])
-    uu = u.select(user, F.zip_with(F.col(u_col).cast("array<double>"), s3_col, lambda a, b: a * b).alias("_u3"))
+    first = v.select(F.size(v_col).alias("k")).take(1)
+    k = int(first[0]["k"]) if first else 0
+    sp = [float(x) ** power for x in np.asarray(sigma, dtype=np.float64)[:k]]
+    uu = u.select(user, F.col(u_col).cast("array<double>").alias("_u"))
     vv = v.select(item, F.col(v_col).cast("array<double>").alias("_v"))
+    # a fixed-length sum of products keeps the projection inside whole-stage codegen
+    terms = [F.col("_u")[c] * F.col("_v")[c] * F.lit(sp[c]) for c in range(k)]
+    score = sum(terms[1:], terms[0]) if terms else F.lit(0.0)
     return (
         pairs.select(user, item)
         .join(uu, user)
         .join(vv, item)
-        .select(user, item, array_dot(F.col("_u3"), F.col("_v")).alias("score"))
+        .select(user, item, score.alias("score"))
     )
