@@ -40,6 +40,8 @@ from skinnyqr.operators.tsqr import _to_arrow
 from skinnyqr.session import ship_package
 
 DEFAULT_MAX_BROADCAST_BYTES = 256 << 20
+# factor bytes per (user block, V part) co-group side in the split plan
+GROUP_BYTES = 128 << 20
 # users x items scores computed at a time inside one task
 SCORE_CELLS_PER_CHUNK = 4 << 20
 
@@ -143,24 +145,34 @@ def recommend_split(
     item: str = "item_id",
     u_col: str = "u",
     v_col: str = "v",
-    n_splits: int = 2,
-    user_block_rows: int = 4096,
+    n_splits: int | None = 2,
+    user_block_rows: int | None = None,
     keep_empty: bool = True,
 ) -> DataFrame:
     """Top-n items per user, split-V plan.
 
-    V is hashed into ``n_splits`` parts, U into blocks of about
-    ``user_block_rows`` users.  Each (user block, V part) co-group holds
-    one block of U and one part of V, so task memory is bounded by the
-    two parameters, not by the data.  With ``keep_empty`` every user of
-    U appears, users without any kept item with NULL item/score/rank.
+    V is hashed into ``n_splits`` parts (None: parts of about
+    ``GROUP_BYTES``), U into blocks of about ``user_block_rows`` users
+    (None: blocks of about ``GROUP_BYTES``).  Each (user block, V part)
+    co-group holds one block of U and one part of V, so task memory is
+    bounded by these sizes, not by the data.  U is shipped once per V part
+    and V once per user block; sizing blocks by bytes keeps the number of
+    V copies near the number of task slots rather than growing with the
+    user count.  With ``keep_empty`` every user of U appears, users
+    without any kept item with NULL item/score/rank.
     """
     threshold = _check_threshold(threshold)
     spark = u.sparkSession
     ship_package(spark)
+    vstats = v.agg(F.count(F.lit(1)).alias("m"), F.max(F.size(v_col)).alias("k")).first()
+    n_items, k = int(vstats["m"]), int(vstats["k"] or 0)
+    row_bytes = k * 8 + 16
+    if n_splits is None:
+        n_splits = max(1, math.ceil(n_items * row_bytes / GROUP_BYTES))
     if n_splits < 1:
         raise ValueError("n_splits must be >= 1")
-    k = len(v.select(v_col).first()[0]) if v.take(1) else 0
+    if user_block_rows is None:
+        user_block_rows = max(1, GROUP_BYTES // row_bytes)
     n_users = u.count()
     n_blocks = max(1, math.ceil(n_users / max(1, user_block_rows)))
     s3 = _sigma_cubed(sigma, k)

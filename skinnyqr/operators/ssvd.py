@@ -185,7 +185,7 @@ def stochastic_svd(
     compute_v: bool = True,
     u_half_sigma: bool = False,
     v_half_sigma: bool = False,
-    block_rows: int = 4096,
+    block_rows: int | None = None,
     schedule=None,
     omega_table: DataFrame | None = None,
 ) -> SSVDResult:

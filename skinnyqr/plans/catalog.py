@@ -228,7 +228,7 @@ def q_recommend_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_recommend_topn_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, res = _svd(spark, sf_dir)
     rec = recommend_split(res.u, res.v, res.sigma, n=TOP_N, threshold=SPLIT_THRESHOLD, n_splits=2,
-                          user_block_rows=512, keep_empty=True)
+                          keep_empty=True)
     return _rec_out(rec, 9)
 
 

@@ -31,7 +31,7 @@ from skinnyqr.sources.ratings import dedupe_ratings, read_ratings_text
 from skinnyqr.sources.synthetic import random_r_blocks
 
 
-def qr_text_job(spark: SparkSession, input_path: str, output_path: str, block_rows: int = 4096,
+def qr_text_job(spark: SparkSession, input_path: str, output_path: str, block_rows: int | None = None,
                 schedule=None, id_mode: str = "generated") -> QRResult:
     """Read a dense text matrix, factor it (direct TSQR) and save Q as Parquet."""
     a = read_dense_text(spark, input_path, id_mode=id_mode)
@@ -42,7 +42,7 @@ def qr_text_job(spark: SparkSession, input_path: str, output_path: str, block_ro
 
 def ssvd_job(spark: SparkSession, input_path: str, output_path: str, k: int, p: int = 15,
              seed: int | None = None, u_half_sigma: bool = False, v_half_sigma: bool = False,
-             compute_u: bool = True, compute_v: bool = True, block_rows: int = 4096, schedule=None,
+             compute_u: bool = True, compute_v: bool = True, block_rows: int | None = None, schedule=None,
              dedupe: str = "sum") -> SSVDResult:
     """Rating text -> stochastic SVD -> U, V and sigma saved under ``output_path``."""
     ratings = dedupe_ratings(read_ratings_text(spark, input_path), how=dedupe)
@@ -55,7 +55,7 @@ def ssvd_job(spark: SparkSession, input_path: str, output_path: str, k: int, p:
 
 def recommend_job(spark: SparkSession, input_path: str, output_path: str, k: int, p: int = 15,
                   n: int = 10, threshold: float = 1.0, n_splits: int | None = None,
-                  factors_path: str | None = None, block_rows: int = 4096, dedupe: str = "sum") -> DataFrame:
+                  factors_path: str | None = None, block_rows: int | None = None, dedupe: str = "sum") -> DataFrame:
     """Rating text -> SVD -> top-n per user, written as ``user<TAB>[item:score,...,]`` text.
 
     ``n_splits=None`` uses the small-V plan (users without items are
