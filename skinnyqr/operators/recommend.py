@@ -179,17 +179,19 @@ def recommend_split(
     schema = _out_schema(u.schema[user], v.schema[item])
     out_schema = _to_arrow(schema)
 
+    # co-group keys must have identical types on both sides: the two sides
+    # are hash-partitioned independently, and INT and BIGINT hash differently
     u_rep = u.select(
         user,
         F.col(u_col).cast("array<double>").alias("_u"),
-        F.pmod(F.xxhash64(F.col(user)), F.lit(n_blocks)).alias("_ub"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))).alias("_vp"),
+        F.pmod(F.xxhash64(F.col(user)), F.lit(n_blocks)).cast("long").alias("_ub"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_splits - 1).cast("long"))).alias("_vp"),
     )
     v_rep = v.select(
         item,
         F.col(v_col).cast("array<double>").alias("_v"),
-        F.pmod(F.xxhash64(F.col(item)), F.lit(n_splits)).alias("_vp"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("_ub"),
+        F.pmod(F.xxhash64(F.col(item)), F.lit(n_splits)).cast("long").alias("_vp"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("_ub"),
     )
 
     def fn(ut: pa.Table, vt: pa.Table) -> pa.Table:

@@ -176,3 +176,25 @@ def test_top_n_and_merge(spark):
         mine = sorted([r for r in rows if r[0] == uu], key=lambda r: (-r[2], r[1]))[:4]
         got = sorted([r for r in full.collect() if r["user_id"] == uu], key=lambda r: r["rank"])
         assert [r[1] for r in mine] == [r["event_id"] for r in got]
+
+
+def test_split_plan_with_many_partitions(spark, small):
+    # regression: co-group sides must be co-partitioned when AQE cannot
+    # coalesce everything into one partition
+    rows, df = small
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        res = stochastic_svd(df.repartition(8), k=8, p=0, block_rows=8)
+        u, v = _uv(res)
+        s3 = res.sigma[:8] ** 3
+        items = sorted(v)
+        scores = {uu: [u[uu] @ (s3 * v[i]) for i in items] for uu in u}
+        expect = _brute_topn(scores, items, 2, 1.0)
+        got = {}
+        rec = recommend_split(res.u.repartition(8), res.v, res.sigma, n=2, threshold=1.0, n_splits=3, user_block_rows=5)
+        for r in rec.orderBy("user_id", "rank").collect():
+            if r["item_id"] is not None:
+                got.setdefault(r["user_id"], []).append(r["item_id"])
+        assert got == expect
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
