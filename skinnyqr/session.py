@@ -77,6 +77,10 @@ def ship_package(spark: SparkSession) -> None:
     key = sc.applicationId
     if key in _SHIPPED:
         return
+    if sc.getConf().get("spark.skinnyqr.shipPackage", "true").lower() == "false":
+        # the package is installed on the executors already (or passed with --py-files)
+        _SHIPPED.add(key)
+        return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg_dir)
     fd, path = tempfile.mkstemp(prefix="skinnyqr-", suffix=".zip")

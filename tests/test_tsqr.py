@@ -142,3 +142,25 @@ def test_combine_random_triangles_same_r(spark, schedule):
     assert all(((m >= 0) & (m < 1)).all() for m in mats)
     r = _r_of(combine_r(blocks, 6, schedule=schedule), 6)
     assert np.allclose(r, _ref_r(np.vstack(mats)))
+
+
+def test_grouped_r_many_groups_flushes_partials(spark, monkeypatch):
+    import skinnyqr.operators.tsqr as T
+
+    # a tiny budget and small Arrow batches force many flushes per task
+    monkeypatch.setattr(T, "PARTIAL_BYTES", 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    rng = np.random.default_rng(9)
+    rows = [(int(i % 40), float(x), float(y), float(z)) for i, (x, y, z) in enumerate(rng.normal(size=(2000, 3)))]
+    df = spark.createDataFrame(rows, "g int, x double, y double, z double").repartition(3)
+    try:
+        cells = tall_skinny_r(df, ["x", "y", "z"], by=["g"], fanin=3).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for g in (0, 17, 39):
+        a = np.array([[x, y, z] for gg, x, y, z in rows if gg == g])
+        r = np.zeros((3, 3))
+        for c in cells:
+            if c["g"] == g:
+                r[c["i"], c["j"]] = c["r"]
+        assert np.allclose(r, _ref_r(a))
