@@ -7,23 +7,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = False) -> DataFrame:
-    """A driver table; ``spread_rows`` for queries with heavy per-row work (see :func:`spread`)."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if spread_rows else df
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table (Parquet; projections and filters are pushed into the scan)."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin repartition only when a scan has fewer splits than cores.
+def spread(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """Repartition only when a scan has fewer splits than cores.
 
     A file written as a single row group is read by one task; spreading
     it lets the per-row work that follows use the whole cluster.  Large
     inputs already have at least as many splits as cores, so this is a
-    no-op for them (no extra shuffle at scale).
+    no-op for them (no extra shuffle at scale).  Rows are hash-partitioned
+    on ``cols`` (deterministic on retry, no sort); pass only the columns
+    the query needs so the scan stays pruned.
     """
     par = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() * 2 <= par:
-        return df.repartition(par)
+        return df.repartition(par, *(cols or df.columns))
     return df
 
 
@@ -38,7 +39,10 @@ def rating_events(spark: SparkSession, sf_dir: str, spread_rows: bool = False) -
     lineitem joins orders on the order key and part on the part key;
     only the four needed columns are read (the scans prune the rest).
     """
-    li = table(spark, sf_dir, "lineitem", spread_rows).select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
+    li_cols = ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity"]
+    li = table(spark, sf_dir, "lineitem").select(*li_cols)
+    if spread_rows:
+        li = spread(li, li_cols)
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     return (

@@ -177,3 +177,12 @@ def test_recompute_after_lost_cache_gives_same_q(spark):
     q2 = _q_of(res, 300)
     assert np.allclose(q1, q2, atol=1e-13)
     assert np.allclose(q2 @ res.r_matrix(), a)
+
+
+def test_sign_blind_residual_misses_sign_errors(spark):
+    a = np.random.default_rng(11).normal(size=(50, 3))
+    d = _dense(spark, a)
+    res = tall_skinny_qr(d, "row_id", "v", block_rows=10)
+    flipped = res.q.select("row_id", F.transform("q", lambda x: -x).alias("q"))
+    blind = qr_residual(d, flipped, res.r_matrix(), "row_id", "v", how="sum", sign_blind=True).first()["residual"]
+    assert blind < 1e-12
