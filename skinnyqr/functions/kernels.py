@@ -100,41 +100,35 @@ def topn_rows(scores: np.ndarray, items: np.ndarray, n: int, threshold: float):
     """Per-row top-n of a score block.
 
     ``scores`` is users x items.  Keeps entries with score > threshold
-    that are not NaN, orders by score descending then item ascending,
+    (NaN never passes), orders by score descending then item ascending,
     and returns ``(row_index, item, score / threshold, rank)`` arrays
-    (rank starts at 1).  Only n entries per row are ever materialised
-    beyond the score block itself.
+    (rank starts at 1).  Work is a few linear passes over the block plus
+    a sort of about n candidates per row; every entry tied with a row's
+    n-th best value is a candidate, so ties are broken by item exactly.
     """
     m, k = scores.shape
     if m == 0 or k == 0 or n <= 0:
         e = np.zeros(0)
         return e.astype(np.int64), e.astype(np.int64), e, e.astype(np.int32)
-    # order items ascending once so that a stable sort breaks ties by item
-    iorder = np.argsort(items, kind="stable")
-    items = items[iorder]
-    s = scores[:, iorder]
-    keep = (s > threshold) & ~np.isnan(s)
-    key = np.where(keep, s, -np.inf)
+    key = np.where(scores > threshold, scores, -np.inf)
     if k > n:
-        # candidates: top-n by value (ties at the cut handled by the stable sort below)
-        part = np.argpartition(-key, n - 1, axis=1)[:, :n]
+        part = np.argpartition(key, k - n, axis=1)[:, k - n:]
         kth = np.take_along_axis(key, part, axis=1).min(axis=1)
-        # include every entry equal to the n-th value so tie-breaking by item is exact
-        cand_mask = key >= kth[:, None]
+        # rows with fewer than n kept entries: keep all finite ones
+        kth = np.where(np.isneginf(kth), np.finfo(np.float64).min, kth)
+        rows, cols = np.nonzero(key >= kth[:, None])
     else:
-        cand_mask = np.ones_like(key, dtype=bool)
-    cand_mask &= keep
-    rows, cols = np.nonzero(cand_mask)
-    vals = s[rows, cols]
-    # sort by row, then score desc, then item asc (cols are item-sorted)
-    order = np.lexsort((cols, -vals, rows))
-    rows, cols, vals = rows[order], cols[order], vals[order]
+        rows, cols = np.nonzero(key > -np.inf)
+    vals = key[rows, cols]
+    its = np.asarray(items)[cols]
+    order = np.lexsort((its, -vals, rows))
+    rows, its, vals = rows[order], its[order], vals[order]
     starts = np.searchsorted(rows, np.arange(m))
     rank = np.arange(rows.size) - starts[rows] + 1
     sel = rank <= n
     return (
         rows[sel].astype(np.int64),
-        items[cols[sel]].astype(np.int64),
+        its[sel].astype(np.int64),
         vals[sel] / threshold,
         rank[sel].astype(np.int32),
     )

@@ -37,13 +37,13 @@ from skinnyqr.functions.arrow import list_to_matrix
 from skinnyqr.functions.kernels import topn_rows
 from skinnyqr.operators.topn import top_n
 from skinnyqr.operators.tsqr import _to_arrow
-from skinnyqr.session import ship_package
+from skinnyqr.session import ship_package, spread
 
 DEFAULT_MAX_BROADCAST_BYTES = 256 << 20
 # factor bytes per (user block, V part) co-group side in the split plan
 GROUP_BYTES = 128 << 20
 # users x items scores computed at a time inside one task
-SCORE_CELLS_PER_CHUNK = 4 << 20
+SCORE_CELLS_PER_CHUNK = 1 << 20
 
 
 def _sigma_cubed(sigma, k: int) -> np.ndarray:
@@ -132,7 +132,8 @@ def recommend(
             if len(uu):
                 yield pa.RecordBatch.from_pydict({user: uu, item: ii, "score": ss, "rank": rr}, schema=out_schema)
 
-    return u.select(user, F.col(u_col).cast("array<double>").alias("_u")).mapInArrow(fn, schema)
+    users = spread(u.select(user, F.col(u_col).cast("array<double>").alias("_u")), [user])
+    return users.mapInArrow(fn, schema)
 
 
 def recommend_split(
@@ -171,10 +172,16 @@ def recommend_split(
         n_splits = max(1, math.ceil(n_items * row_bytes / GROUP_BYTES))
     if n_splits < 1:
         raise ValueError("n_splits must be >= 1")
-    if user_block_rows is None:
-        user_block_rows = max(1, GROUP_BYTES // row_bytes)
     n_users = u.count()
-    n_blocks = max(1, math.ceil(n_users / max(1, user_block_rows)))
+    if user_block_rows is None:
+        n_blocks = max(1, math.ceil(n_users * row_bytes / GROUP_BYTES))
+        # more blocks to fill the cores, while the extra copies of V stay
+        # cheaper than one pass over U (or 1 GB)
+        want = math.ceil(spark.sparkContext.defaultParallelism / n_splits)
+        if want > n_blocks and want * n_items * row_bytes <= max(n_users * row_bytes, 1 << 30):
+            n_blocks = want
+    else:
+        n_blocks = max(1, math.ceil(n_users / max(1, user_block_rows)))
     s3 = _sigma_cubed(sigma, k)
     schema = _out_schema(u.schema[user], v.schema[item])
     out_schema = _to_arrow(schema)

@@ -6,28 +6,14 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skinnyqr.session import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table (Parquet; projections and filters are pushed into the scan)."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Repartition only when a scan has fewer splits than cores.
-
-    A file written as a single row group is read by one task; spreading
-    it lets the per-row work that follows use the whole cluster.  Large
-    inputs already have at least as many splits as cores, so this is a
-    no-op for them (no extra shuffle at scale).  Rows are hash-partitioned
-    on ``cols`` (deterministic on retry, no sort); pass only the columns
-    the query needs so the scan stays pruned.
-    """
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() * 2 <= par:
-        return df.repartition(par, *(cols or df.columns))
-    return df
-
-
 def brand_number(col: str = "p_brand"):
     """``Brand#17`` -> 17 (the item id of the derived rating matrix)."""
     return F.substring(F.col(col), 7, 16).cast("long")
