@@ -50,7 +50,7 @@ def ratings(spark: SparkSession, sf_dir: str, persist: bool = True) -> DataFrame
     for B^t); lost blocks are recomputed from the scans.
     """
     df = (
-        rating_events(spark, sf_dir)
+        rating_events(spark, sf_dir, spread_rows=True)
         .groupBy("user_id", "item_id")
         .agg(F.sum("rating").alias("rating"))
     )
