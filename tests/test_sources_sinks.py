@@ -12,7 +12,6 @@ from skinnyqr.sources import (
     block_sizes,
     dedupe_ratings,
     dense_to_coo,
-    parse_rating_lines,
     read_dense_text,
     read_factors,
     read_ratings_text,
