@@ -186,3 +186,9 @@ def test_sign_blind_residual_misses_sign_errors(spark):
     flipped = res.q.select("row_id", F.transform("q", lambda x: -x).alias("q"))
     blind = qr_residual(d, flipped, res.r_matrix(), "row_id", "v", how="sum", sign_blind=True).first()["residual"]
     assert blind < 1e-12
+
+
+def test_duplicate_row_ids_rejected_on_request(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (0, [3.0, 4.0]), (1, [5.0, 7.0])], "row_id long, v array<double>")
+    with pytest.raises(ValueError, match="unique"):
+        tall_skinny_qr(df, "row_id", "v", check_unique=True)
