@@ -27,7 +27,30 @@ def omega(seed: int, item: Column, c: int) -> Column:
     Computed from a hash of (seed, item, c), so the matrix is never
     stored or shipped; every task regenerates exactly the entries it needs.
     """
-    return F.xxhash64(F.lit(int(seed)), item, F.lit(int(c))).cast("double") / F.lit(_TWO_POW_63)
+    return F.xxhash64(F.lit(int(seed)).cast("long"), item, F.lit(int(c))).cast("double") / F.lit(_TWO_POW_63)
+
+
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def omega_sum_array(seed: int, item: str, weight: str, kp: int) -> Column:
+    """``array(sum(weight * omega(seed, item, c)) for c < kp)`` as one aggregate expression.
+
+    Built as a single SQL expression (one parse instead of kp separate
+    column objects); the plan is the same kp partial/final sums.
+    """
+    sums = ", ".join(
+        f"sum({_q(weight)} * (cast(xxhash64({int(seed)}L, {_q(item)}, {c}) as double) / {_TWO_POW_63!r}))"
+        for c in range(kp)
+    )
+    return F.expr(f"array({sums})")
+
+
+def weighted_sum_array(weight: str, vec: str, kp: int) -> Column:
+    """``array(sum(weight * vec[c]) for c < kp)`` as one aggregate expression."""
+    sums = ", ".join(f"sum({_q(weight)} * {_q(vec)}[{c}])" for c in range(kp))
+    return F.expr(f"array({sums})")
 
 
 def clean_round(c: Column, digits: int) -> Column:

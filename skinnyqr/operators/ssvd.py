@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skinnyqr.functions.arrow import list_to_matrix, matrix_to_list
-from skinnyqr.functions.columns import omega
+from skinnyqr.functions.columns import omega_sum_array, weighted_sum_array
 from skinnyqr.functions.kernels import safe_inverse, sym_eig_desc
 from skinnyqr.operators.tsqr import _to_arrow, tall_skinny_qr
 from skinnyqr.session import materialize, ship_package
@@ -50,14 +50,11 @@ def random_projection(
     Omega explicitly, either as ``(item_id, w ARRAY<DOUBLE>)`` or in long
     form ``(item_id, c, w)``; it is joined on the item key.
     """
-    r = F.col(rating).cast("double")
+    a = ratings.select(user, item, F.col(rating).cast("double").alias("_r"))
     if omega_table is None:
-        ys = [F.sum(r * omega(seed, F.col(item), c)) for c in range(kp)]
-        return ratings.groupBy(user).agg(F.array(*ys).alias("y"))
+        return a.groupBy(user).agg(omega_sum_array(seed, item, "_r", kp).alias("y"))
     om = _omega_arrays(omega_table, kp, item)
-    joined = ratings.select(user, item, rating).join(om, item)
-    ys = [F.sum(r * F.col("_w")[c]) for c in range(kp)]
-    return joined.groupBy(user).agg(F.array(*ys).alias("y"))
+    return a.join(om, item).groupBy(user).agg(weighted_sum_array("_r", "_w", kp).alias("y"))
 
 
 def _omega_arrays(omega_table: DataFrame, kp: int, item: str) -> DataFrame:
@@ -87,8 +84,7 @@ def at_times_q(
     joined = ratings.select(user, item, F.col(rating).cast("double").alias("_r")).join(
         q.select(F.col(user), F.col(q_col).cast("array<double>").alias("_q")), user
     )
-    sums = [F.sum(F.col("_r") * F.col("_q")[c]) for c in range(kp)]
-    return joined.groupBy(item).agg(F.array(*sums).alias("b"))
+    return joined.groupBy(item).agg(weighted_sum_array("_r", "_q", kp).alias("b"))
 
 
 def gram_cells(df: DataFrame, vec: str) -> DataFrame:
