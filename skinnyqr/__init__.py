@@ -22,9 +22,12 @@ from skinnyqr.operators.tsqr import (
 from skinnyqr.operators.ssvd import (
     SSVDResult,
     at_times_q,
+    dense_at_times_q,
+    dense_projection,
     gram_matrix,
     random_projection,
     stochastic_svd,
+    stochastic_svd_dense,
 )
 from skinnyqr.operators.recommend import (
     recommend,
@@ -38,6 +41,8 @@ __all__ = [
     "SSVDResult",
     "at_times_q",
     "combine_r",
+    "dense_at_times_q",
+    "dense_projection",
     "gram_matrix",
     "merge_topn",
     "qr_residual",
@@ -47,6 +52,7 @@ __all__ = [
     "recommend_split",
     "score_pairs",
     "stochastic_svd",
+    "stochastic_svd_dense",
     "tall_skinny_qr",
     "tall_skinny_r",
     "top_n",

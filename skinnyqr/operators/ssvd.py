@@ -208,6 +208,112 @@ def stochastic_svd(
     width = qr.width
     bt = materialize(at_times_q(a, q, width, user, item, rating), eager=False)
     held.append(bt)
+    return _finish_svd(q, bt, width, k, kp, user, item, compute_u, compute_v, u_half_sigma, v_half_sigma, held)
+
+
+# ---------------------------------------------------------------------------
+# dense input: rows (row_id, v ARRAY<DOUBLE>[n]); columns play the role of items
+
+
+def _dense_omega(seed: int, n: int, kp: int) -> np.ndarray:
+    """n x kp projection, uniform on [-1, 1), identical in every task (PCG64 stream)."""
+    return np.random.default_rng(int(seed)).uniform(-1.0, 1.0, size=(n, kp))
+
+
+def dense_projection(df: DataFrame, id_col: str, vec: str, kp: int, seed: int = DEFAULT_SEED) -> DataFrame:
+    """Y = A Omega for dense rows, map-only: ``(id_col, y ARRAY<DOUBLE>[kp])``.
+
+    Each task rebuilds the n x kp matrix from the seed (n is the row
+    length, so it is bounded by the matrix width, not the data) and
+    multiplies whole Arrow batches at once.
+    """
+    ship_package(df.sparkSession)
+    first = df.select(F.size(vec).alias("n")).take(1)
+    n = int(first[0]["n"]) if first else 0
+    schema = T.StructType([df.schema[id_col], T.StructField("y", T.ArrayType(T.DoubleType(), False), False)])
+    out_schema = _to_arrow(schema)
+
+    def fn(batches):
+        om = _dense_omega(seed, n, kp)
+        for rb in batches:
+            if rb.num_rows == 0:
+                continue
+            a = list_to_matrix(rb.column("_a"), n)
+            yield pa.RecordBatch.from_pydict({id_col: rb.column(id_col), "y": matrix_to_list(a @ om)}, schema=out_schema)
+
+    return df.select(id_col, F.col(vec).cast("array<double>").alias("_a")).mapInArrow(fn, schema)
+
+
+def dense_at_times_q(a: DataFrame, q: DataFrame, id_col: str, vec: str, q_col: str = "q") -> DataFrame:
+    """B^t = A^t Q for dense A as rows ``(item_id INT, b ARRAY<DOUBLE>)`` (item = column of A).
+
+    A and Q are joined on the row id; every task folds its joined rows
+    into one n x kp partial product, emitted in long form and summed by a
+    small aggregate (partials are n x kp per task, never per row).
+    """
+    ship_package(a.sparkSession)
+    joined = a.select(id_col, F.col(vec).cast("array<double>").alias("_a")).join(
+        q.select(id_col, F.col(q_col).cast("array<double>").alias("_q")), id_col)
+    schema = T.StructType([T.StructField("item_id", T.IntegerType(), False), T.StructField("c", T.IntegerType(), False),
+                           T.StructField("b", T.DoubleType(), False)])
+    out_schema = _to_arrow(schema)
+
+    def fn(batches):
+        acc = None
+        for rb in batches:
+            if rb.num_rows == 0:
+                continue
+            part = list_to_matrix(rb.column("_a")).T @ list_to_matrix(rb.column("_q"))
+            acc = part if acc is None else acc + part
+        if acc is None:
+            return
+        ii, cc = np.meshgrid(np.arange(acc.shape[0], dtype=np.int32), np.arange(acc.shape[1], dtype=np.int32),
+                             indexing="ij")
+        yield pa.RecordBatch.from_pydict({"item_id": ii.reshape(-1), "c": cc.reshape(-1), "b": acc.reshape(-1)},
+                                         schema=out_schema)
+
+    cells = joined.mapInArrow(fn, schema).groupBy("item_id", "c").agg(F.sum("b").alias("b"))
+    return cells.groupBy("item_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("c", "b"))), lambda s: s["b"]).alias("b"))
+
+
+def stochastic_svd_dense(
+    df: DataFrame,
+    k: int,
+    p: int = 15,
+    id_col: str = "row_id",
+    vec: str = "v",
+    seed: int = DEFAULT_SEED,
+    compute_u: bool = True,
+    compute_v: bool = True,
+    u_half_sigma: bool = False,
+    v_half_sigma: bool = False,
+    block_rows: int | None = None,
+    schedule=None,
+) -> SSVDResult:
+    """Stochastic SVD of a dense tall matrix given as rows ``(id_col, vec)``.
+
+    Same algorithm as :func:`stochastic_svd`; Y = A Omega is map-only.
+    ``u`` is keyed by ``id_col`` and ``v`` by ``item_id`` = column index of A.
+    """
+    if k < 1 or p < 0:
+        raise ValueError("need k >= 1 and p >= 0")
+    kp = k + p
+    held: list[DataFrame] = []
+    a = df.select(F.col(id_col).cast("long").alias(id_col), F.col(vec).cast("array<double>").alias("v"))
+    y = materialize(dense_projection(a, id_col, "v", kp, seed), eager=False)
+    held.append(y)
+    qr = tall_skinny_qr(y, id_col, "y", block_rows=block_rows, schedule=schedule, n=kp)
+    q = materialize(qr.q.select(id_col, "q"), eager=False)
+    held.append(q)
+    held.extend(qr._held)
+    bt = materialize(dense_at_times_q(a, q, id_col, "v"), eager=False)
+    held.append(bt)
+    return _finish_svd(q, bt, qr.width, k, kp, id_col, "item_id", compute_u, compute_v, u_half_sigma,
+                       v_half_sigma, held)
+
+
+def _finish_svd(q, bt, width, k, kp, user, item, compute_u, compute_v, u_half_sigma, v_half_sigma, held):
     g = gram_matrix(bt, "b", width)
     sigma, uhat = sym_eig_desc(g)
     kk = min(k, sigma.size)
@@ -215,7 +321,6 @@ def stochastic_svd(
     u_mat = uhat[:, :kk] * (np.sqrt(s_k)[None, :] if u_half_sigma else 1.0)
     v_scale = safe_inverse(s_k) * (np.sqrt(s_k) if v_half_sigma else 1.0)
     v_mat = uhat[:, :kk] * v_scale[None, :]
-    # zero directions of a rank-deficient A contribute nothing
     u_mat[:, s_k == 0] = 0.0
     u_df = _times_matrix(q, user, "q", u_mat, "u") if compute_u else None
     v_df = _times_matrix(bt, item, "b", v_mat, "v") if compute_v else None

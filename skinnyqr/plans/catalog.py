@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from skinnyqr.functions.columns import clean_round
 from skinnyqr.operators.recommend import recommend, recommend_split, score_pairs
-from skinnyqr.operators.ssvd import at_times_q, gram_cells, random_projection, stochastic_svd
+from skinnyqr.operators.ssvd import at_times_q, gram_cells, random_projection, stochastic_svd, stochastic_svd_dense
 from skinnyqr.operators.text import count_lines_containing
 from skinnyqr.operators.topn import merge_topn, top_n
 from skinnyqr.operators.tsqr import combine_r, qr_residual, tall_skinny_qr, tall_skinny_r
@@ -194,6 +194,16 @@ def q_ssvd_sigma_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
                      clean_round(F.col("s4") / F.lit(1e9), 0).alias("sum_sigma4_e9"))
 
 
+def q_ssvd_dense_sigma_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # dense entry point: all 64 embedding columns, k + p = 64 = rank
+    res = stochastic_svd_dense(_embeddings(spark, sf_dir), 64, 0, id_col="vec_id", vec="v",
+                               compute_u=False, compute_v=False)
+    s2 = float((res.sigma ** 2).sum())
+    s4 = float((res.sigma ** 4).sum())
+    df = spark.createDataFrame([(s2, s4)], "s2 double, s4 double")
+    return df.select(clean_round(F.col("s2"), 6).alias("sum_sigma2"), clean_round(F.col("s4"), 6).alias("sum_sigma4"))
+
+
 def q_ssvd_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, res = _svd(spark, sf_dir)
     out = score_pairs(res.u, res.v, res.sigma, a, power=1)
@@ -278,6 +288,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "at_times_q": q_at_times_q,
     "gram": q_gram,
     "ssvd_sigma_moments": q_ssvd_sigma_moments,
+    "ssvd_dense_sigma_moments": q_ssvd_dense_sigma_moments,
     "ssvd_reconstruct": q_ssvd_reconstruct,
     "ssvd_half_sigma": q_ssvd_half_sigma,
     "cf_scores": q_cf_scores,

@@ -80,6 +80,10 @@ from e a join e b using (vec_id) group by 1, 2""",
     "ssvd_sigma_moments": SCORES.replace(",\n sc as", ",\n unused as") + """
 select round((select sum(rating*rating) from ratings), 0) + 0.0 as sum_sigma2,
        round((select sum(g*g) from s) / 1e9, 0) + 0.0 as sum_sigma4_e9""",
+    "ssvd_dense_sigma_moments": """
+with e as (select vec_id, generate_subscripts(embedding, 1) as i, unnest(embedding)::double as x from embeddings),
+ g as (select a.i, b.i as j, sum(a.x*b.x) as g from e a join e b using (vec_id) group by 1, 2)
+select round((select sum(x*x) from e), 6) + 0.0 as sum_sigma2, round((select sum(g*g) from g), 6) + 0.0 as sum_sigma4""",
     "ssvd_reconstruct": f"with {RATINGS} select user_id, item_id, rating + 0.0 as value from ratings",
     "ssvd_half_sigma": f"with {RATINGS} select user_id, item_id, rating + 0.0 as value from ratings",
     "cf_scores": SCORES + """

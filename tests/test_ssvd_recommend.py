@@ -198,3 +198,19 @@ def test_split_plan_with_many_partitions(spark, small):
         assert got == expect
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_dense_svd_matches_numpy(spark):
+    from skinnyqr import stochastic_svd_dense
+
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=(150, 6)) @ np.diag([5.0, 3.0, 2.0, 1.0, 0.5, 0.1])
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(a)], "row_id long, v array<double>")
+    res = stochastic_svd_dense(df, k=6, p=0, block_rows=40)
+    assert np.allclose(res.sigma, np.linalg.svd(a, compute_uv=False))
+    u = {r[0]: np.array(r[1]) for r in res.u.collect()}
+    v = {r[0]: np.array(r[1]) for r in res.v.collect()}
+    recon = np.array([u[i] for i in range(150)]) @ np.diag(res.sigma) @ np.array([v[j] for j in range(6)]).T
+    assert np.allclose(recon, a)
+    low = stochastic_svd_dense(df, k=2, p=3)
+    assert np.allclose(low.sigma[:2], np.linalg.svd(a, compute_uv=False)[:2], rtol=1e-2)
