@@ -184,13 +184,17 @@ def stochastic_svd(
     block_rows: int | None = None,
     schedule=None,
     omega_table: DataFrame | None = None,
+    reliable: bool = False,
 ) -> SSVDResult:
     """Rank-k stochastic SVD with oversampling p of a COO matrix.
 
     Exact (up to rounding) when k + p >= rank(A).  Singular values at or
     below 1e-12 * sigma_max count as zero and give zero U/V columns
     instead of NaN.  ``u_half_sigma`` / ``v_half_sigma`` return
-    U sqrt(Sigma) / V sqrt(Sigma) instead of U / V.
+    U sqrt(Sigma) / V sqrt(Sigma) instead of U / V.  ``reliable=True``
+    checkpoints Y, Q and B^t (users x kp and items x kp, small next to A)
+    into ``spark.checkpoint.dir`` so that a lost executor never sends the
+    job back to the rating scan.
     """
     if k < 1 or p < 0:
         raise ValueError("need k >= 1 and p >= 0")
@@ -198,15 +202,15 @@ def stochastic_svd(
     kp = k + p
     held: list[DataFrame] = []
     a = ratings.select(F.col(user), F.col(item), F.col(rating).cast("double").alias(rating))
-    y = materialize(random_projection(a, kp, seed, user, item, rating, omega_table), eager=False)
+    y = materialize(random_projection(a, kp, seed, user, item, rating, omega_table), reliable, eager=reliable)
     held.append(y)
     qr = tall_skinny_qr(y, user, "y", block_rows=block_rows, schedule=schedule, n=kp)
-    q = materialize(qr.q.select(user, "q"), eager=False)
+    q = materialize(qr.q.select(user, "q"), reliable, eager=reliable)
     held.append(q)
     held.extend(qr._held)
     # Q has min(#users, kp) columns
     width = qr.width
-    bt = materialize(at_times_q(a, q, width, user, item, rating), eager=False)
+    bt = materialize(at_times_q(a, q, width, user, item, rating), reliable, eager=reliable)
     held.append(bt)
     return _finish_svd(q, bt, width, k, kp, user, item, compute_u, compute_v, u_half_sigma, v_half_sigma, held)
 
@@ -290,6 +294,7 @@ def stochastic_svd_dense(
     v_half_sigma: bool = False,
     block_rows: int | None = None,
     schedule=None,
+    reliable: bool = False,
 ) -> SSVDResult:
     """Stochastic SVD of a dense tall matrix given as rows ``(id_col, vec)``.
 
@@ -301,13 +306,13 @@ def stochastic_svd_dense(
     kp = k + p
     held: list[DataFrame] = []
     a = df.select(F.col(id_col).cast("long").alias(id_col), F.col(vec).cast("array<double>").alias("v"))
-    y = materialize(dense_projection(a, id_col, "v", kp, seed), eager=False)
+    y = materialize(dense_projection(a, id_col, "v", kp, seed), reliable, eager=reliable)
     held.append(y)
     qr = tall_skinny_qr(y, id_col, "y", block_rows=block_rows, schedule=schedule, n=kp)
-    q = materialize(qr.q.select(id_col, "q"), eager=False)
+    q = materialize(qr.q.select(id_col, "q"), reliable, eager=reliable)
     held.append(q)
     held.extend(qr._held)
-    bt = materialize(dense_at_times_q(a, q, id_col, "v"), eager=False)
+    bt = materialize(dense_at_times_q(a, q, id_col, "v"), reliable, eager=reliable)
     held.append(bt)
     return _finish_svd(q, bt, qr.width, k, kp, id_col, "item_id", compute_u, compute_v, u_half_sigma,
                        v_half_sigma, held)

@@ -40,15 +40,18 @@ def materialize(df: DataFrame, reliable: bool = False, eager: bool = True) -> Da
 
     Small intermediate results (R factors, slices, Gram pieces) are
     persisted MEMORY_AND_DISK: if an executor is lost, Spark recomputes
-    only the lost partitions from lineage.  With ``reliable=True`` and a
-    checkpoint folder configured, the result is checkpointed instead,
-    which cuts the lineage (used where recomputation would be costly).
+    only the lost partitions from lineage.  With ``reliable=True`` the
+    result is checkpointed into ``spark.checkpoint.dir`` instead, which
+    cuts the lineage (used where recomputation would be costly); an unset
+    folder is an error, never a silent local fallback.
     With ``eager=False`` the data is only marked for persistence and is
     computed by the first job that reads it.
     """
     spark = df.sparkSession
     ship_package(spark)
-    if reliable and checkpoint_dir(spark):
+    if reliable:
+        if not checkpoint_dir(spark):
+            raise RuntimeError("reliable=True needs spark.checkpoint.dir (a shared folder)")
         sc = spark.sparkContext
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(checkpoint_dir(spark))

@@ -214,3 +214,13 @@ def test_dense_svd_matches_numpy(spark):
     assert np.allclose(recon, a)
     low = stochastic_svd_dense(df, k=2, p=3)
     assert np.allclose(low.sigma[:2], np.linalg.svd(a, compute_uv=False)[:2], rtol=1e-2)
+
+
+def test_reliable_svd_checkpoints_and_matches(spark, small):
+    rows, df = small
+    plain = stochastic_svd(df, k=8, p=0)
+    rel = stochastic_svd(df, k=8, p=0, reliable=True)
+    assert np.allclose(plain.sigma, rel.sigma)
+    a, b = _uv(plain), _uv(rel)
+    for uu, i, r in rows[:40]:
+        assert abs(b[0][uu] @ np.diag(rel.sigma[:8]) @ b[1][i] - r) < 1e-9
