@@ -1,4 +1,4 @@
-"""Stochastic SVD of a sparse (COO) matrix on top of TSQR.
+"""Stochastic SVD of a sparse (COO) or dense matrix on top of TSQR.
 
 A (users x items, COO rows ``(user, item, rating)``) ~= U diag(sigma) V^t:
 
@@ -13,6 +13,11 @@ A (users x items, COO rows ``(user, item, rating)``) ~= U diag(sigma) V^t:
 5. eigh on the driver: sigma = sqrt(eig), U_hat = eigenvectors.
 6. U = Q U_hat[:, :k] and V = B^t U_hat[:, :k] diag(1/sigma): map-only
    passes with the kp x k matrix in the task closure.
+
+Dense rows ``(row_id, v ARRAY<DOUBLE>[n])`` use :func:`stochastic_svd_dense`:
+step 1 is map-only there (each task multiplies its Arrow batches by the
+n x kp matrix rebuilt from the seed) and step 3 joins A and Q on the row
+id, folding each task's rows into one n x kp partial product.
 """
 
 from __future__ import annotations
