@@ -259,8 +259,10 @@ def q_recommend_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_merge_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").select("user_id", "event_id", "value", "event_type")
-    first = ev.filter(F.col("event_type") < "m")
-    second = ev.filter(~(F.col("event_type") < "m"))
+    # two halves that together hold every row (a NULL type goes to the second)
+    in_first = F.coalesce(F.col("event_type") < F.lit("m"), F.lit(False))
+    first = ev.filter(in_first)
+    second = ev.filter(~in_first)
     a = top_n(first.drop("event_type"), "user_id", "value", TOP_N, tiebreak="event_id")
     b = top_n(second.drop("event_type"), "user_id", "value", TOP_N, tiebreak="event_id")
     out = merge_topn(a, b, "user_id", "value", TOP_N, tiebreak="event_id")
