@@ -62,12 +62,39 @@ def _out_schema(user_field: T.StructField, item_field: T.StructField) -> T.Struc
     )
 
 
-def _score_block(users, u3: np.ndarray, items: np.ndarray, vmat: np.ndarray, n: int, threshold: float):
-    """Top-n per user of (u3 @ vmat^t) in chunks of bounded size."""
+def _mask_seen(scores: np.ndarray, items: np.ndarray, offsets: np.ndarray, values: np.ndarray) -> None:
+    """Set scores of already-seen items to -inf, vectorised.
+
+    Row r of ``scores`` has seen items ``values[offsets[r]:offsets[r+1]]``
+    (the flat buffers of an Arrow list column).
+    """
+    lens = np.diff(offsets)
+    if lens.sum() == 0 or len(items) == 0:
+        return
+    flat = values[offsets[0] : offsets[-1]]
+    rows = np.repeat(np.arange(len(lens)), lens)
+    order = np.argsort(items, kind="stable")
+    sorted_items = items[order]
+    pos = np.minimum(np.searchsorted(sorted_items, flat), len(sorted_items) - 1)
+    hit = sorted_items[pos] == flat
+    scores[rows[hit], order[pos[hit]]] = -np.inf
+
+
+def _score_block(users, u3: np.ndarray, items: np.ndarray, vmat: np.ndarray, n: int, threshold: float,
+                 seen=None):
+    """Top-n per user of (u3 @ vmat^t) in chunks of bounded size.
+
+    ``seen`` (optional ``(offsets, values)`` of an Arrow list column, one
+    list of item ids per user row) removes those items from the user's
+    candidates before ranking.
+    """
     out_u, out_i, out_s, out_r = [], [], [], []
     step = max(1, SCORE_CELLS_PER_CHUNK // max(1, len(items)))
     for lo in range(0, u3.shape[0], step):
         scores = u3[lo : lo + step] @ vmat.T
+        if seen is not None:
+            offsets, values = seen
+            _mask_seen(scores, items, offsets[lo : lo + step + 1], values)
         rows, it, sc, rk = topn_rows(scores, items, n, threshold)
         out_u.append(np.asarray(users)[lo : lo + step][rows])
         out_i.append(it)
@@ -78,6 +105,18 @@ def _score_block(users, u3: np.ndarray, items: np.ndarray, vmat: np.ndarray, n:
     return np.concatenate(out_u), np.concatenate(out_i), np.concatenate(out_s), np.concatenate(out_r)
 
 
+def _or_empty(col: str):
+    return F.coalesce(F.col(col), F.array().cast("array<bigint>"))
+
+
+def _seen_of(batch) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, values) of the non-null ``_seen`` list column of an Arrow batch or table."""
+    arr = batch.column("_seen")
+    if isinstance(arr, pa.ChunkedArray):
+        arr = arr.combine_chunks()
+    return arr.offsets.to_numpy(), arr.values.to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+
+
 def _check_threshold(threshold: float) -> float:
     threshold = float(threshold)
     if not threshold > 0:
@@ -96,11 +135,15 @@ def recommend(
     u_col: str = "u",
     v_col: str = "v",
     max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
+    exclude: DataFrame | None = None,
 ) -> DataFrame:
     """Top-n items per user, small-V plan (users with no item are dropped).
 
     Returns ``(user, item, score, rank)``.  ``sigma`` holds at least k
-    singular values (k = length of the factor rows).
+    singular values (k = length of the factor rows).  ``exclude`` (pairs
+    ``(user, item)``, e.g. the ratings) removes already-seen items before
+    ranking; the reference does not, so it is off by default.  A user's
+    list holds at most the item count, which the V size check bounds.
     """
     threshold = _check_threshold(threshold)
     spark = u.sparkSession
@@ -112,7 +155,7 @@ def recommend(
         # V is not provably small: score against hashed parts of V instead
         parts = math.ceil(n_items * (k * 8 + 16) / max_broadcast_bytes)
         return recommend_split(u, v, sigma, n, threshold, user, item, u_col, v_col, n_splits=parts,
-                               keep_empty=False)
+                               keep_empty=False, exclude=exclude)
     vpd = v.select(item, F.col(v_col).cast("array<double>").alias("_v")).toArrow()
     items = vpd.column(item).to_numpy().astype(np.int64)
     vmat = list_to_matrix(vpd.column("_v"), k) if len(items) else np.zeros((0, k))
@@ -121,6 +164,8 @@ def recommend(
     schema = _out_schema(u.schema[user], v.schema[item])
     out_schema = _to_arrow(schema)
 
+    with_seen = exclude is not None
+
     def fn(batches):
         its, vm = bc.value
         for rb in batches:
@@ -128,12 +173,15 @@ def recommend(
                 continue
             u3 = list_to_matrix(rb.column("_u"), k) * s3[None, :]
             users = rb.column(user).to_numpy()
-            uu, ii, ss, rr = _score_block(users, u3, its, vm, n, threshold)
+            uu, ii, ss, rr = _score_block(users, u3, its, vm, n, threshold, _seen_of(rb) if with_seen else None)
             if len(uu):
                 yield pa.RecordBatch.from_pydict({user: uu, item: ii, "score": ss, "rank": rr}, schema=out_schema)
 
-    users = spread(u.select(user, F.col(u_col).cast("array<double>").alias("_u")), [user])
-    return users.mapInArrow(fn, schema)
+    users = u.select(user, F.col(u_col).cast("array<double>").alias("_u"))
+    if with_seen:
+        seen = exclude.groupBy(F.col(user)).agg(F.collect_set(F.col(item).cast("long")).alias("_seen"))
+        users = users.join(seen, user, "left").withColumn("_seen", _or_empty("_seen"))
+    return spread(users, [user]).mapInArrow(fn, schema)
 
 
 def recommend_split(
@@ -149,6 +197,7 @@ def recommend_split(
     n_splits: int | None = 2,
     user_block_rows: int | None = None,
     keep_empty: bool = True,
+    exclude: DataFrame | None = None,
 ) -> DataFrame:
     """Top-n items per user, split-V plan.
 
@@ -160,7 +209,9 @@ def recommend_split(
     and V once per user block; sizing blocks by bytes keeps the number of
     V copies near the number of task slots rather than growing with the
     user count.  With ``keep_empty`` every user of U appears, users
-    without any kept item with NULL item/score/rank.
+    without any kept item with NULL item/score/rank.  ``exclude`` pairs
+    are grouped by (user, V part), so a user's excluded list in one
+    co-group never exceeds the items of that part.
     """
     threshold = _check_threshold(threshold)
     spark = u.sparkSession
@@ -201,13 +252,21 @@ def recommend_split(
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("_ub"),
     )
 
+    with_seen = exclude is not None
+    if with_seen:
+        seen = exclude.select(
+            F.col(user), F.col(item).cast("long").alias("_it"),
+            F.pmod(F.xxhash64(F.col(item)), F.lit(n_splits)).cast("long").alias("_vp"),
+        ).groupBy(user, "_vp").agg(F.collect_set("_it").alias("_seen"))
+        u_rep = u_rep.join(seen, [user, "_vp"], "left").withColumn("_seen", _or_empty("_seen"))
+
     def fn(ut: pa.Table, vt: pa.Table) -> pa.Table:
         if ut.num_rows == 0 or vt.num_rows == 0:
             return out_schema.empty_table()
         u3 = list_to_matrix(ut.column("_u"), k) * s3[None, :]
         vm = list_to_matrix(vt.column("_v"), k)
         uu, ii, ss, rr = _score_block(ut.column(user).to_numpy(), u3, vt.column(item).to_numpy().astype(np.int64),
-                                      vm, n, threshold)
+                                      vm, n, threshold, _seen_of(ut) if with_seen else None)
         return pa.table({user: uu, item: ii, "score": ss, "rank": rr}, schema=out_schema)
 
     partial = u_rep.groupBy("_ub", "_vp").cogroup(v_rep.groupBy("_ub", "_vp")).applyInArrow(fn, schema)

@@ -235,6 +235,12 @@ def q_recommend_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rec_out(recommend(res.u, res.v, res.sigma, n=TOP_N, threshold=1.0), 0)
 
 
+def q_recommend_topn_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # already-rated items are removed before ranking (optional; the reference keeps them)
+    a, res = _svd(spark, sf_dir)
+    return _rec_out(recommend(res.u, res.v, res.sigma, n=TOP_N, threshold=1.0, exclude=a), 0)
+
+
 def q_recommend_topn_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, res = _svd(spark, sf_dir)
     rec = recommend_split(res.u, res.v, res.sigma, n=TOP_N, threshold=SPLIT_THRESHOLD, n_splits=2,
@@ -295,6 +301,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ssvd_half_sigma": q_ssvd_half_sigma,
     "cf_scores": q_cf_scores,
     "recommend_topn": q_recommend_topn,
+    "recommend_topn_unseen": q_recommend_topn_unseen,
     "recommend_topn_split": q_recommend_topn_split,
     "recommend_saved": q_recommend_saved,
     "recommend_text": q_recommend_text,

@@ -92,6 +92,12 @@ from ratings r join sc on r.user_id = sc.user_id and r.item_id = sc.item_id""",
     "recommend_topn": TOPN + """
 select user_id, item_id, round(score, 0) + 0.0 as score, rk::bigint as rank from f where rk <= 3""",
     "recommend_saved": TOPN + """
+select user_id, item_id, round(score, 0) + 0.0 as score, rk::bigint as rank from f where rk <= 3""",
+    "recommend_topn_unseen": SCORES + """,
+ f as (select sc.user_id, sc.item_id, sc.score,
+              row_number() over (partition by sc.user_id order by sc.score desc, sc.item_id) rk
+       from sc anti join ratings r on r.user_id = sc.user_id and r.item_id = sc.item_id
+       where sc.score > 1)
 select user_id, item_id, round(score, 0) + 0.0 as score, rk::bigint as rank from f where rk <= 3""",
     "recommend_topn_split": SCORES + """,
  f as (select user_id, item_id, score / 1e9 as score,

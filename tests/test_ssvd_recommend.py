@@ -224,3 +224,31 @@ def test_reliable_svd_checkpoints_and_matches(spark, small):
     a, b = _uv(plain), _uv(rel)
     for uu, i, r in rows[:40]:
         assert abs(b[0][uu] @ np.diag(rel.sigma[:8]) @ b[1][i] - r) < 1e-9
+
+
+def test_exclude_seen_items(spark, small):
+    rows, df = small
+    res = stochastic_svd(df, k=8, p=0)
+    u, v = _uv(res)
+    s3 = res.sigma[:8] ** 3
+    items = sorted(v)
+    seen = {}
+    for uu, i, _ in rows:
+        seen.setdefault(uu, set()).add(i)
+    expect = {}
+    for uu in u:
+        cand = [(float(u[uu] @ (s3 * v[i])), i) for i in items if i not in seen.get(uu, set())]
+        cand = [(sc, i) for sc, i in cand if sc > 1.0]
+        cand.sort(key=lambda x: (-x[0], x[1]))
+        if cand:
+            expect[uu] = [i for _, i in cand[:3]]
+
+    def lists(d):
+        out = {}
+        for r in d.orderBy("user_id", "rank").collect():
+            if r["item_id"] is not None:
+                out.setdefault(r["user_id"], []).append(r["item_id"])
+        return out
+
+    assert lists(recommend(res.u, res.v, res.sigma, n=3, exclude=df)) == expect
+    assert lists(recommend_split(res.u, res.v, res.sigma, n=3, n_splits=3, user_block_rows=9, exclude=df)) == expect
