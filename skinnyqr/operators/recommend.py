@@ -203,7 +203,9 @@ def recommend_split(
 
     V is hashed into ``n_splits`` parts (None: parts of about
     ``GROUP_BYTES``), U into blocks of about ``user_block_rows`` users
-    (None: blocks of about ``GROUP_BYTES``).  Each (user block, V part)
+    (None: blocks of about ``GROUP_BYTES``).  Requested values are raised
+    (parts) or lowered (block rows) when a side of a co-group would
+    exceed ``GROUP_BYTES``; the result does not depend on them.  Each (user block, V part)
     co-group holds one block of U and one part of V, so task memory is
     bounded by these sizes, not by the data.  U is shipped once per V part
     and V once per user block; sizing blocks by bytes keeps the number of
@@ -219,10 +221,10 @@ def recommend_split(
     vstats = v.agg(F.count(F.lit(1)).alias("m"), F.max(F.size(v_col)).alias("k")).first()
     n_items, k = int(vstats["m"]), int(vstats["k"] or 0)
     row_bytes = k * 8 + 16
-    if n_splits is None:
-        n_splits = max(1, math.ceil(n_items * row_bytes / GROUP_BYTES))
-    if n_splits < 1:
+    if n_splits is not None and n_splits < 1:
         raise ValueError("n_splits must be >= 1")
+    # never fewer parts than the byte budget allows (results do not depend on it)
+    n_splits = max(n_splits or 1, math.ceil(n_items * row_bytes / GROUP_BYTES), 1)
     n_users = u.count()
     if user_block_rows is None:
         n_blocks = max(1, math.ceil(n_users * row_bytes / GROUP_BYTES))
@@ -232,7 +234,8 @@ def recommend_split(
         if want > n_blocks and want * n_items * row_bytes <= max(n_users * row_bytes, 1 << 30):
             n_blocks = want
     else:
-        n_blocks = max(1, math.ceil(n_users / max(1, user_block_rows)))
+        block = max(1, min(user_block_rows, GROUP_BYTES // row_bytes))
+        n_blocks = max(1, math.ceil(n_users / block))
     s3 = _sigma_cubed(sigma, k)
     schema = _out_schema(u.schema[user], v.schema[item])
     out_schema = _to_arrow(schema)

@@ -192,3 +192,14 @@ def test_duplicate_row_ids_rejected_on_request(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (0, [3.0, 4.0]), (1, [5.0, 7.0])], "row_id long, v array<double>")
     with pytest.raises(ValueError, match="unique"):
         tall_skinny_qr(df, "row_id", "v", check_unique=True)
+
+
+def test_skewed_caller_blocks_are_split(spark):
+    # one caller-defined block holds most rows: it is split by row-id hash
+    a = np.random.default_rng(13).normal(size=(400, 3))
+    rows = [(int(i), int(0 if i < 300 else i), [float(x) for x in r]) for i, r in enumerate(a)]
+    df = spark.createDataFrame(rows, "row_id long, blk long, v array<double>")
+    res = tall_skinny_qr(df, "row_id", "v", block_rows=50, block_col="blk")
+    q = _q_of(res, 400)
+    assert np.allclose(q.T @ q, np.eye(3))
+    assert np.allclose(q @ res.r_matrix(), a)
