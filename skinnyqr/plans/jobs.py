@@ -55,19 +55,21 @@ def ssvd_job(spark: SparkSession, input_path: str, output_path: str, k: int, p:
 
 def recommend_job(spark: SparkSession, input_path: str, output_path: str, k: int, p: int = 15,
                   n: int = 10, threshold: float = 1.0, n_splits: int | None = None,
-                  factors_path: str | None = None, block_rows: int | None = None, dedupe: str = "sum") -> DataFrame:
+                  factors_path: str | None = None, block_rows: int | None = None, dedupe: str = "sum",
+                  exclude_seen: bool = False) -> DataFrame:
     """Rating text -> SVD -> top-n per user, written as ``user<TAB>[item:score,...,]`` text.
 
     ``n_splits=None`` uses the small-V plan (users without items are
     dropped); an integer uses the split-V plan with that many parts
     (users without items are kept with ``[]``).  With ``factors_path``
-    the factors are saved there too.
+    the factors are saved there too.  ``exclude_seen`` drops items the
+    user already rated before ranking (the reference keeps them).
     """
     ratings = dedupe_ratings(read_ratings_text(spark, input_path), how=dedupe)
     res = stochastic_svd(ratings, k, p, block_rows=block_rows)
     if factors_path:
         write_factors(spark, res.u, res.v, res.sigma, factors_path)
-    rec = _recommend(res.u, res.v, res.sigma, n, threshold, n_splits)
+    rec = _recommend(res.u, res.v, res.sigma, n, threshold, n_splits, ratings if exclude_seen else None)
     write_recommendations_text(rec, output_path)
     return rec
 
@@ -86,7 +88,7 @@ def combine_random_job(spark: SparkSession, keys: DataFrame, key_col: str, size:
     return combine_r(random_r_blocks(keys, key_col, size, seed), size, schedule=schedule)
 
 
-def _recommend(u, v, sigma, n, threshold, n_splits):
+def _recommend(u, v, sigma, n, threshold, n_splits, exclude=None):
     if n_splits is None:
-        return recommend(u, v, sigma, n=n, threshold=threshold)
-    return recommend_split(u, v, sigma, n=n, threshold=threshold, n_splits=n_splits)
+        return recommend(u, v, sigma, n=n, threshold=threshold, exclude=exclude)
+    return recommend_split(u, v, sigma, n=n, threshold=threshold, n_splits=n_splits, exclude=exclude)

@@ -34,6 +34,16 @@ def test_recommend_jobs_round_trip(spark, tmpdir_path):
     a = sorted(r["value"].split("\t")[1].count(":") for r in spark.read.text(out1).collect())
     b = sorted(r["value"].split("\t")[1].count(":") for r in spark.read.text(out2).collect())
     assert a == b and len(a) == 40
+    out4 = os.path.join(tmpdir_path, "rec4")
+    recommend_job(spark, src, out4, k=6, p=0, n=10, exclude_seen=True)
+    rated = {}
+    for line in lines:
+        uu, it, _ = line.split()
+        rated.setdefault(int(uu), set()).add(int(it))
+    for r in spark.read.text(out4).collect():
+        uu, body = r["value"].split("\t")
+        got = {int(e.split(":")[0]) for e in body.strip("[]").split(",") if e}
+        assert not (got & rated.get(int(uu), set()))
     out3 = os.path.join(tmpdir_path, "rec3")
     recommend_job(spark, src, out3, k=6, p=0, n=2, n_splits=2, threshold=1e12)
     assert all(r["value"].endswith("\t[]") for r in spark.read.text(out3).collect())
