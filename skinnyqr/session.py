@@ -1,4 +1,5 @@
-"""Session-level helpers: shared scratch location and materialisation."""
+"""Session-level helpers: shared scratch folder, materialisation, spreading
+single-split inputs, and shipping the package to Python workers."""
 
 from __future__ import annotations
 
@@ -38,9 +39,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, reliable: bool = False, eager: bool = True) -> DataFrame:
     """Compute ``df`` once and keep it.
 
-    Small intermediate results (R factors, slices, Gram pieces) are
-    persisted MEMORY_AND_DISK: if an executor is lost, Spark recomputes
-    only the lost partitions from lineage.  With ``reliable=True`` the
+    Intermediate results read more than once (Y, Q, B^t, the block copy of
+    a matrix, reduction rounds that carry Q slices) are persisted
+    MEMORY_AND_DISK: if an executor is lost, Spark recomputes only the
+    lost partitions from lineage.  With ``reliable=True`` the
     result is checkpointed into ``spark.checkpoint.dir`` instead, which
     cuts the lineage (used where recomputation would be costly); an unset
     folder is an error, never a silent local fallback.
