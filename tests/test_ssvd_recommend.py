@@ -252,3 +252,17 @@ def test_exclude_seen_items(spark, small):
 
     assert lists(recommend(res.u, res.v, res.sigma, n=3, exclude=df)) == expect
     assert lists(recommend_split(res.u, res.v, res.sigma, n=3, n_splits=3, user_block_rows=9, exclude=df)) == expect
+
+
+def test_svd_invariant_to_partitioning_and_blocks(spark, small):
+    rows, df = small
+    a = stochastic_svd(df.repartition(1), k=8, p=0)
+    b = stochastic_svd(df.repartition(7), k=8, p=0, block_rows=9, schedule=[3, 1])
+    assert np.allclose(a.sigma, b.sigma)
+    ua, va = _uv(a)
+    ub, vb = _uv(b)
+    # factors are unique up to the sign convention, which is fixed
+    for uu in ua:
+        assert np.allclose(ua[uu], ub[uu], atol=1e-9)
+    for i in va:
+        assert np.allclose(va[i], vb[i], atol=1e-9)
