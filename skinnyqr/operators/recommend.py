@@ -151,6 +151,8 @@ def recommend(
     # one pass: item count and factor width, checked before anything is collected
     stats = v.agg(F.count(F.lit(1)).alias("m"), F.max(F.size(v_col)).alias("k")).first()
     n_items, k = int(stats["m"]), int(stats["k"] or 0)
+    if n_items == 0:
+        return spark.createDataFrame([], _out_schema(u.schema[user], v.schema[item]))
     if n_items * (k * 8 + 16) > max_broadcast_bytes:
         # V is not provably small: score against hashed parts of V instead
         parts = math.ceil(n_items * (k * 8 + 16) / max_broadcast_bytes)
@@ -220,6 +222,9 @@ def recommend_split(
     ship_package(spark)
     vstats = v.agg(F.count(F.lit(1)).alias("m"), F.max(F.size(v_col)).alias("k")).first()
     n_items, k = int(vstats["m"]), int(vstats["k"] or 0)
+    if n_items == 0:
+        empty = spark.createDataFrame([], _out_schema(u.schema[user], v.schema[item]))
+        return u.select(user).join(empty, user, "left") if keep_empty else empty
     row_bytes = k * 8 + 16
     if n_splits is not None and n_splits < 1:
         raise ValueError("n_splits must be >= 1")

@@ -266,3 +266,11 @@ def test_svd_invariant_to_partitioning_and_blocks(spark, small):
         assert np.allclose(ua[uu], ub[uu], atol=1e-9)
     for i in va:
         assert np.allclose(va[i], vb[i], atol=1e-9)
+
+
+def test_no_items_gives_no_recommendations(spark):
+    u = spark.createDataFrame([(1, [1.0, 2.0]), (2, [0.5, 0.1])], "user_id long, u array<double>")
+    v = spark.createDataFrame([], "item_id long, v array<double>")
+    assert recommend(u, v, [3.0, 1.0], n=2).count() == 0
+    rows = recommend_split(u, v, [3.0, 1.0], n=2).collect()
+    assert sorted(r["user_id"] for r in rows) == [1, 2] and all(r["item_id"] is None for r in rows)
