@@ -277,6 +277,12 @@ def recommend_split(
                                       vm, n, threshold, _seen_of(ut) if with_seen else None)
         return pa.table({user: uu, item: ii, "score": ss, "rank": rr}, schema=out_schema)
 
+    # scoring cost is users x items per co-group, not its input bytes: pin the
+    # partition count so AQE does not merge co-groups into fewer tasks (both
+    # sides use the same keys and count, so the co-group adds no exchange)
+    parts = max(n_blocks * n_splits, spark.sparkContext.defaultParallelism)
+    u_rep = u_rep.repartition(parts, "_ub", "_vp")
+    v_rep = v_rep.repartition(parts, "_ub", "_vp")
     partial = u_rep.groupBy("_ub", "_vp").cogroup(v_rep.groupBy("_ub", "_vp")).applyInArrow(fn, schema)
     merged = top_n(partial.drop("rank"), user, "score", n, tiebreak=item)
     if not keep_empty:
