@@ -161,16 +161,16 @@ def contaminated(
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` in which no benchmark item is found, with all their columns.
 
-    Rows are matched by a 128-bit hash of their text, so ids may be null.
+    Rows that share an id are judged together.  If a row without an id holds
+    an item, rows are judged by a 128-bit hash of their text instead.
     """
-    key = free_name(docs, "text_key")
-    own = F.struct(F.xxhash64(text_col).alias("x"), F.xxhash64(F.lit(1), F.col(text_col)).alias("y"))
-    marked = docs.withColumn(key, own)
     found = contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("bad_id")).distinct()
-    bad = docs.join(broadcast_if_small(found, MAX_BROADCAST), F.col(id_col).cast("long").eqNullSafe(F.col("bad_id")), "left_semi")
-    if id_col in docs.columns and found.filter("bad_id IS NULL").isEmpty():
-        return docs.join(broadcast_if_small(found, MAX_BROADCAST), F.col(id_col).cast("long") == F.col("bad_id"), "left_anti")
-    # some row without an id holds an item: judge such rows by their text alone
+    found = save(found, "found")
+    if found.filter("bad_id IS NULL").isEmpty():
+        own_id = free_name(docs, "bad_id")
+        return docs.join(broadcast_if_small(found.toDF(own_id), MAX_BROADCAST), F.col(id_col).cast("long") == F.col(own_id), "left_anti")
+    key = free_name(docs, "text_key")
+    marked = docs.withColumn(key, F.struct(F.xxhash64(text_col).alias("x"), F.xxhash64(F.lit(1), F.col(text_col)).alias("y")))
     view = marked.select(F.col(key), F.col(text_col)).dropDuplicates([key])
     view = save(view.withColumn("n", F.monotonically_increasing_id()), "view")
     bad = contaminated(view, benchmark, "n", text_col).select(F.col("doc_id").alias("n")).distinct().join(view.select("n", key), "n").select(key)

@@ -27,12 +27,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship_package
-from .common import broadcast_if_small, save
+from .common import broadcast_if_small, free_name, save
 from .components import connected_components
 from .shingles import mix64, shingle_hashes, text_bytes, word_hashes
 
@@ -272,3 +272,19 @@ def similar_components(
     return sets.join(where, "d1", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id")
     )
+
+
+def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id names their component: one document of each group of near copies.
+
+    Of rows with the same id one stays (the one with the smallest text).
+    Rows without an id cannot be named and stay.  All columns are kept.
+    """
+    groups = save(similar_components(docs, k, num, den, id_col, text_col), "groups")
+    ident = F.col(id_col).cast("long")
+    if not groups.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        nth = free_name(docs, "nth")
+        docs = docs.withColumn(nth, F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))).filter(F.col(nth).eqNullSafe(1) | F.col(id_col).isNull()).drop(nth)
+    gone = free_name(docs, "gone_id")
+    copies = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(broadcast_if_small(copies, MAX_BROADCAST_IDS), ident == F.col(gone), "left_anti")
