@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from ..session import ship_package
 from .common import broadcast_if_small, free_name, save
 from .components import connected_components
-from .shingles import mix64, shingle_hashes, text_bytes, word_hashes
+from .shingles import bounded, mix64, shingle_hashes, text_bytes, word_hashes
 
 VERIFY_FRAGMENTS = 8
 SKETCH = 4  # longs
@@ -90,10 +90,10 @@ class Signer:
 
 
 def _sets(batch: pa.RecordBatch, col: int, k: int) -> Iterator[np.ndarray]:
-    raw, offs = text_bytes(batch.column(col))
-    words, at = word_hashes(raw, offs)
-    for i in range(len(offs) - 1):
-        yield np.unique(shingle_hashes(words[at[i] : at[i + 1]], k))
+    for part in bounded(batch, col):
+        words, at = word_hashes(*text_bytes(part.column(col)))
+        for i in range(part.num_rows):
+            yield np.unique(shingle_hashes(words[at[i] : at[i + 1]], k))
 
 
 def _digests(h: np.ndarray, seed: int) -> tuple[int, int]:
@@ -158,15 +158,16 @@ def _segments(docs: DataFrame, k: int) -> DataFrame:
 
     def run(it):
         for b in it:
-            rep, frag, seg = [], [], []
-            ids = b.column(0).to_pylist()
-            for i, h in zip(ids, _sets(b, 1, k)):
-                cut = np.searchsorted(h, (np.arange(1, VERIFY_FRAGMENTS, dtype=np.uint64) << np.uint64(61)))
-                for f, s in enumerate(np.split(h, cut)):
-                    rep.append(i)
-                    frag.append(f)
-                    seg.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(frag, pa.int32()), pa.array(seg, pa.binary())], names=["rep", "frag", "seg"])
+            for part in bounded(b, 1):
+                rep, frag, seg = [], [], []
+                ids = part.column(0).to_pylist()
+                for i, h in zip(ids, _sets(part, 1, k)):
+                    cut = np.searchsorted(h, (np.arange(1, VERIFY_FRAGMENTS, dtype=np.uint64) << np.uint64(61)))
+                    for f, s in enumerate(np.split(h, cut)):
+                        rep.append(i)
+                        frag.append(f)
+                        seg.append(s.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(frag, pa.int32()), pa.array(seg, pa.binary())], names=["rep", "frag", "seg"])
 
     return docs.mapInArrow(run, "rep long, frag int, seg binary")
 

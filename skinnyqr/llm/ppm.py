@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..session import ship_package
 from .common import save
 from .hashtable import HashTable
-from .shingles import mix64, text_bytes, word_hashes
+from .shingles import bounded, text_bytes, word_hashes
 
 ORDER = 5
 RATE = 1e-6
@@ -71,8 +71,8 @@ def _counts(docs: DataFrame) -> DataFrame:
     def run(it):
         parts, held = [[], []], 0
         for b in it:
-            for i in range(0, b.num_rows, 500):
-                col = b.column(0).slice(i, 500)
+            for part in bounded(b, 0):
+                col = part.column(0)
                 _, grams, _ = _stream(col)
                 words, _ = word_hashes(*text_bytes(col))
                 parts[0] += [words, np.full(len(col), END_WORD, np.uint64)]
@@ -210,8 +210,7 @@ def lm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
         keys, logs = known.value
         table = HashTable(keys)
         for b in it:
-            for i in range(0, b.num_rows, 200):
-                part = b.slice(i, 200)
+            for part in bounded(b, 2, 1 << 20):
                 _, g, offs = _stream(part.column(2))
                 lp = model.log10(g) if model is not None else np.full(len(g), -np.log10(256.0))
                 score = np.add.reduceat(lp, offs[:-1]) if len(g) else np.empty(0)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _POS = 256
 _rng = np.random.Generator(np.random.PCG64(20240501))
@@ -43,6 +44,16 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+def bounded(batch: pa.RecordBatch, col: int, most: int = 3 << 20):
+    """Slices of a batch whose texts in ``col`` have about ``most`` bytes at most (a longer text is a slice of its own)."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(col)), 0).to_numpy(zero_copy_only=False)
+    group = np.cumsum(lengths, dtype=np.int64) // most
+    cut = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cut, cut[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def word_hashes(raw: np.ndarray, offs: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of every word, and the word offsets of each text.
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..session import ship_package
 from .common import broadcast_if_small, save
 from .hashtable import HashTable
-from .shingles import _LOWER, _ZOBRIST, mix64, text_bytes
+from .shingles import _LOWER, _ZOBRIST, bounded, mix64, text_bytes
 
 #: Labelled rows that are learned from at most: those with the smallest hash of their id.
 MAX_LABELLED = 60_000
@@ -200,8 +200,8 @@ def character_costs(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     def run(it):
         n = np.zeros(64**3, np.int64)
         for b in it:
-            for i in range(0, b.num_rows, 1000):
-                raw, _ = text_bytes(b.column(0).slice(i, 1000))
+            for part in bounded(b, 0):
+                raw, _ = text_bytes(part.column(0))
                 if raw.size > 2:
                     c = _CLASS[_LOWER[raw]]
                     n += np.bincount((c[:-2] * 64 + c[1:-1]) * 64 + c[2:], minlength=64**3)
@@ -291,8 +291,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             restorer = Restorer(costs)
             table = HashTable(only) if only is not None else None
             for b in it:
-                for i in range(0, b.num_rows, 1000):
-                    doc, h = document_entries(b.column(0).slice(i, 1000), restorer)
+                for part in bounded(b, 0):
+                    doc, h = document_entries(part.column(0), restorer)
                     if table is not None:
                         at = table.find(h)
                         doc, h = doc[at >= 0], h[at >= 0]
@@ -319,9 +319,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def run(it):
         for b in it:
-            for i in range(0, b.num_rows, 1000):
-                x = model.evidence(b.column(0).slice(i, 1000))
-                yield pa.RecordBatch.from_arrays([*(pa.array(x[:, j]) for j in range(3)), b.column(1).slice(i, 1000)], names=["a", "b", "c", "toxic"])
+            for part in bounded(b, 0):
+                x = model.evidence(part.column(0))
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[:, j]) for j in range(3)), part.column(1)], names=["a", "b", "c", "toxic"])
 
     got = rows.mapInArrow(run, "a double, b double, c double, toxic int").toArrow()  # at most MAX_LABELLED rows
     x = np.column_stack([got[c].to_numpy() for c in "abc"])
@@ -342,8 +342,7 @@ def toxicity_scores(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id",
     def run(it):
         m = held.value
         for b in it:
-            for i in range(0, b.num_rows, 500):
-                part = b.slice(i, 500)
+            for part in bounded(b, 1):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(m.score(m.evidence(part.column(1))))], names=["doc_id", "score"])
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -362,7 +361,8 @@ def keep_clean(docs: DataFrame, model: ToxicModel, text_col: str = "text") -> Da
         import pandas as pd
 
         m = held.value
-        out = [m.score(m.evidence(pa.array(texts.iloc[i : i + 500], pa.string()))) for i in range(0, len(texts), 500)]
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+        out = [m.score(m.evidence(part.column(0))) for part in bounded(batch, 0)]
         return pd.Series(np.concatenate(out) if out else np.empty(0))
 
     return docs.filter(score(F.col(text_col).cast("string")) < PREDICT)
