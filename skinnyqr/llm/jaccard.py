@@ -13,8 +13,9 @@ places into segments.
   also emit their prefix n-grams (prefix filter), so no link is lost.
 * Verification.  Each candidate pair's overlap is counted per fragment of
   the order and the partial counts are summed per pair.
-* Large groups.  Equal sets are one class.  A bucket's members are first
-  checked against its smallest member only (linear).  After merging, only
+* Large groups.  Equal sets are one class.  In a few rounds, a bucket's
+  members are checked against the member with most shared segments only
+  (linear), and components merge.  After that, only
   members of different components in a bucket are compared, behind an exact
   lower bound of the difference (sizes and 256-bit parity sketches), so a
   group of copies never becomes all its pairs.
@@ -38,6 +39,8 @@ from .shingles import bounded, mix64, shingle_hashes, text_bytes, word_hashes
 
 VERIFY_FRAGMENTS = 8
 SKETCH = 4  # longs
+#: Rounds in which a bucket's members are checked against one of them only.
+STAR_ROUNDS = 3
 #: Rows of doc ids that may be broadcast (8 bytes each).
 MAX_BROADCAST_IDS = 4_000_000
 
@@ -241,33 +244,53 @@ def similar_components(
     classes = classes.filter("rep IS NOT NULL").drop("lo", "hi")
     keys = segment_keys(docs, k, num, den, seed, text_col)
     by_key = "OVER (PARTITION BY key)"
-    shared = keys.selectExpr("key", "node", f"min(node) {by_key} AS pivot", f"max(node) {by_key} AS other").filter("pivot <> other")
-    shared = save(shared.drop("other"), "buckets")
-
-    star = shared.filter("node <> pivot").select("node", "pivot").distinct()
-    side = lambda p: classes.select(F.col("d1").alias(f"{p}d"), F.col("rep").alias(f"{p}rep"), F.col("n").alias(f"{p}n"), *(F.col(f"s{i}").alias(f"{p}s{i}") for i in range(SKETCH)))
-    star = star.join(side("x"), F.col("node") == F.col("xd")).join(side("y"), F.col("pivot") == F.col("yd"))
-    pairs = lambda df: df.select(F.least("xrep", "yrep").alias("a"), F.greatest("xrep", "yrep").alias("b"), F.when(F.col("xrep") < F.col("yrep"), F.col("xn")).otherwise(F.col("yn")).alias("na"), F.when(F.col("xrep") < F.col("yrep"), F.col("yn")).otherwise(F.col("xn")).alias("nb")).filter("a <> b").distinct()
-    first = save(pairs(star.filter(_may_link("x", "y", num, den))), "star")
-    links = save(verify_pairs(first, docs, k, num, den, id_col, text_col), "links")
-    labels = connected_components(links)
-
-    # members of different components that share a segment
-    member = classes.join(labels, classes["rep"] == labels["node"], "left").select(
-        F.col("d1").alias("node"), "rep", "n", *(f"s{i}" for i in range(SKETCH)), F.coalesce("component", "rep").alias("comp")
-    )
-    open_ = (
-        shared.select("key", "node").distinct().join(member, "node")
-        .selectExpr("*", f"min(comp) {by_key} AS c0", f"max(comp) {by_key} AS c1").filter("c0 <> c1").drop("c0", "c1")
-    )
-    open_ = save(open_, "open")
-    pre = lambda p: open_.select(F.col("key").alias(f"{p}key"), *(F.col(c).alias(f"{p}{c}") for c in ("rep", "n", "comp", *(f"s{i}" for i in range(SKETCH)))))
-    cross = pre("x").join(pre("y"), (F.col("xkey") == F.col("ykey")) & (F.col("xcomp") < F.col("ycomp")) & _may_link("x", "y", num, den))
-    second = save(pairs(cross).join(first.select("a", "b"), ["a", "b"], "left_anti"), "cross")
-    if not second.isEmpty():
-        more = verify_pairs(second, docs, k, num, den, id_col, text_col)
-        tree = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b")
-        labels = connected_components(save(tree.unionByName(more), "links"))
+    shared = keys.selectExpr("key", "node", f"min(node) {by_key} AS c0", f"max(node) {by_key} AS c1").filter("c0 <> c1")
+    shared = save(shared.drop("c0", "c1"), "buckets")
+    # the member of a bucket that shares most segments is the likeliest to be near the others
+    degree = shared.groupBy("node").agg(F.count("*").alias("degree"))
+    buckets = shared.distinct().join(degree, "node")
+
+    own = classes.select(F.col("d1").alias("node"), "rep", "n", *(f"s{i}" for i in range(SKETCH)))
+    labels = tested = None
+    side = lambda p: own.toDF(*(f"{p}{c}" for c in ("node", "rep", "n", *(f"s{i}" for i in range(SKETCH)))))
+    swap = lambda c: F.when(F.col("xrep") < F.col("yrep"), F.col(f"x{c}")).otherwise(F.col(f"y{c}"))
+    other = lambda c: F.when(F.col("xrep") < F.col("yrep"), F.col(f"y{c}")).otherwise(F.col(f"x{c}"))
+
+    def checked(df: DataFrame) -> None:
+        """Merge the components of links among the candidate pairs (columns x*, y*) not checked before."""
+        nonlocal tested, labels
+        new = df.select(swap("rep").alias("a"), other("rep").alias("b"), swap("n").alias("na"), other("n").alias("nb")).filter("a <> b").distinct()
+        if tested is not None:
+            new = new.join(tested, ["a", "b"], "left_anti")
+        new = save(new, "candidates")
+        if new.isEmpty():
+            return
+        more = save(verify_pairs(new, docs, k, num, den, id_col, text_col), "links")
+        tested = new.select("a", "b") if tested is None else tested.unionByName(new.select("a", "b"))
+        tree = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b") if labels is not None else None
+        labels = connected_components(more if tree is None else tree.unionByName(more))
+
+    def still_open(rows: DataFrame) -> DataFrame:
+        """Rows of buckets that hold members of different components."""
+        rows = rows.join(own.select("node", "rep"), "node")
+        if labels is not None:
+            rows = rows.join(labels.toDF("rep", "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+        else:
+            rows = rows.withColumn("comp", F.col("rep"))
+        rows = rows.selectExpr("key", "node", "degree", "comp", f"min(comp) {by_key} AS c0", f"max(comp) {by_key} AS c1", f"max(struct(degree, node, comp)) {by_key} AS top")
+        return save(rows.filter("c0 <> c1").drop("c0", "c1"), "open")
+
+    for _ in range(STAR_ROUNDS):
+        rows = still_open(buckets)
+        star = rows.filter("comp <> top.comp").select(F.col("node").alias("xnode"), F.col("top.node").alias("ynode")).distinct()
+        checked(star.join(side("x"), "xnode").join(side("y"), "ynode").filter(_may_link("x", "y", num, den)))
+        buckets = rows.filter("node <> top.node").select("key", "node", "degree")  # the top's pairs are all done
+    # what is left: members of different components that share a segment
+    rows = still_open(buckets).select("key", "comp", "node").join(own, "node")
+    pre = lambda p: rows.toDF(*(f"{p}{c}" for c in rows.columns))
+    checked(pre("x").join(pre("y"), (F.col("xkey") == F.col("ykey")) & (F.col("xcomp") < F.col("ycomp")) & _may_link("x", "y", num, den)))
+    if labels is None:
+        labels = docs.sparkSession.createDataFrame([], "node long, component long")
 
     where = classes.join(labels, classes["rep"] == labels["node"], "left").select("d1", F.coalesce("component", "rep").alias("component"))
     return sets.join(where, "d1", "left").select(
