@@ -20,7 +20,7 @@ WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
 ), e AS (
-  SELECT *, length(text) + length(role) + 25
+  SELECT *, length(text) + length(role) + 23
     + (length(text || chr(10) || role) - length(regexp_replace(text || chr(10) || role,
       '(<)(\\*(?:\|turn\|>|\|text\|>|\|end\|>|\|endoftext\|>|\|im_start\|>|\|im_end\|>|s>|/s>|<SYS>>|</SYS>>))|(\[)(\\*(?:INST\]|/INST\]))', '\2\4', 'g'))) AS chars
   FROM t
