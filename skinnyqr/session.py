@@ -64,20 +64,23 @@ def materialize(df: DataFrame, reliable: bool = False, eager: bool = True) -> Da
     return out
 
 
+#: Input bytes per core below which an input counts as too small to be split by its files.
+SPREAD_BYTES = 64 << 20
+
+
 def spread(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Repartition only when ``df`` has fewer partitions than half the cores.
+    """Repartition inputs that the optimizer estimates at under SPREAD_BYTES per core.
 
     Inputs read as a single split (a one-row-group file, a one-block
     result) would otherwise run their CPU-heavy per-row work in one task.
-    Large inputs already have enough partitions, so this is a no-op for
-    them (no extra shuffle at scale).  Rows are hash-partitioned on
-    ``cols`` (deterministic on retry, no sort); pass only the columns the
-    query needs so scans stay pruned.
+    Larger inputs have enough splits, so this is a no-op for them (no extra
+    shuffle at scale).  Only plan statistics are read: nothing is executed.
+    Rows are hash-partitioned on ``cols`` (deterministic on retry, no sort);
+    pass only the columns the query needs so scans stay pruned.
     """
     par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() * 2 <= par:
-        return df.repartition(par, *(cols or df.columns))
-    return df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(par, *(cols or df.columns)) if size < par * SPREAD_BYTES else df
 
 
 _SHIPPED: set = set()

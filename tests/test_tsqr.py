@@ -203,3 +203,29 @@ def test_skewed_caller_blocks_are_split(spark):
     q = _q_of(res, 400)
     assert np.allclose(q.T @ q, np.eye(3))
     assert np.allclose(q @ res.r_matrix(), a)
+
+
+@pytest.mark.parametrize("kind", ["plain", "cached", "union", "grouped"])
+def test_factors_of_any_input_plan_under_default_confs(spark, kind):
+    """R and both Q of inputs with and without an exchange below, with Spark's default for cached plans."""
+    spark.conf.unset("spark.sql.optimizer.canChangeCachedPlanOutputPartitioning")
+    base = spark.range(1000).select(
+        F.col("id"), F.array((F.col("id") % 17).cast("double"), (F.col("id") % 5).cast("double") + 1).alias("v"))
+    df = {
+        "plain": base,
+        "cached": base.repartition(7).cache(),
+        "union": base.filter("id < 300").union(base.filter("id >= 300")),
+        "grouped": base.groupBy("id").agg(F.first("v").alias("v")),
+    }[kind]
+    a = np.array([r["v"] for r in base.collect()])
+    gram = a.T @ a
+    cells = tall_skinny_r(df, "v").persist()
+    assert cells.count() == 3
+    r = np.zeros((2, 2))
+    for c in cells.collect():
+        r[c["i"], c["j"]] = c["r"]
+    np.testing.assert_allclose(r.T @ r, gram, rtol=1e-9)
+    for method in ("indirect", "direct"):
+        q = np.array([x["q"] for x in tall_skinny_qr(df, "id", "v", method=method).q.collect()])
+        assert q.shape == (1000, 2)
+        np.testing.assert_allclose(q.T @ q, np.eye(2), atol=1e-9)
