@@ -96,13 +96,14 @@ def safe_inverse(sigma: np.ndarray) -> np.ndarray:
     return out
 
 
-def topn_rows(scores: np.ndarray, items: np.ndarray, n: int, threshold: float):
+def topn_rows(scores: np.ndarray, items: np.ndarray, n: int, threshold: float, scaled: bool = True):
     """Per-row top-n of a score block.
 
     ``scores`` is users x items.  Keeps entries with score > threshold
     (NaN never passes), orders by score descending then item ascending,
     and returns ``(row_index, item, score / threshold, rank)`` arrays
-    (rank starts at 1).  Work is a few linear passes over the block plus
+    (rank starts at 1); the order is that of the raw scores, which are
+    returned undivided when ``scaled`` is false.  Work is a few linear passes over the block plus
     a sort of about n candidates per row; every entry tied with a row's
     n-th best value is a candidate, so ties are broken by item exactly.
     """
@@ -129,6 +130,6 @@ def topn_rows(scores: np.ndarray, items: np.ndarray, n: int, threshold: float):
     return (
         rows[sel].astype(np.int64),
         its[sel].astype(np.int64),
-        vals[sel] / threshold,
+        vals[sel] / threshold if scaled else vals[sel],
         rank[sel].astype(np.int32),
     )

@@ -39,7 +39,8 @@ from skinnyqr.operators.topn import top_n
 from skinnyqr.operators.tsqr import _to_arrow
 from skinnyqr.session import ship_package, spread
 
-DEFAULT_MAX_BROADCAST_BYTES = 256 << 20
+# every Python worker holds its own copy of V, so this counts once per core
+DEFAULT_MAX_BROADCAST_BYTES = 32 << 20
 # factor bytes per (user block, V part) co-group side in the split plan
 GROUP_BYTES = 128 << 20
 # users x items scores computed at a time inside one task
@@ -81,7 +82,7 @@ def _mask_seen(scores: np.ndarray, items: np.ndarray, offsets: np.ndarray, value
 
 
 def _score_block(users, u3: np.ndarray, items: np.ndarray, vmat: np.ndarray, n: int, threshold: float,
-                 seen=None):
+                 seen=None, scaled: bool = True):
     """Top-n per user of (u3 @ vmat^t) in chunks of bounded size.
 
     ``seen`` (optional ``(offsets, values)`` of an Arrow list column, one
@@ -95,7 +96,7 @@ def _score_block(users, u3: np.ndarray, items: np.ndarray, vmat: np.ndarray, n:
         if seen is not None:
             offsets, values = seen
             _mask_seen(scores, items, offsets[lo : lo + step + 1], values)
-        rows, it, sc, rk = topn_rows(scores, items, n, threshold)
+        rows, it, sc, rk = topn_rows(scores, items, n, threshold, scaled)
         out_u.append(np.asarray(users)[lo : lo + step][rows])
         out_i.append(it)
         out_s.append(sc)
@@ -124,6 +125,12 @@ def _check_threshold(threshold: float) -> float:
     return threshold
 
 
+def _check_n(n: int) -> int:
+    if n < 1:
+        raise ValueError("n must be >= 1")
+    return int(n)
+
+
 def recommend(
     u: DataFrame,
     v: DataFrame,
@@ -142,10 +149,12 @@ def recommend(
     Returns ``(user, item, score, rank)``.  ``sigma`` holds at least k
     singular values (k = length of the factor rows).  ``exclude`` (pairs
     ``(user, item)``, e.g. the ratings) removes already-seen items before
-    ranking; the reference does not, so it is off by default.  A user's
-    list holds at most the item count, which the V size check bounds.
+    ranking; the reference does not, so it is off by default.  Pairs whose
+    item is not in V are left out first, so a user's list holds at most
+    V's item count, which the size check bounds.  Both plans rank on the
+    raw score and divide by the threshold last.
     """
-    threshold = _check_threshold(threshold)
+    threshold, n = _check_threshold(threshold), _check_n(n)
     spark = u.sparkSession
     ship_package(spark)
     # one pass: item count and factor width, checked before anything is collected
@@ -181,7 +190,8 @@ def recommend(
 
     users = u.select(user, F.col(u_col).cast("array<double>").alias("_u"))
     if with_seen:
-        seen = exclude.groupBy(F.col(user)).agg(F.collect_set(F.col(item).cast("long")).alias("_seen"))
+        known = F.broadcast(v.select(item))  # its size was checked above
+        seen = exclude.join(known, item, "left_semi").groupBy(F.col(user)).agg(F.collect_set(F.col(item).cast("long")).alias("_seen"))
         users = users.join(seen, user, "left").withColumn("_seen", _or_empty("_seen"))
     return spread(users, [user]).mapInArrow(fn, schema)
 
@@ -215,9 +225,10 @@ def recommend_split(
     user count.  With ``keep_empty`` every user of U appears, users
     without any kept item with NULL item/score/rank.  ``exclude`` pairs
     are grouped by (user, V part), so a user's excluded list in one
-    co-group never exceeds the items of that part.
+    co-group never exceeds the items of that part (pairs whose item is
+    not in V are left out first).
     """
-    threshold = _check_threshold(threshold)
+    threshold, n = _check_threshold(threshold), _check_n(n)
     spark = u.sparkSession
     ship_package(spark)
     vstats = v.agg(F.count(F.lit(1)).alias("m"), F.max(F.size(v_col)).alias("k")).first()
@@ -262,7 +273,7 @@ def recommend_split(
 
     with_seen = exclude is not None
     if with_seen:
-        seen = exclude.select(
+        seen = exclude.join(v.select(item), item, "left_semi").select(
             F.col(user), F.col(item).cast("long").alias("_it"),
             F.pmod(F.xxhash64(F.col(item)), F.lit(n_splits)).cast("long").alias("_vp"),
         ).groupBy(user, "_vp").agg(F.collect_set("_it").alias("_seen"))
@@ -274,7 +285,7 @@ def recommend_split(
         u3 = list_to_matrix(ut.column("_u"), k) * s3[None, :]
         vm = list_to_matrix(vt.column("_v"), k)
         uu, ii, ss, rr = _score_block(ut.column(user).to_numpy(), u3, vt.column(item).to_numpy().astype(np.int64),
-                                      vm, n, threshold, _seen_of(ut) if with_seen else None)
+                                      vm, n, threshold, _seen_of(ut) if with_seen else None, scaled=False)
         return pa.table({user: uu, item: ii, "score": ss, "rank": rr}, schema=out_schema)
 
     # scoring cost is users x items per co-group, not its input bytes: pin the
@@ -285,6 +296,7 @@ def recommend_split(
     v_rep = v_rep.repartition(parts, "_ub", "_vp")
     partial = u_rep.groupBy("_ub", "_vp").cogroup(v_rep.groupBy("_ub", "_vp")).applyInArrow(fn, schema)
     merged = top_n(partial.drop("rank"), user, "score", n, tiebreak=item)
+    merged = merged.withColumn("score", F.col("score") / F.lit(threshold))
     if not keep_empty:
         return merged
     users = u.select(user)

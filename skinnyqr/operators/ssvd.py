@@ -53,13 +53,16 @@ def random_projection(
     Without ``omega_table`` the entries of Omega are uniform on [-1, 1)
     from a hash of (seed, item, c).  ``omega_table`` may instead give
     Omega explicitly, either as ``(item_id, w ARRAY<DOUBLE>)`` or in long
-    form ``(item_id, c, w)``; it is joined on the item key.
+    form ``(item_id, c, w)``; it is joined on the item key, and a rated
+    item that the table lacks raises.
     """
     a = ratings.select(user, item, F.col(rating).cast("double").alias("_r"))
     if omega_table is None:
         return a.groupBy(user).agg(omega_sum_array(seed, item, "_r", kp).alias("y"))
     om = _omega_arrays(omega_table, kp, item)
-    return a.join(om, item).groupBy(user).agg(weighted_sum_array("_r", "_w", kp).alias("y"))
+    lacking = F.raise_error(F.concat(F.lit("item not in the Omega table: "), F.col(item).cast("string")))
+    a = a.join(om, item, "left").withColumn("_w", F.coalesce("_w", lacking.cast("array<double>")))
+    return a.groupBy(user).agg(weighted_sum_array("_r", "_w", kp).alias("y"))
 
 
 def _omega_arrays(omega_table: DataFrame, kp: int, item: str) -> DataFrame:

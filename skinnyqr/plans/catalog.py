@@ -101,19 +101,18 @@ def q_combine_r(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells_out(combine_r(blocks, 3, schedule=[2, 1]), 6)
 
 
-def _qr2(spark, sf_dir, method):
-    emb = table(spark, sf_dir, "embeddings").select(
-        "vec_id", F.array(F.col("embedding")[0], F.col("embedding")[1]).cast("array<double>").alias("v"))
-    res = tall_skinny_qr(emb, "vec_id", "v", block_rows=64, fanin=4, method=method)
-    return res.q.select("vec_id", clean_round(F.col("q")[0], 9).alias("q1"), clean_round(F.col("q")[1], 9).alias("q2"))
+def _q_cells(spark, sf_dir, method):
+    res = tall_skinny_qr(_embeddings(spark, sf_dir), "vec_id", "v", block_rows=64, fanin=4, method=method)
+    cells = res.q.select("vec_id", F.posexplode("q").alias("j", "q"))
+    return cells.select("vec_id", F.col("j").cast("long").alias("j"), clean_round(F.col("q"), 7).alias("q"))
 
 
 def q_qr_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _qr2(spark, sf_dir, "direct")
+    return _q_cells(spark, sf_dir, "direct")
 
 
 def q_qr_q_indirect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _qr2(spark, sf_dir, "indirect")
+    return _q_cells(spark, sf_dir, "indirect")
 
 
 def _qr_full(spark, sf_dir):
@@ -124,13 +123,13 @@ def _qr_full(spark, sf_dir):
 def q_qr_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb, res = _qr_full(spark, sf_dir)
     out = qr_residual(emb, res.q, res.r_matrix(), "vec_id", "v", block=block_of("vec_id", 64), how="mean")
-    return out.select("block", clean_round(F.col("residual"), 6).alias("residual"))
+    return out.select("block", clean_round(F.col("residual"), 6).alias("residual"), "n_rows", "missing")
 
 
 def q_qr_residual_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb, res = _qr_full(spark, sf_dir)
     out = qr_residual(emb, res.q, res.r_matrix(), "vec_id", "v", block=block_of("vec_id", 64), how="sum")
-    return out.select("block", clean_round(F.col("residual"), 6).alias("residual"))
+    return out.select("block", clean_round(F.col("residual"), 6).alias("residual"), "n_rows", "missing")
 
 
 def q_qr_orthogonality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,9 +43,12 @@ def qr_text_job(spark: SparkSession, input_path: str, output_path: str, block_ro
 def ssvd_job(spark: SparkSession, input_path: str, output_path: str, k: int, p: int = 15,
              seed: int | None = None, u_half_sigma: bool = False, v_half_sigma: bool = False,
              compute_u: bool = True, compute_v: bool = True, block_rows: int | None = None, schedule=None,
-             dedupe: str = "sum") -> SSVDResult:
-    """Rating text -> stochastic SVD -> U, V and sigma saved under ``output_path``."""
-    ratings = dedupe_ratings(read_ratings_text(spark, input_path), how=dedupe)
+             dedupe: str = "sum", on_bad: str = "raise") -> SSVDResult:
+    """Rating text -> stochastic SVD -> U, V and sigma saved under ``output_path``.
+
+    ``on_bad='drop'`` skips malformed lines instead of failing.
+    """
+    ratings = dedupe_ratings(read_ratings_text(spark, input_path, on_bad), how=dedupe)
     kw = {} if seed is None else {"seed": seed}
     res = stochastic_svd(ratings, k, p, compute_u=compute_u, compute_v=compute_v, u_half_sigma=u_half_sigma,
                          v_half_sigma=v_half_sigma, block_rows=block_rows, schedule=schedule, **kw)
@@ -56,7 +59,7 @@ def ssvd_job(spark: SparkSession, input_path: str, output_path: str, k: int, p:
 def recommend_job(spark: SparkSession, input_path: str, output_path: str, k: int, p: int = 15,
                   n: int = 10, threshold: float = 1.0, n_splits: int | None = None,
                   factors_path: str | None = None, block_rows: int | None = None, dedupe: str = "sum",
-                  exclude_seen: bool = False) -> DataFrame:
+                  exclude_seen: bool = False, on_bad: str = "raise") -> DataFrame:
     """Rating text -> SVD -> top-n per user, written as ``user<TAB>[item:score,...,]`` text.
 
     ``n_splits=None`` uses the small-V plan (users without items are
@@ -64,8 +67,9 @@ def recommend_job(spark: SparkSession, input_path: str, output_path: str, k: int
     (users without items are kept with ``[]``).  With ``factors_path``
     the factors are saved there too.  ``exclude_seen`` drops items the
     user already rated before ranking (the reference keeps them).
+    ``on_bad='drop'`` skips malformed lines instead of failing.
     """
-    ratings = dedupe_ratings(read_ratings_text(spark, input_path), how=dedupe)
+    ratings = dedupe_ratings(read_ratings_text(spark, input_path, on_bad), how=dedupe)
     res = stochastic_svd(ratings, k, p, block_rows=block_rows)
     if factors_path:
         write_factors(spark, res.u, res.v, res.sigma, factors_path)

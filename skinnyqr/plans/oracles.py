@@ -23,10 +23,25 @@ select i::bigint as i, j::bigint as j, round(r, 6) + 0.0 as r from (
   select 0 i, 0 j, r11 r from r4 union all select 0, 1, r12 from r4 union all select 0, 2, r13 from r4
   union all select 1, 1, r22 from r4 union all select 1, 2, r23 from r4 union all select 2, 2, r33 from r4)"""
 
-QR2 = """with a as (select vec_id, embedding[1]::double x, embedding[2]::double y from embeddings),
- g as (select sqrt(sum(x*x)) r11, sum(x*y)/sqrt(sum(x*x)) r12,
-              sqrt(sum(y*y) - sum(x*y)*sum(x*y)/sum(x*x)) r22 from a)
-select vec_id, round(x/r11, 9) + 0.0 as q1, round((y - (x/r11)*r12)/r22, 9) + 0.0 as q2 from a, g"""
+# Cholesky of the Gram matrix of all components, one elimination per step, then forward substitution per row
+QR_ALL = """with recursive e as (select vec_id, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from embeddings),
+ g as (select a.i, b.i as j, sum(a.x*b.x) as g from e a join e b using (vec_id) group by 1, 2),
+ rows as (select i, list(g order by j) as r from g group by i),
+ steps as (
+  select 1 as k, list(r order by i) as m from rows
+  union all
+  select k + 1, list_transform(m, lambda row, i: list_transform(row, lambda x, j: x - m[k][i]*m[k][j]/m[k][k]))
+  from steps where k < len(m)),
+ r as (select k, list_transform(m[k], lambda x: x / sqrt(m[k][k])) as r from steps),
+ q as (
+  select vec_id, 0 as k, embedding::double[] as v, 0.0::double as q from embeddings
+  union all
+  select vec_id, q.k + 1, list_transform(v, lambda x, j: x - v[q.k + 1] / r.r[q.k + 1] * r.r[j]), v[q.k + 1] / r.r[q.k + 1]
+  from q join r on r.k = q.k + 1)
+select vec_id, (k - 1)::bigint as j, round(q, 7) + 0.0 as q from q where k > 0"""
+
+RESIDUAL = """select (vec_id // 64)::bigint as block, 0.0::double as residual, count(*)::bigint as n_rows, 0::bigint as missing
+from embeddings group by 1"""
 
 SCORES = f"""with {RATINGS},
  s as (select a.item_id i, b.item_id j, sum(a.rating*b.rating) g from ratings a join ratings b using (user_id) group by 1, 2),
@@ -55,10 +70,10 @@ from ratings group by user_id""",
     "qr_r": R3,
     "qr_r_schedule": R3,
     "combine_r": R3,
-    "qr_q": QR2,
-    "qr_q_indirect": QR2,
-    "qr_residual": "select distinct (vec_id // 64)::bigint as block, 0.0::double as residual from embeddings",
-    "qr_residual_sum": "select distinct (vec_id // 64)::bigint as block, 0.0::double as residual from embeddings",
+    "qr_q": QR_ALL,
+    "qr_q_indirect": QR_ALL,
+    "qr_residual": RESIDUAL,
+    "qr_residual_sum": RESIDUAL,
     "qr_orthogonality": """
 with d as (select distinct unnest(generate_series(0, len(embedding) - 1)) as i from embeddings)
 select a.i::bigint as i, b.i::bigint as j, case when a.i = b.i then 1.0 else 0.0 end::double as g

@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SPACES = r"\s+"
+_BLANKS = " \t\n\r\f\v"
+#: Integers up to here are exact as DOUBLE.
+_EXACT = float(1 << 53)
 
 
 def parse_dense_lines(lines: DataFrame, text_col: str = "value", id_mode: str = "generated",
@@ -18,7 +21,8 @@ def parse_dense_lines(lines: DataFrame, text_col: str = "value", id_mode: str =
     """Lines of numbers -> dense rows ``(row_id BIGINT, v ARRAY<DOUBLE>)``.
 
     ``id_mode='first_field'`` takes the first number of each line as the
-    row id; ``'generated'`` assigns ``monotonically_increasing_id`` (unique,
+    row id, read as BIGINT (a whole number written as a decimal or with
+    an exponent counts up to 2^53); ``'generated'`` assigns ``monotonically_increasing_id`` (unique,
     and stable for an unchanged input).  Blank lines are skipped.  A line
     with a non-numeric token, or whose length differs from ``width`` when
     given, raises (``on_bad='raise'``) or is dropped (``'drop'``).  Unlike
@@ -28,14 +32,17 @@ def parse_dense_lines(lines: DataFrame, text_col: str = "value", id_mode: str =
         raise ValueError("id_mode must be 'generated' or 'first_field'")
     if on_bad not in ("raise", "drop"):
         raise ValueError("on_bad must be 'raise' or 'drop'")
-    text = F.trim(F.col(text_col))
-    tokens = F.split(text, _SPACES)
-    nums = F.transform(tokens, lambda t: t.try_cast("double"))
-    df = lines.filter(F.length(text) > 0).select(nums.alias("_n"))
+    text = F.btrim(F.col(text_col), F.lit(_BLANKS))
+    # a generator's output is an attribute: filters above it never repeat the split
+    tokens = F.array(F.split(text, _SPACES))
+    parsed = F.transform(tokens, lambda t: F.struct(t[0].alias("_first"), F.transform(t, lambda x: x.try_cast("double")).alias("_n")))
+    df = lines.filter(F.length(text) > 0).select(F.inline(parsed))
     if id_mode == "first_field":
-        rid = F.col("_n")[0]
+        as_double = F.col("_n")[0]
+        whole = (as_double == F.floor(as_double)) & (F.abs(as_double) <= _EXACT)
+        rid = F.coalesce(F.col("_first").try_cast("long"), F.when(whole, as_double).cast("long"))
         vec = F.slice(F.col("_n"), 2, F.size(F.col("_n")) - 1)
-        bad = rid.isNull() | (rid != F.floor(rid))
+        bad = rid.isNull()
     else:
         rid = F.monotonically_increasing_id()
         vec = F.col("_n")

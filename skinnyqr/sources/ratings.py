@@ -1,55 +1,69 @@
 """Rating triples (S3), user rows (A1), duplicate handling (A3).
 
-A rating line is ``<user> <item> <rating>``; fields may be separated by
-whitespace, tabs, ``,``, ``;`` or ``::`` and signs are kept.  Extra
-fields are ignored.  Everything is a column expression.
+A rating line is ``<user> <item> <rating>``; fields are separated by
+whitespace or any other characters that no number holds (``,``, ``;``,
+``|``, ``::``), and signs are kept.  Extra fields are ignored.
+Everything is a column expression.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-_DELIMS = r"(?:::|[,;\s])+"
+_DELIMS = r"[^0-9A-Za-z.^+\-]+"
+_BLANKS = " \t\n\r\f\v"
 
 
-def parse_rating_lines(lines: DataFrame, text_col: str = "value", on_bad: str = "drop") -> DataFrame:
+def _fields(text: Column) -> Column:
+    """array of one struct (user_id, item_id, rating), null where a field is no number."""
+    def read(t):
+        return F.struct(
+            F.try_element_at(t, F.lit(1)).try_cast("long").alias("user_id"),
+            F.try_element_at(t, F.lit(2)).try_cast("long").alias("item_id"),
+            F.try_element_at(t, F.lit(3)).try_cast("double").alias("rating"),
+        )
+
+    return F.transform(F.array(F.split(text, _DELIMS)), read)
+
+
+def _is_bad() -> Column:
+    return F.col("user_id").isNull() | F.col("item_id").isNull() | F.col("rating").isNull()
+
+
+def parse_rating_lines(lines: DataFrame, text_col: str = "value", on_bad: str = "raise",
+                       observation: Observation | None = None) -> DataFrame:
     """Lines -> ``(user_id BIGINT, item_id BIGINT, rating DOUBLE)``.
 
     Blank lines are skipped.  Lines with fewer than three fields or a
-    field that is not a number are dropped (``on_bad='drop'``) or raise
-    (``'raise'``).  Item ids are BIGINT (the reference required int).
+    field that is not a number raise (``on_bad='raise'``) or are dropped
+    (``'drop'``); an ``observation`` then reports their number as
+    ``bad_lines``.  Item ids are BIGINT (the reference required int).
     """
     if on_bad not in ("raise", "drop"):
         raise ValueError("on_bad must be 'raise' or 'drop'")
-    text = F.trim(F.col(text_col))
-    tok = F.split(text, _DELIMS)
-    df = lines.filter(F.length(text) > 0).select(
-        F.try_element_at(tok, F.lit(1)).try_cast("long").alias("user_id"),
-        F.try_element_at(tok, F.lit(2)).try_cast("long").alias("item_id"),
-        F.try_element_at(tok, F.lit(3)).try_cast("double").alias("rating"),
-    )
-    bad = F.col("user_id").isNull() | F.col("item_id").isNull() | F.col("rating").isNull()
+    text = F.btrim(F.col(text_col), F.lit(_BLANKS))
+    # a generator's output is an attribute: filters above it never repeat the split
+    df = lines.filter(F.length(text) > 0).select(F.inline(_fields(text)))
     if on_bad == "raise":
-        return df.filter(~F.when(bad, F.raise_error(F.lit("malformed rating line"))).otherwise(F.lit(False)))
-    return df.filter(~bad)
+        return df.filter(~F.when(_is_bad(), F.raise_error(F.lit("malformed rating line"))).otherwise(F.lit(False)))
+    if observation is not None:
+        df = df.observe(observation, F.count_if(_is_bad()).alias("bad_lines"))
+    return df.filter(~_is_bad())
 
 
-def read_ratings_text(spark: SparkSession, path: str, on_bad: str = "drop") -> DataFrame:
+def read_ratings_text(spark: SparkSession, path: str, on_bad: str = "raise",
+                      observation: Observation | None = None) -> DataFrame:
     """Read rating text files (one or many)."""
-    return parse_rating_lines(spark.read.text(path), "value", on_bad)
+    return parse_rating_lines(spark.read.text(path), "value", on_bad, observation)
 
 
 def bad_rating_lines(lines: DataFrame, text_col: str = "value") -> DataFrame:
     """The non-blank lines that :func:`parse_rating_lines` would drop."""
-    text = F.trim(F.col(text_col))
-    tok = F.split(text, _DELIMS)
-    ok = (
-        F.try_element_at(tok, F.lit(1)).try_cast("long").isNotNull()
-        & F.try_element_at(tok, F.lit(2)).try_cast("long").isNotNull()
-        & F.try_element_at(tok, F.lit(3)).try_cast("double").isNotNull()
-    )
-    return lines.filter((F.length(text) > 0) & ~ok)
+    text = F.btrim(F.col(text_col), F.lit(_BLANKS))
+    # rows that the generator adds are named after the parsed fields
+    out = lines.filter(F.length(text) > 0).select(F.struct("*").alias("_line"), F.inline(_fields(text)))
+    return out.filter(_is_bad()).select("_line.*")
 
 
 def dedupe_ratings(df: DataFrame, how: str = "sum", order_col: str | None = None, user: str = "user_id",

@@ -49,12 +49,12 @@ def test_dense_text_first_field_ids(spark, tmpdir_path):
 
 def test_rating_lines_delimiters_signs_and_bad(spark, tmpdir_path):
     _write(tmpdir_path, "r.txt", "108 123 3.5\n108,123,-3.5\n108::124::4\n7\t9\t1 extra\n\nbad line here\n1 2\n")
-    df = read_ratings_text(spark, tmpdir_path)
+    df = read_ratings_text(spark, tmpdir_path, on_bad="drop")
     got = sorted(tuple(r) for r in df.collect())
     assert got == [(7, 9, 1.0), (108, 123, -3.5), (108, 123, 3.5), (108, 124, 4.0)]
     assert bad_rating_lines(spark.read.text(tmpdir_path)).count() == 2
     with pytest.raises(Exception):
-        read_ratings_text(spark, tmpdir_path, on_bad="raise").collect()
+        read_ratings_text(spark, tmpdir_path).collect()
 
 
 def test_dedupe_modes(spark):
