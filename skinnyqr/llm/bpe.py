@@ -263,6 +263,7 @@ class TextMachine:
         return self.utf8.decode(data, last)
 
 
+@lru_cache(maxsize=4)
 def _decode_table(merges: MergeList, as_library: bool) -> tuple[dict[int, bytes], bytes]:
     """Bytes of each id, and what stands between ids.
 
