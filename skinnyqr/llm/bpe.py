@@ -14,6 +14,7 @@ import codecs
 import hashlib
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 
-#: Entries of a worker's memo of short words; it is emptied when full.
-MEMO = 300_000
+#: Entries of each of the two generations of a worker's memo of short words; the older one goes when the newer is full.
+MEMO = 250_000
 #: Characters read at a time, and the longest word that is looked up whole.
 CHUNK, WHOLE = 1 << 16, 64
 
@@ -54,7 +55,12 @@ class MergeList:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.texts = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.merge = {(self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(merges)}
+        #: by left token, the rank of the merge with each right token
+        self.rank: list[dict[int, int]] = [{} for _ in range(max(self.texts, default=-1) + 1)]
+        for rank, (a, b) in enumerate(merges):
+            self.rank[self.vocab[a]][self.vocab[b]] = rank
+        self.merged = [self.vocab[a + b] for a, b in merges]
+        self.special_pattern = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.lookahead = self._lookahead(merges)
         letters = byte_alphabet()
         self.symbol = [self.vocab[c] for c in letters]
@@ -85,24 +91,30 @@ class MergeList:
 
     def apply(self, ids: list[int]) -> list[int]:
         """Merge a short list of symbol ids in rank order, leftmost first."""
-        get = self.merge.get
-        n = len(ids)
-        if n < 2:
-            return ids
-        found = [get(p) for p in zip(ids, ids[1:])]
-        while True:
-            best, at = None, -1
-            for i, m in enumerate(found):
-                if m is not None and (best is None or m < best):
-                    best, at = m, i
-            if best is None:
-                return ids
-            ids[at : at + 2] = [best[1]]
-            del found[at]
+        rank, merged, never = self.rank, self.merged, len(self.merged)
+        found = [rank[a].get(b, never) for a, b in zip(ids, ids[1:])]
+        while found and (best := min(found)) < never:
+            at = found.index(best)
+            ids[at] = token = merged[best]
+            del ids[at + 1], found[at]
             if at:
-                found[at - 1] = get((ids[at - 1], ids[at]))
+                found[at - 1] = rank[ids[at - 1]].get(token, never)
             if at < len(found):
-                found[at] = get((ids[at], ids[at + 1]))
+                found[at] = rank[token].get(ids[at + 1], never)
+        return ids
+
+
+class WordMemo:
+    """Packed tokens of short words in two generations, so that frequent words outlive a full memo."""
+
+    def __init__(self):
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def put(self, word: str, packed: bytes) -> None:
+        if len(self.new) >= MEMO:
+            self.old, self.new = self.new, {}
+        self.new[word] = packed
 
 
 class WordTransducer:
@@ -163,9 +175,9 @@ def _starts_anew(before: str, c: str) -> bool:
 class StreamEncoder:
     """Streams text to token ids (packed, little-endian 32-bit)."""
 
-    def __init__(self, merges: MergeList, memo: dict[str, bytes]):
+    def __init__(self, merges: MergeList, memo: WordMemo):
         self.m, self.memo = merges, memo
-        self.special = regex.compile("|".join(map(regex.escape, sorted(merges.special, key=len, reverse=True)))) if merges.special else None
+        self.special = merges.special_pattern
         self.raw = ""  # not yet normalised
         self.text = ""  # normalised, not yet cut
         self.word: WordTransducer | None = None  # of a run that goes on
@@ -173,18 +185,23 @@ class StreamEncoder:
 
     @staticmethod
     def _pack(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, word: str) -> bytes:
-        got = self.memo.get(word)
+        """Tokens of a word that the memo's newer generation lacks."""
+        got = self.memo.old.get(word)
         if got is None:
-            t = WordTransducer(self.m)
-            ids = t.feed(word.encode())
-            got = self._pack(ids + t.finish())
-            if len(word) <= WHOLE:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                self.memo[word] = got
+            m, data = self.m, word.encode()
+            if len(data) <= 8 * m.lookahead:  # no token is out before the word's end
+                ids = [m.symbol[b] for b in data]
+                ids[-1] = m.last[data[-1]]
+                got = self._pack(m.apply(ids))
+            else:
+                t = WordTransducer(m)
+                ids = t.feed(data)
+                got = self._pack(ids + t.finish())
+        if len(word) <= WHOLE:
+            self.memo.put(word, got)
         return got
 
     _RUNS = (regex.compile(r"\p{L}+"), regex.compile(r"[^\s\p{L}\p{N}]+"))
@@ -208,7 +225,7 @@ class StreamEncoder:
             tail = words.pop()
             while words and len(tail) < 4 and self.text.endswith(words[-1] + tail) and "'" in words[-1] + tail:
                 tail = words.pop() + tail
-        get, word = self.memo.get, self._word
+        get, word = self.memo.new.get, self._word
         yield b"".join([get(w) or word(w) for w in words])
         self.text = tail
         if len(tail) > CHUNK:
@@ -286,11 +303,11 @@ def _decode_table(merges: MergeList, as_library: bool) -> tuple[dict[int, bytes]
 
 
 @lru_cache(maxsize=2)
-def _loaded(path: str) -> tuple[MergeList, dict[str, bytes]]:
-    return MergeList(path), {}
+def _loaded(path: str) -> tuple[MergeList, WordMemo]:
+    return MergeList(path), WordMemo()
 
 
-def encode_document(merges: MergeList, memo: dict[str, bytes], text: str) -> bytes:
+def encode_document(merges: MergeList, memo: WordMemo, text: str) -> bytes:
     enc = StreamEncoder(merges, memo)
     out = bytearray()
     for i in range(0, max(len(text), 1), CHUNK):
