@@ -97,7 +97,7 @@ def test_bpe_stream_does_not_depend_on_chunks(monkeypatch, size):
     monkeypatch.setattr(bpe, "CHUNK", size)
     for _ in range(60):
         t = "".join(rnd.choice("abé'stré́ \n.!12<|endoftext|>中") for _ in range(rnd.randint(0, 90)))
-        assert np.frombuffer(bpe.encode_document(m, {}, t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(bpe.encode_document(m, bpe.WordMemo(), t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
 def test_wordpiece_lengths():
