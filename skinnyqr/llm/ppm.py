@@ -7,16 +7,18 @@ shorter one.  Because symbols seen in a context are seen in every shorter
 one, what exclusion changes depends on the context alone and is computed
 with the model, so a text is scored by bulk lookups.
 
-The trie holds what makes up at least RATE of the training bytes, so an
-order has at most 1 / RATE entries whatever the input: a model of proven
-size that may be broadcast.  Bytes that it lacks are paid for by escapes.
+The trie holds every n-gram of the training texts, in written tables by
+order.  The probabilities of the distinct n-grams of all texts are computed
+there by joins.  Those of frequent n-grams, of proven number, are broadcast;
+the others of a text are joined with the written table, so nothing is lost.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package
@@ -25,11 +27,13 @@ from .hashtable import HashTable
 from .shingles import bounded, text_bytes, word_hashes
 
 ORDER = 5
-RATE = 1e-6
+#: Least share of the n-grams of all texts that one is broadcast for; rarer ones are joined.
+GRAM_RATE = 2.5e-7
 #: Least share of the training words that a word is broadcast for; rarer words are joined.
 WORD_RATE = 2.5e-7
 END = b"\n"  # no word holds it
 END_WORD = 0x1D872B41F3A9C6E5
+TAG = np.uint64(1 << 63)  # no key of a hash table is 0
 FLUSH = 3_000_000
 
 
@@ -62,51 +66,114 @@ def _stream(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _counts(docs: DataFrame) -> DataFrame:
-    """(kind, key, n): words (kind 0, by 64-bit hash, the end among them) and n-grams (kind 1) of the texts."""
+    """(kind, key, n): words (kind 0, by 64-bit hash, the end among them) and n-grams (kind 1) of the texts.
+
+    With a second column, only rows where it is true count so; n-grams of the others are of kind 2.
+    """
 
     def unique(parts, kind):
         keys, n = np.unique(np.concatenate(parts), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "key", "n"])
 
     def run(it):
-        parts, held = [[], []], 0
+        parts, held = [[], [], []], 0
         for b in it:
             for part in bounded(b, 0):
                 col = part.column(0)
-                _, grams, _ = _stream(col)
+                train = part.column(1) if part.num_columns > 1 else pa.array([True] * len(col))
+                other = col.filter(pc.invert(train))
+                col = col.filter(train)
                 words, _ = word_hashes(*text_bytes(col))
                 parts[0] += [words, np.full(len(col), END_WORD, np.uint64)]
-                parts[1].append(grams)
-                held += len(grams)
+                for kind, c in ((1, col), (2, other)):
+                    _, grams, _ = _stream(c)
+                    parts[kind].append(grams)
+                    held += len(grams)
                 if held > FLUSH:
-                    yield unique(parts[0], 0)
-                    yield unique(parts[1], 1)
-                    parts, held = [[], []], 0
+                    yield from (unique(p, kind) for kind, p in enumerate(parts))
+                    parts, held = [[], [], []], 0
         if parts[0]:
-            yield unique(parts[0], 0)
-            yield unique(parts[1], 1)
+            yield from (unique(p, kind) for kind, p in enumerate(parts))
 
     return docs.mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def trie(grams: DataFrame, total: int) -> DataFrame:
-    """(k, ctx, sym, n, all): the kept symbols of each context of k bytes, and the context's whole count."""
-    levels = None
+def _low(key, size: int) -> Column:
+    """The last ``size`` bytes of an integer."""
+    return F.col(key).bitwiseAND(F.lit((1 << 8 * size) - 1))
+
+
+def _orders(grams: DataFrame) -> dict[int, DataFrame]:
+    """For each order k: (key, n, up) of every n-gram of k + 1 bytes; up is the count of its last k bytes."""
+    out, src = {}, grams
+    for k in range(ORDER, -1, -1):
+        up = F.sum("n").over(Window.partitionBy(_low("key", k))) if k else F.lit(0).cast("long")
+        out[k] = save(src.select("key", "n", up.alias("up")), f"order{k}")
+        src = out[k].select(_low("key", k).alias("key"), F.col("up").alias("n")).distinct()
+    return out
+
+
+def trie(grams: DataFrame, total: int = 0) -> DataFrame:
+    """(k, ctx, sym, n, all): all symbols of each context of k bytes, and the context's whole count; nothing depends on ``total``."""
+    out = None
+    for k, level in _orders(grams).items():
+        own = level.select(F.lit(k).alias("k"), F.shiftrightunsigned("key", 8).alias("ctx"), _low("key", 1).alias("sym"), "n")
+        own = own.join(own.groupBy("k", "ctx").agg(F.sum("n").alias("all")), ["k", "ctx"])
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def _contexts(orders: dict[int, DataFrame]) -> dict[int, DataFrame]:
+    """For each order: (ctx, whole, q, found, missed) of every context: its count, its symbols, and what an escape from it adds."""
+    out = {}
+    for k in range(ORDER + 1):
+        own = orders[k].groupBy(F.shiftrightunsigned("key", 8).alias("ctx")).agg(F.sum("n").alias("whole"), F.count("*").alias("q"), F.sum("up").alias("up"))
+        own = own.withColumn("leave", F.expr("log10(q / (whole + q))"))
+        if k == 0:
+            own = own.selectExpr("ctx", "whole", "q", "leave", "leave + log10(256) - log10(greatest(1, 256 - q)) AS found", "0D AS missed")
+        else:
+            # symbols of a context are symbols of the next shorter one: up is what exclusion takes from its count
+            par = out[k - 1].select(F.col("ctx").alias("pctx"), F.col("whole").alias("pw"), F.col("q").alias("pq"), F.col("leave").alias("pl"))
+            par = F.broadcast(par) if k <= 3 else par  # at most 65,536 rows
+            own = own.join(par, _low("ctx", k - 1) == F.col("pctx")).withColumn("den", F.expr("pw - up + pq - q"))
+            own = own.selectExpr(
+                "ctx", "whole", "q", "leave", "leave + log10((pw + pq) / greatest(den, 1)) AS found",
+                "leave - pl + CASE WHEN den > 0 THEN log10(greatest(pq - q, 1e-300D) / den) ELSE 0D END AS missed",
+            )
+        out[k] = save(own, f"contexts{k}")
+    return out
+
+
+def gram_scores(counts: DataFrame) -> DataFrame:
+    """(key, m, lp): log10 probability of the last byte of each n-gram of kinds 1 and 2 after the bytes before it, and its count in both."""
+    orders = _orders(counts.filter("kind = 1").select("key", "n"))
+    contexts = _contexts(orders)
+    every = counts.filter("kind > 0").groupBy("key").agg(F.sum(F.expr("CASE WHEN kind = 1 THEN n ELSE 0L END")).alias("n"), F.sum("n").alias("m"))
+    every = save(every, "every")
+    seen = every.filter("n > 0").join(contexts[ORDER].select("ctx", "whole", "q"), F.shiftrightunsigned("key", 8) == F.col("ctx"))
+    parts = [seen.selectExpr("key", "m", "log10(n / (whole + q)) AS lp")]
+    # the others go down the orders until their last byte is a symbol of the context; found and missed: of the context escaped from
+    todo = every.filter("n = 0").selectExpr("key", "m", "0D AS lp", "CAST(NULL AS double) AS found", "CAST(NULL AS double) AS missed")
     for k in range(ORDER, -1, -1):
-        mask = (1 << (8 * (k + 1))) - 1
-        src = grams if levels is None else levels
-        levels = src.groupBy(F.col("key").bitwiseAND(F.lit(mask)).alias("key")).agg(F.sum("n").alias("n"))
-        levels = save(levels, f"order{k}") if k == ORDER - 1 else levels
-        least = max(2, int(np.ceil(total * RATE))) if k > 1 else 1
-        own = levels.select(F.lit(k).alias("k"), F.shiftrightunsigned("key", 8).alias("ctx"), F.col("key").bitwiseAND(F.lit(255)).alias("sym"), "n")
-        whole = own.groupBy("k", "ctx").agg(F.sum("n").alias("all"))
-        kept = own.filter(F.col("n") >= least).join(whole, ["k", "ctx"])
-        out = kept if k == ORDER else out.unionByName(kept)
+        small = F.broadcast if k <= 1 else lambda df: df  # at most 65,536 rows
+        at = small(contexts[k].selectExpr("ctx", "whole", "q", "found AS own_found", "missed AS own_missed"))
+        todo = todo.withColumns({"part": _low("key", k + 1)}).withColumn("c", F.shiftrightunsigned("part", 8)).join(at, F.col("c") == F.col("ctx"), "left")
+        if k < ORDER:
+            todo = todo.join(small(orders[k].selectExpr("key AS node", "n")), F.col("part") == F.col("node"), "left")
+        else:
+            todo = todo.withColumn("n", F.lit(None).cast("long"))  # not seen
+        todo = save(todo.selectExpr("*", "n IS NOT NULL AS hit"), f"todo{k}")
+        parts.append(todo.filter("hit").selectExpr("key", "m", "lp + coalesce(found, 0D) + log10(n / (whole + q)) AS lp"))
+        todo = todo.filter("NOT hit").selectExpr("key", "m", "lp + coalesce(missed, 0D) AS lp", "own_found AS found", "own_missed AS missed")
+    parts.append(todo.selectExpr("key", "m", "lp + coalesce(found, 0D) - log10(256) AS lp"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out
 
 
 class Model:
-    """Log10 probabilities of kept symbols, and what an escape from each context adds."""
+    """The same in memory, of a trie that fits there: log10 probabilities of symbols, and what an escape from each context adds."""
 
     def __init__(self, k, ctx, sym, n, whole):
         self.node_key = self.tag(k + 8, (ctx << np.uint64(8)) | sym)
@@ -187,33 +254,34 @@ def lm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     ship_package(spark)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), train.alias("train"), F.col(text_col).cast("string").alias("text"))
-    counts = save(_counts(src.filter("train").select("text")), "counts")
+    counts = save(_counts(src.select("text", F.coalesce("train", F.lit(False)))), "counts")
     words = counts.filter("kind = 0").select("key", "n")
-    grams = counts.filter("kind = 1").select("key", "n")
     n_all, v_all = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    t = trie(grams, total).toArrow()  # at most (ORDER - 1) / RATE + 65,792 rows
-    u64 = lambda c: t[c].to_numpy().astype(np.uint64)
-    model = Model(u64("k"), u64("ctx"), u64("sym"), t["n"].to_numpy(), t["all"].to_numpy()) if t.num_rows else None
+    grams = save(gram_scores(counts), "grams")
+    least_gram = max(2, int(np.ceil(grams.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0] * GRAM_RATE)))
+    frequent = grams.filter(F.col("m") >= least_gram).toArrow()  # at most 1 / GRAM_RATE rows
     least = max(2, int(np.ceil(n_all * WORD_RATE)))
     top = words.filter(F.col("n") >= least).toArrow()  # at most 1 / WORD_RATE rows
     known = spark.sparkContext.broadcast((top["key"].to_numpy().view(np.uint64), np.log10(top["n"].to_numpy() + 1.0)))
-    held = spark.sparkContext.broadcast(model)
+    held = spark.sparkContext.broadcast((frequent["key"].to_numpy().view(np.uint64) | TAG, frequent["lp"].to_numpy()))
 
     def run(it):
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 40
-        model = held.value
-        if model is not None and not hasattr(model, "nodes"):
-            model.tables()
+        gram_keys, gram_logs = held.value
+        gram_table = HashTable(gram_keys)
         keys, logs = known.value
         table = HashTable(keys)
         for b in it:
             for part in bounded(b, 2, 1 << 20):
                 _, g, offs = _stream(part.column(2))
-                lp = model.log10(g) if model is not None else np.full(len(g), -np.log10(256.0))
+                place = gram_table.find(g | TAG)
+                cached = place >= 0
+                lp = np.where(cached, gram_logs[place], 0.0) if len(gram_logs) else np.zeros(len(g))
                 score = np.add.reduceat(lp, offs[:-1]) if len(g) else np.empty(0)
+                rest = g[~cached].view(np.int64)
+                cut = np.concatenate([[0], np.cumsum(~cached)])[offs].astype(np.int32)
                 hashes, at = word_hashes(*text_bytes(part.column(2)))
                 hit = table.find(hashes)
                 add = np.concatenate([[0.0], np.cumsum(np.where(hit >= 0, logs[hit], 0.0) if len(logs) else np.zeros(len(hit)))])
@@ -226,17 +294,20 @@ def lm_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col:
                         pa.array(np.arange(row, row + part.num_rows)), part.column(0), part.column(1),
                         pa.array((np.diff(at) + 1).astype(np.int64)), pa.array((seen[at[1:]] - seen[at[:-1]] + (end >= 0)).astype(np.int64)),
                         pa.array(add[at[1:]] - add[at[:-1]] + ends), pa.array(score), pa.array(rare, pa.list_(pa.int64())), pa.array([end < 0] * part.num_rows),
+                        pa.ListArray.from_arrays(pa.array(cut), pa.array(rest)),
                     ],
                     names=names,
                 )
                 row += part.num_rows
 
-    names = ["row", "doc_id", "train", "n_tokens", "known", "logs", "score", "rare", "end_rare"]
-    scored = src.select("doc_id", "train", "text").mapInArrow(run, "row long, doc_id long, train boolean, n_tokens long, known long, logs double, score double, rare array<long>, end_rare boolean")
+    names = ["row", "doc_id", "train", "n_tokens", "known", "logs", "score", "rare", "end_rare", "rest"]
+    scored = src.select("doc_id", "train", "text").mapInArrow(run, "row long, doc_id long, train boolean, n_tokens long, known long, logs double, score double, rare array<long>, end_rare boolean, rest array<long>")
     scored = save(scored, "scored")
     rare = scored.select("row", F.explode(F.concat("rare", F.when(F.col("end_rare"), F.array(F.lit(np.uint64(END_WORD).astype(np.int64).item()))).otherwise(F.array().cast("array<bigint>")))).alias("key"))
     extra = rare.join(words, "key").groupBy("row").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("more"), F.count("*").alias("more_known"))
-    return scored.join(extra, "row", "left").select(
+    rest = scored.select("row", F.explode("rest").alias("key")).join(grams.filter(F.col("m") < least_gram).select("key", "lp"), "key").groupBy("row").agg(F.sum("lp").alias("more_score"))
+    return scored.join(extra, "row", "left").join(rest, "row", "left").select(
         "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(int(n_all)).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(n_all + v_all + 1)))).alias("base_score"), "score",
+        (F.col("logs") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(n_all + v_all + 1)))).alias("base_score"),
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )

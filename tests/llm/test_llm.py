@@ -247,6 +247,45 @@ def test_ppm(spark, docs):
         assert abs((10 ** m.log10((g & ~np.uint64(255)) | np.arange(256, dtype=np.uint64))).sum() - 1) < 1e-9
 
 
+@pytest.mark.parametrize("rate", [2.5e-7, 0.01])
+def test_ppm_scores_by_whole_trie(spark, docs, monkeypatch, rate):
+    monkeypatch.setattr(ppm, "GRAM_RATE", rate, raising=False)
+    more = spark.createDataFrame([(5000, "Zürich once qx\0\0\0\0\0\0\0"), (5001, "zürich 中文 once!")], "doc_id long, text string")
+    df = docs.select("doc_id", "text").union(more)
+    data = [*((r[0], r[1] or "") for r in corpus()), *((r.doc_id, r.text) for r in more.collect())]
+    train = {i for i, _ in data if i is not None and i % 3 != 2}
+    count = collections.Counter()
+    for i, t in data:
+        if i in train:
+            x = b"\n" * 5 + ppm.normal(t.encode())
+            count.update((k, x[j - k : j], x[j]) for j in range(5, len(x)) for k in range(6))
+    symbols = collections.defaultdict(dict)
+    for (k, ctx, sym), n in count.items():
+        symbols[ctx][sym] = n
+
+    def logp(ctx, sym):
+        p, out = 1.0, {}
+        for k in range(5, -1, -1):
+            own = {s: n for s, n in symbols.get(ctx[5 - k :], {}).items() if s not in out}
+            if not own:
+                continue
+            whole = sum(own.values()) + len(own)
+            if sym in own:
+                return math.log10(p * own[sym] / whole)
+            p, out = p * len(own) / whole, out | own
+        return math.log10(p / (256 - len(out)))
+
+    def score(t):
+        x = b"\n" * 5 + ppm.normal(t.encode())
+        return sum(logp(x[j - 5 : j], x[j]) for j in range(5, len(x)))
+
+    got = sorted((repr(r.doc_id), round(r.score, 6)) for r in ppm.lm_scores(df, F.coalesce(F.col("doc_id") % 3 != 2, F.lit(False))).collect())
+    memo = {t: round(score(t), 6) for t in {t for _, t in data}}
+    assert [a for a, _ in got] == sorted(repr(i) for i, _ in data)
+    for (i, s), (_, w) in zip(got, sorted((repr(i), memo[t]) for i, t in data)):
+        assert abs(s - w) < 1e-4 * max(1, abs(w) / 100), (i, s, w)
+
+
 def test_toxicity(spark):
     rnd = random.Random(1)
     fill = lambda: " ".join(rnd.choice(["then", "stone", "river", "idol", "moves", "another", "weather", "is"]) for _ in range(30))
