@@ -3,8 +3,17 @@
 Numbers, names and units become typed placeholders, so a question with other
 numbers or names has the same template.  Windows of eight template tokens
 are hash-joined with the benchmark's; aligned windows of one item must cover
-most of it, and the placeholders' values must map consistently (one value
-to one value) between the item and the document.  SQL functions only.
+most of it or make a long run, and the placeholders' values must map
+consistently (one value to one value) between the item and the document.
+
+An item is read in several views of the same tokens, each covered on its own:
+T  the template; windows of mostly placeholders are left out
+S  the template where a capitalised word that starts a sentence is a name too
+L  names as lower-cased literals, so case and layout hide no copy
+X  L, and windows of mostly placeholders by their values: verbatim copies
+W  wide windows of the template, for items with windows that T leaves out
+Items under LEAST_TOKENS tokens are found where they are a whole sentence or
+line.  SQL functions only.
 """
 
 from __future__ import annotations
@@ -15,13 +24,15 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, free_name, save
 
 WINDOW = 8
-#: Items with fewer tokens identify nothing and are left out of the search.
+#: Tokens of view W's windows, of which a quarter at least are literal.
+WIDE = 2 * WINDOW
+#: Items with fewer tokens are searched for as whole sentences or lines.
 LEAST_TOKENS = 4
 #: Share of an item's windows that must be found, in consistent alignments.
 COVER = 0.6
 #: Window hashes that may be broadcast (8 bytes each); beyond it the join is shuffled.
 MAX_BROADCAST = 4_000_000
-NUMBER, NAME, UNIT = "\u0001", "\u0002", "\u0003"
+NUMBER, NAME, UNIT, START = "\u0001", "\u0002", "\u0003", "\u0004"
 UNITS = (
     "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres "
     "mg g kg t oz lb lbs gram grams kilogram kilograms ounce ounces pound pounds ton tons ml cl l liter liters litre litres gallon gallons "
@@ -30,30 +41,57 @@ UNITS = (
 ).split()
 
 
+#: Capitalised words that start sentences and are no names.
+FUNCTION_WORDS = (
+    "A An The This That These Those He She It They We You I His Her Its Their Our Your My There Here What Which Who Whom Whose When Where Why How "
+    "If In On At By For From To Of With And But Or So Then As After Before While Each Every All Some One Is Are Was Were Do Does Did Has Have Had Can Not No"
+).split()
+
+
 def template_tokens(text: Column) -> Column:
-    """array<string> of lower-cased tokens; numbers, names and units carry their placeholder as first character.
+    """array<string> of lower-cased tokens; numbers, names, units and starts carry their placeholder as first character.
 
     A name is a capitalised word after a lower-case letter, comma or
-    semicolon and a blank (so not at the start of a sentence); a number is a
-    token that starts with a digit; a unit is a unit word after a number.
+    semicolon and white space; a start is another capitalised word that
+    follows none of these and is no function word; a number is a token that
+    starts with a digit; a unit is a unit word after a number.  A character
+    of a script without blanks is a token.
     """
     raw = F.coalesce(text, F.lit(""))
-    marked = raw.contains(NUMBER) | raw.contains(NAME) | raw.contains(UNIT)
-    t = F.when(marked, F.translate(raw, NUMBER + NAME + UNIT, "   ")).otherwise(raw)
+    marked = raw.contains(NUMBER) | raw.contains(NAME) | raw.contains(UNIT) | raw.contains(START)
+    t = F.when(marked, F.translate(raw, NUMBER + NAME + UNIT + START, "    ")).otherwise(raw)
+    t = F.regexp_replace(t, r"[\s\u00a0]{2,}|[\t-\r\u00a0]", " ")
     t = F.regexp_replace(t, r" (?<=[\p{Ll},;] )(?=\p{Lu})", f" {NAME}")
+    t = F.regexp_replace(t, rf"(^|[^\p{{L}}\p{{N}},; {NAME}] ?)(?=\p{{Lu}})(?!(?:{'|'.join(FUNCTION_WORDS)})(?![\p{{L}}\p{{N}}]))", f"$1{START}")
+    t = F.lower(t)
+    apart = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+    t = F.when(t.rlike(apart), F.regexp_replace(t, f"({apart})", " $1 ")).otherwise(t)
     number = F.regexp_replace(t, r"(^|[^\p{L}\p{N}])([0-9])", f"$1{NUMBER}$2")
     number = F.regexp_replace(number, rf"({NUMBER}[0-9.,]+ )({'|'.join(UNITS)})([^\p{{L}}\p{{N}}]|$)", f"$1{UNIT}$2$3")
     t = F.when(raw.rlike("[0-9]"), number).otherwise(t)
-    return F.array_remove(F.split(F.lower(t), rf"[^\p{{L}}\p{{N}}{NUMBER}-{UNIT}]+"), "")
+    return F.array_remove(F.split(t, rf"[^\p{{L}}\p{{N}}{NUMBER}-{START}]+"), "")
 
 
 def _is_slot(t: Column) -> Column:
-    return t < F.lit("\u0004")
+    return t < F.lit("\u0005")
+
+
+def _view(t: Column, view: str) -> Column:
+    """A token as a view reads it: literal without its placeholder, or with it; V has literals only."""
+    literal, mark = F.substring(t, 2, 1 << 30), F.substring(t, 1, 1)
+    if view == "S":
+        return F.when(mark == START, F.concat(F.lit(NAME), literal)).otherwise(t)
+    return F.when(mark.isin({"T": [START], "L": [START, NAME], "V": [START, NAME, NUMBER, UNIT]}[view]), literal).otherwise(t)
+
+
+def _canonical(tokens, view: str) -> Column:
+    """Hash of each token of a view; placeholders without their values."""
 
+    def one(t):
+        v = _view(t, view)
+        return F.xxhash64(F.when(_is_slot(v), F.substring(v, 1, 1)).otherwise(v))
 
-def _canonical(tokens: str) -> Column:
-    """Hash of each token; placeholders without their values."""
-    return F.transform(F.col(tokens), lambda t: F.xxhash64(F.when(_is_slot(t), F.substring(t, 1, 1)).otherwise(t)))
+    return F.transform(tokens, one)
 
 
 def _window_hashes(canon: str, size: int) -> Column:
@@ -64,19 +102,66 @@ def _window_hashes(canon: str, size: int) -> Column:
     )
 
 
-def benchmark_classes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(cls, item_id, n_items, tokens, size): items of one template and one pattern of equal values are a class."""
+def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), template_tokens(F.col(text_col).cast("string")).alias("tokens"))
-    items = items.filter((F.size("tokens") >= LEAST_TOKENS) & F.col("item_id").isNotNull())
+    return items.filter((F.size("tokens") > 0) & F.col("item_id").isNotNull())
+
+
+def benchmark_classes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(cls, n_items, var, tokens, size): items of one template and one pattern of equal values are a class, of the same tokens a variant.
+
+    cls and var are the smallest item ids; the variant cls stands for the template.
+    """
+    items = _items(benchmark, id_col, text_col).filter(F.size("tokens") >= LEAST_TOKENS)
     # a placeholder is numbered by the first place of its value
-    pattern = F.transform("tokens", lambda t: F.when(_is_slot(t), F.concat(F.substring(t, 1, 1), F.array_position(F.col("tokens"), t).cast("string"))).otherwise(t))
-    classes = items.withColumn("pattern", pattern).groupBy("pattern").agg(
-        F.min(F.struct("item_id", "tokens")).alias("first"), F.countDistinct("item_id").alias("n_items")
-    )
-    return classes.select(
-        F.col("first.item_id").alias("cls"), F.col("first.item_id").alias("item_id"), "n_items", F.col("first.tokens").alias("tokens"),
-        F.least(F.size("first.tokens"), F.lit(WINDOW)).alias("size"),
-    )
+    plain = F.transform("tokens", lambda t: _view(t, "T"))
+    pattern = F.transform(plain, lambda t: F.when(_is_slot(t), F.concat(F.substring(t, 1, 1), F.array_position(plain, t).cast("string"))).otherwise(t))
+    items = items.withColumn("pattern", pattern)
+    variants = items.groupBy("pattern", "tokens").agg(F.min("item_id").alias("var"))
+    classes = items.groupBy("pattern").agg(F.min("item_id").alias("cls"), F.countDistinct("item_id").alias("n_items"))
+    return variants.join(classes, "pattern").select("cls", "n_items", "var", "tokens", F.least(F.size("tokens"), F.lit(WINDOW)).alias("size"))
+
+
+def _slots(view: str, size) -> Column:
+    return F.size(F.filter(F.slice("tokens", F.col("q") + 1, size), lambda t: _is_slot(_view(t, view))))
+
+
+def benchmark_windows(classes: DataFrame) -> DataFrame:
+    """(cls, var, view, w, q, h): the windows of w tokens from place q on of each view."""
+    parts = []
+    for size in sorted(r[0] for r in classes.select("size").distinct().collect()):  # at most LEAST_TOKENS..WINDOW
+        one = classes.filter(F.col("size") == size)
+
+        def windows(view, of, w=size, one=one):
+            src = one.filter("var = cls") if of in "TSW" else one
+            src = src.select("cls", "var", "tokens", _canonical(F.col("tokens"), view).alias("canon"))
+            src = src.select("cls", "var", "tokens", F.posexplode_outer(_window_hashes("canon", w)).alias("q", "h")).filter("h IS NOT NULL")
+            return src.select("cls", "var", "tokens", F.lit(of).alias("view"), F.lit(w).alias("w"), "q", "h", _slots({"T": "T", "S": "T", "L": "L", "V": "L"}[view], w).alias("slots"))  # a start counts as a literal
+
+        t, s, lit, val = windows("T", "T"), windows("S", "S"), windows("L", "L"), windows("V", "X")
+        has = lambda marks: F.exists("tokens", lambda x: F.substring(x, 1, 1).isin(marks))
+        parts += [t.filter("slots * 2 <= w"), s.filter(has([NAME, START]) & (F.col("slots") * 2 <= F.col("w"))), lit.filter(has([NAME, START, NUMBER]) & (F.col("slots") * 2 <= F.col("w")))]
+        heavy = val.filter("slots * 2 > w")
+        mixed = heavy.select("var").distinct()
+        parts += [heavy, lit.filter("slots * 2 <= w").join(mixed, "var", "left_semi").withColumn("view", F.lit("X"))]
+        if size == WINDOW:
+            left_out = t.filter("slots * 2 > w").select("var").distinct()
+            parts.append(windows("T", "W", WIDE).filter("(w - slots) * 4 >= w").join(left_out, "var", "left_semi"))
+    out = None
+    for p in parts:
+        p = p.select("cls", "var", "view", "w", "q", "h")
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+def _short_found(src: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, n_items) of items under LEAST_TOKENS tokens that are a whole sentence or line."""
+    literal = lambda df: F.concat_ws(" ", F.transform("tokens", lambda t: _view(t, "V")))
+    own = items.withColumn("said", literal(items)).groupBy("said").agg(F.min("item_id").alias("item_id"), F.countDistinct("item_id").alias("n_items"))
+    parts = src.select("doc_id", F.explode(F.split("text", r"[\n\r。！？]+|[.!?]+(?=[\s\p{P}]|$)")).alias("part"))
+    parts = parts.select("doc_id", template_tokens(F.col("part")).alias("tokens")).filter(F.size("tokens").between(1, LEAST_TOKENS - 1))
+    said = parts.select("doc_id", literal(parts).alias("said")).distinct()
+    return said.join(broadcast_if_small(own, MAX_BROADCAST), "said").select("doc_id", "item_id", "n_items")
 
 
 def contaminated(
@@ -86,60 +171,68 @@ def contaminated(
 
     item_id is the smallest of the n_items items that share the template and
     the pattern of its values; reparameterised is true if any value differs.
-    Null and empty texts contain nothing; null item ids and items under
-    LEAST_TOKENS tokens are not searched for; repeated rows are found once;
-    rows with a null id are reported with a null doc_id.  Other columns are
-    ignored.  Empty tables give no rows.
+    matched and n_windows are of the view that is covered best.
+    Null and empty texts contain nothing; null item ids and items without a
+    token are not searched for; repeated rows are found once; rows with a
+    null id are reported with a null doc_id.  Other columns are ignored.
+    Empty tables give no rows.
     """
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     classes = save(benchmark_classes(benchmark, item_id_col, item_text_col), "classes")
-    sizes = sorted(r[0] for r in classes.select("size").distinct().collect())  # at most LEAST_TOKENS..WINDOW
-    parts = []
-    for size in sizes:
-        one = classes.filter(F.col("size") == size).select("cls", "tokens", _canonical("tokens").alias("canon"))
-        one = one.select("cls", "tokens", F.posexplode_outer(_window_hashes("canon", size)).alias("q", "h"))
-        slots = F.size(F.filter(F.slice("tokens", F.col("q") + 1, size), _is_slot))
-        parts.append(one.filter(F.col("h").isNotNull() & (slots * 2 <= size)).select("cls", "q", "h"))  # at least half of a window are literal tokens
-    if not parts:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_items long, matched long, n_windows long, reparameterised boolean")
-    windows = parts[0]
-    for p in parts[1:]:
-        windows = windows.unionByName(p)
-    windows = windows.selectExpr("cls", "q", "h", "count(*) OVER (PARTITION BY cls) AS n_windows", "count(*) OVER (PARTITION BY h) AS df")
-    windows = windows.selectExpr("*", "row_number() OVER (PARTITION BY cls ORDER BY df, h, q) AS place")
+    short = save(_items(benchmark, item_id_col, item_text_col).filter(F.size("tokens") < LEAST_TOKENS), "short")
+    schema = "doc_id long, item_id long, n_items long, matched long, n_windows long, reparameterised boolean"
+    out = _long_found(src, classes) if not classes.isEmpty() else docs.sparkSession.createDataFrame([], schema)
+    if short.isEmpty():
+        return out
+    return out.unionByName(_short_found(src, short).selectExpr("doc_id", "item_id", "n_items", "1L AS matched", "1L AS n_windows", "false AS reparameterised"))
+
+
+def _long_found(src: DataFrame, classes: DataFrame) -> DataFrame:
+    windows = save(benchmark_windows(classes), "all_windows")
+    kinds = {(r[0], r[1]) for r in windows.select("view", "w").distinct().collect()}  # at most 5 views of 5 sizes
+    windows = windows.selectExpr("*", "count(*) OVER (PARTITION BY var, view) AS n_windows", "count(*) OVER (PARTITION BY h) AS df")
+    windows = windows.selectExpr("*", "row_number() OVER (PARTITION BY var, view ORDER BY df, h, q) AS place")
     # an item whose windows are covered has at least one of its n - ceil(COVER n) + 1 rarest windows found
-    windows = save(windows.selectExpr("cls", "q", "h", "n_windows", f"place <= n_windows - ceil({COVER} * n_windows) + 1 AS rare"), "windows")
+    windows = save(windows.selectExpr("cls", "var", "view", "w", "q", "h", "n_windows", f"place <= n_windows - ceil({COVER} * n_windows) + 1 AS rare"), "windows")
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     text_key = F.xxhash64("text")
     tokens = src.select("doc_id", text_key.alias("th"), template_tokens(F.col("text")).alias("tokens"))
     sought = broadcast_if_small(windows.select("h").distinct(), MAX_BROADCAST)
-    canon = tokens.select("doc_id", "th", _canonical("tokens").alias("canon"))
-    lists = [F.coalesce(_window_hashes("canon", s), F.array().cast("array<bigint>")) for s in sizes]
-    hashes = canon.select("doc_id", "th", F.concat(*lists).alias("hs"), F.size("canon").alias("n"))
+    # a view's list only where it differs from the template's
+    marks = lambda m: F.exists("tokens", lambda t: F.substring(t, 1, 1).isin(m))
+    sizes = sorted({w for view, w in kinds if view != "W"})
+    needs = {"T": F.lit(True), "S": marks([START]), "L": marks([NAME]), "V": marks([NUMBER])}
+    views = [v for v in "TSLV" if v != "V" or any(k == "X" for k, _ in kinds)]
+    canon = tokens.select("doc_id", "th", F.size("tokens").alias("n"), *[F.when(needs[v], _canonical(F.col("tokens"), v)).alias(f"c{v}") for v in views])
+    lists = [(v, w) for v in views for w in sizes] + [("T", WIDE)] * (("W", WIDE) in kinds)
+    # null for each list that is not needed
+    hashes = canon.select("doc_id", "th", *[F.coalesce(_window_hashes(f"c{v}", w), F.array().cast("array<bigint>")).alias(f"h{i}") for i, (v, w) in enumerate(lists)])
+    hashes = hashes.select("doc_id", "th", F.concat(*[f"h{i}" for i in range(len(lists))]).alias("hs"), *[F.size(f"h{i}").alias(f"n{i}") for i in range(len(lists))])
     # outer: a filter on the lists, pushed below the projections, would compute them again for every reference
-    hits = hashes.select("doc_id", "th", "n", F.posexplode_outer("hs").alias("at", "h")).join(sought, "h")
-    # places in the concatenation of the window lists of each size: take off the lists before
+    hits = hashes.select("doc_id", "th", *[f"n{i}" for i in range(len(lists))], F.posexplode_outer("hs").alias("at", "h")).join(sought, "h")
+    # places in the concatenation of the lists: take off the lists before
     place, before = F.col("at"), F.lit(0)
-    for s in sizes[:-1]:
-        before = before + F.greatest(F.col("n") - (s - 1), F.lit(0))
+    for i in range(len(lists) - 1):
+        before = before + F.col(f"n{i}")
         place = F.when(F.col("at") >= before, F.col("at") - before).otherwise(place)
     hits = save(hits.select("doc_id", "th", place.alias("p"), "h").distinct(), "hits")
 
-    cand = hits.join(windows.filter("rare").select("cls", "h"), "h").select("doc_id", "th", "cls").distinct()
+    cand = hits.join(windows.filter("rare").select("var", "view", "h"), "h").select("doc_id", "th", "var", "view").distinct()
     same = [F.col("hits.doc_id").eqNullSafe(F.col("cand.doc_id")), F.col("hits.th") == F.col("cand.th")]
-    near = hits.alias("hits").join(cand.alias("cand"), same).select("hits.doc_id", "hits.th", "hits.p", "hits.h", "cand.cls")
-    aligned = near.join(windows, ["cls", "h"]).select("doc_id", "th", "cls", "q", "n_windows", (F.col("p") - F.col("q")).alias("shift"))
-    runs = aligned.groupBy("doc_id", "th", "cls", "n_windows", "shift").agg(F.min("q").alias("q0"), F.max("q").alias("q1"), F.collect_set("q").alias("qs"))
-    runs = save(runs.join(classes.select("cls", "size", F.exists("tokens", _is_slot).alias("slots")), "cls"), "runs")
+    near = hits.alias("hits").join(cand.alias("cand"), same).select("hits.doc_id", "hits.th", "hits.p", "hits.h", "cand.var", "cand.view")
+    aligned = near.join(windows, ["var", "view", "h"]).select("doc_id", "th", "var", "view", "w", "q", "n_windows", (F.col("p") - F.col("q")).alias("shift"))
+    runs = aligned.groupBy("doc_id", "th", "var", "view", "n_windows", "shift").agg(F.min("q").alias("q0"), F.max(F.col("q") + F.col("w")).alias("q1"), F.collect_set("q").alias("qs"))
+    runs = save(runs, "runs")
 
-    plain = runs.filter("NOT slots").withColumns({"ok": F.lit(True), "other": F.lit(False)})
     # values of aligned placeholders of one type, over the tokens that the windows span
-    held = runs.filter("slots")
-    ids = broadcast_if_small(held.select("doc_id", "th").distinct(), MAX_BROADCAST)
+    ids = broadcast_if_small(runs.select("doc_id", "th").distinct(), MAX_BROADCAST)
     texts = src.withColumn("th", text_key).alias("d").join(ids.alias("i"), [F.col("d.doc_id").eqNullSafe(F.col("i.doc_id")), F.col("d.th") == F.col("i.th")], "left_semi")
     texts = texts.select(F.col("doc_id").alias("did"), F.col("th").alias("dth"), template_tokens(F.col("text")).alias("dt")).dropDuplicates(["did", "dth"])
-    held = held.join(texts, [F.col("doc_id").eqNullSafe(F.col("did")), F.col("th") == F.col("dth")]).join(classes.select("cls", F.col("tokens").alias("ct")), "cls")
-    length = F.col("q1") - F.col("q0") + F.col("size")
+    texts = texts.withColumn("dt", F.transform("dt", lambda t: _view(t, "S")))
+    held = runs.join(texts, [F.col("doc_id").eqNullSafe(F.col("did")), F.col("th") == F.col("dth")]).join(classes.select("var", F.col("tokens").alias("ct")), "var")
+    as_t, as_s, as_l = F.transform("ct", lambda t: _view(t, "T")), F.transform("ct", lambda t: _view(t, "S")), F.transform("ct", lambda t: _view(t, "L"))
+    held = held.withColumn("ct", F.when(F.col("view").isin("T", "W"), as_t).when(F.col("view") == "S", as_s).otherwise(as_l))
+    length = F.col("q1") - F.col("q0")
     pairs = F.filter(
         F.arrays_zip(F.slice("ct", F.col("q0") + 1, length).alias("c"), F.slice("dt", F.col("q0") + F.col("shift") + 1, length).alias("d")),
         lambda x: _is_slot(x["c"]) & (F.substring(x["c"], 1, 1) == F.substring(x["d"], 1, 1)),
@@ -149,13 +242,17 @@ def contaminated(
     held = held.withColumns({
         "ok": (count("c") == F.size("pairs")) & (count("d") == F.size("pairs")),
         "other": F.exists("pairs", lambda x: x["c"] != x["d"]),
-    }).select(plain.columns)
-    found = plain.unionByName(held).filter("ok").groupBy("doc_id", "th", "cls", "n_windows").agg(
+    })
+    found = held.filter("ok").groupBy("doc_id", "th", "var", "view", "n_windows").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("qs")))).cast("long").alias("matched"), F.max("other").alias("reparameterised")
     )
     found = found.filter(F.col("matched") >= COVER * F.col("n_windows"))
-    found = found.groupBy("doc_id", "cls", "n_windows").agg(F.max("matched").alias("matched"), F.max("reparameterised").alias("reparameterised"))
-    return found.join(classes.select("cls", "item_id", "n_items"), "cls").select("doc_id", "item_id", "n_items", "matched", "n_windows", "reparameterised")
+    found = found.join(classes.select("var", "cls"), "var").groupBy("doc_id", "cls").agg(
+        F.max(F.struct(F.col("matched") / F.col("n_windows"), "matched", "n_windows")).alias("best"), F.max("reparameterised").alias("reparameterised")
+    )
+    return found.join(classes.filter("var = cls").select("cls", "n_items"), "cls").select(
+        "doc_id", F.col("cls").alias("item_id"), "n_items", "best.matched", "best.n_windows", "reparameterised"
+    )
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

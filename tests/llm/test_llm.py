@@ -247,6 +247,20 @@ def test_ppm(spark, docs):
         assert abs((10 ** m.log10((g & ~np.uint64(255)) | np.arange(256, dtype=np.uint64))).sum() - 1) < 1e-9
 
 
+def _found(spark, bench, docs):
+    b = spark.createDataFrame(bench, "item_id long, text string")
+    return sorted((r.doc_id, r.item_id, r.reparameterised) for r in decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), b).collect())
+
+
+def test_decontamination_of_slots_and_short_items(spark):
+    sums, other = "12 + 30 = 42; 7 x 8 = 56; 9 - 4 = 5", "13 + 31 = 44; 7 x 9 = 63; 8 - 4 = 4"
+    table = "Row 1 kg 2 mg 5 has 3 4 5 red 6 7 8 blue 9 10 11 green 12 13 14 end"
+    far = " ".join(str(int(w) + 100) if w.isdigit() else w for w in table.split())
+    bench = [(1, sums), (2, other), (3, "水は何度で沸騰しますか"), (4, "What is gravity?"), (5, table)]
+    docs = [(10, "so it is said " + sums + " and so on"), (11, "as in " + other), (12, "問題 水は何度で沸騰しますか 答え"), (13, "Well. What is gravity? It pulls."), (14, "see " + far + " there"), (15, "what is gravity to them")]
+    assert _found(spark, bench, docs) == [(10, 1, False), (11, 2, False), (12, 3, False), (13, 4, False), (14, 5, True)]
+
+
 @pytest.mark.parametrize("rate", [2.5e-7, 0.01])
 def test_ppm_scores_by_whole_trie(spark, docs, monkeypatch, rate):
     monkeypatch.setattr(ppm, "GRAM_RATE", rate, raising=False)
