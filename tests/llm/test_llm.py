@@ -261,6 +261,16 @@ def test_decontamination_of_slots_and_short_items(spark):
     assert _found(spark, bench, docs) == [(10, 1, False), (11, 2, False), (12, 3, False), (13, 4, False), (14, 5, True)]
 
 
+def test_decontamination_in_other_case_and_layout(spark):
+    item = "A farmer near Lyon sells 12 crates of apples to Marie for 30 euros and then Paul asks Jean if Claire or Luc knew of it"
+    bench = [(1, item), (2, "Alice bought 5 apples for 3 dollars")]
+    filler = "so it was said that nothing of the sort "
+    docs = [(10, filler + item.lower()), (11, filler + item.upper()), (12, filler + item.replace(" Marie", "\nMarie").replace(" Paul", "  Paul"))]
+    docs += [(13, filler + item.lower().replace("12", "45")), (14, "Bob bought 7 apples for 4 dollars"), (15, item.replace(" and then Paul", ". Paul"))]
+    got = _found(spark, bench, docs)
+    assert got[:5] == [(10, 1, False), (11, 1, False), (12, 1, False), (13, 1, True), (14, 2, True)]
+
+
 @pytest.mark.parametrize("rate", [2.5e-7, 0.01])
 def test_ppm_scores_by_whole_trie(spark, docs, monkeypatch, rate):
     monkeypatch.setattr(ppm, "GRAM_RATE", rate, raising=False)
