@@ -3,7 +3,7 @@
 Numbers, names and units become typed placeholders, so a question with other
 numbers or names has the same template.  Windows of eight template tokens
 are hash-joined with the benchmark's; aligned windows of one item must cover
-most of it or make a long run, and the placeholders' values must map
+most of it or make a run of RUN windows, and the placeholders' values must map
 consistently (one value to one value) between the item and the document.
 
 An item is read in several views of the same tokens, each covered on its own:
@@ -30,6 +30,8 @@ WIDE = 2 * WINDOW
 LEAST_TOKENS = 4
 #: Share of an item's windows that must be found, in consistent alignments.
 COVER = 0.6
+#: Consecutive windows of an item that are reported whatever their share: WINDOW + 5 tokens.
+RUN = 6
 #: Window hashes that may be broadcast (8 bytes each); beyond it the join is shuffled.
 MAX_BROADCAST = 4_000_000
 NUMBER, NAME, UNIT, START = "\u0001", "\u0002", "\u0003", "\u0004"
@@ -89,7 +91,8 @@ def _canonical(tokens, view: str) -> Column:
 
     def one(t):
         v = _view(t, view)
-        return F.xxhash64(F.when(_is_slot(v), F.substring(v, 1, 1)).otherwise(v))
+        # most tokens are literals: one comparison
+        return F.when(_is_slot(t), F.xxhash64(F.when(_is_slot(v), F.substring(v, 1, 1)).otherwise(v))).otherwise(F.xxhash64(t))
 
     return F.transform(tokens, one)
 
@@ -193,7 +196,11 @@ def _long_found(src: DataFrame, classes: DataFrame) -> DataFrame:
     windows = windows.selectExpr("*", "count(*) OVER (PARTITION BY var, view) AS n_windows", "count(*) OVER (PARTITION BY h) AS df")
     windows = windows.selectExpr("*", "row_number() OVER (PARTITION BY var, view ORDER BY df, h, q) AS place")
     # an item whose windows are covered has at least one of its n - ceil(COVER n) + 1 rarest windows found
-    windows = save(windows.selectExpr("cls", "var", "view", "w", "q", "h", "n_windows", f"place <= n_windows - ceil({COVER} * n_windows) + 1 AS rare"), "windows")
+    # a run has the rarest of each RUN windows in a row
+    windows = windows.selectExpr("*", f"min(place) OVER (PARTITION BY var, view ORDER BY q ROWS BETWEEN CURRENT ROW AND {RUN - 1} FOLLOWING) AS near")
+    rarest = f"array_contains(collect_set(near) OVER (PARTITION BY var, view ORDER BY q ROWS BETWEEN {RUN - 1} PRECEDING AND CURRENT ROW), place)"
+    windows = windows.selectExpr("cls", "var", "view", "w", "q", "h", "n_windows", f"place <= n_windows - ceil({COVER} * n_windows) + 1 OR {rarest} AS rare")
+    windows = save(windows, "windows")
 
     text_key = F.xxhash64("text")
     tokens = src.select("doc_id", text_key.alias("th"), template_tokens(F.col("text")).alias("tokens"))
@@ -201,7 +208,7 @@ def _long_found(src: DataFrame, classes: DataFrame) -> DataFrame:
     # a view's list only where it differs from the template's
     marks = lambda m: F.exists("tokens", lambda t: F.substring(t, 1, 1).isin(m))
     sizes = sorted({w for view, w in kinds if view != "W"})
-    needs = {"T": F.lit(True), "S": marks([START]), "L": marks([NAME]), "V": marks([NUMBER])}
+    needs = {"T": F.lit(True), "S": marks([START]), "L": marks([NAME]), "V": F.size(F.filter("tokens", lambda t: F.substring(t, 1, 1) == NUMBER)) * 4 > sizes[0]}  # half of a window are numbers and their units
     views = [v for v in "TSLV" if v != "V" or any(k == "X" for k, _ in kinds)]
     canon = tokens.select("doc_id", "th", F.size("tokens").alias("n"), *[F.when(needs[v], _canonical(F.col("tokens"), v)).alias(f"c{v}") for v in views])
     lists = [(v, w) for v in views for w in sizes] + [("T", WIDE)] * (("W", WIDE) in kinds)
@@ -221,8 +228,13 @@ def _long_found(src: DataFrame, classes: DataFrame) -> DataFrame:
     same = [F.col("hits.doc_id").eqNullSafe(F.col("cand.doc_id")), F.col("hits.th") == F.col("cand.th")]
     near = hits.alias("hits").join(cand.alias("cand"), same).select("hits.doc_id", "hits.th", "hits.p", "hits.h", "cand.var", "cand.view")
     aligned = near.join(windows, ["var", "view", "h"]).select("doc_id", "th", "var", "view", "w", "q", "n_windows", (F.col("p") - F.col("q")).alias("shift"))
-    runs = aligned.groupBy("doc_id", "th", "var", "view", "n_windows", "shift").agg(F.min("q").alias("q0"), F.max(F.col("q") + F.col("w")).alias("q1"), F.collect_set("q").alias("qs"))
-    runs = save(runs, "runs")
+    aligned = save(aligned.distinct(), "aligned")
+    ends = [F.min("q").alias("q0"), F.max(F.col("q") + F.col("w")).alias("q1"), F.collect_set("q").alias("qs")]
+    runs = aligned.groupBy("doc_id", "th", "var", "view", "n_windows", "shift").agg(*ends).withColumn("long", F.lit(False))
+    # consecutive windows of full width, each run checked on its own
+    rows = aligned.filter(f"w >= {WINDOW}").selectExpr("*", "q - row_number() OVER (PARTITION BY doc_id, th, var, view, shift ORDER BY q) AS run")
+    rows = rows.groupBy("doc_id", "th", "var", "view", "n_windows", "shift", "run").agg(*ends).filter(F.size("qs") >= RUN).drop("run")
+    runs = save(runs.unionByName(rows.withColumn("long", F.lit(True))), "runs")
 
     # values of aligned placeholders of one type, over the tokens that the windows span
     ids = broadcast_if_small(runs.select("doc_id", "th").distinct(), MAX_BROADCAST)
@@ -244,9 +256,9 @@ def _long_found(src: DataFrame, classes: DataFrame) -> DataFrame:
         "other": F.exists("pairs", lambda x: x["c"] != x["d"]),
     })
     found = held.filter("ok").groupBy("doc_id", "th", "var", "view", "n_windows").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("qs")))).cast("long").alias("matched"), F.max("other").alias("reparameterised")
+        F.size(F.array_distinct(F.flatten(F.collect_list("qs")))).cast("long").alias("matched"), F.max("other").alias("reparameterised"), F.max("long").alias("long")
     )
-    found = found.filter(F.col("matched") >= COVER * F.col("n_windows"))
+    found = found.filter(F.col("long") | (F.col("matched") >= COVER * F.col("n_windows")))
     found = found.join(classes.select("var", "cls"), "var").groupBy("doc_id", "cls").agg(
         F.max(F.struct(F.col("matched") / F.col("n_windows"), "matched", "n_windows")).alias("best"), F.max("reparameterised").alias("reparameterised")
     )

@@ -271,6 +271,13 @@ def test_decontamination_in_other_case_and_layout(spark):
     assert got[:5] == [(10, 1, False), (11, 1, False), (12, 1, False), (13, 1, True), (14, 2, True)]
 
 
+def test_decontamination_of_long_passages(spark):
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)]
+    part = lambda a, b: "it was " + " ".join(words[a:b]) + " was it"
+    docs = [(10, part(0, 110)), (11, part(120, 133)), (12, part(120, 132)), (13, part(0, 12) + " " + part(50, 60))]
+    assert _found(spark, [(1, " ".join(words))], docs) == [(10, 1, False), (11, 1, False)]
+
+
 @pytest.mark.parametrize("rate", [2.5e-7, 0.01])
 def test_ppm_scores_by_whole_trie(spark, docs, monkeypatch, rate):
     monkeypatch.setattr(ppm, "GRAM_RATE", rate, raising=False)
