@@ -38,6 +38,9 @@ SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t",
 COST_SIGN, COST_MARK, COST_TWO, COST_MANY = 0.5, 0.3, 2.0, 0.2
 MARKS = ".-_*~'"
 _DECORATION = "!?.,;:()[]{}\"'`#%&*<>|+=/\\-_~"
+_NO_SIGN = "".join(c for c in _DECORATION if c not in SIGNS)
+#: Letters of the words that are looked for in a run of spaced letters.
+SPACED = range(4, 25)
 
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
@@ -46,6 +49,9 @@ _SIGN = np.zeros(256, bool)
 _SIGN[[ord(c) for c in SIGNS if c.isascii()]] = True
 _FIRM = _SIGN.copy()  # signs that count as obfuscation after a letter as well
 _FIRM[[ord(c) for c in "!|+"]] = False
+_SOLID = _LETTER | _FIRM  # what is never decoration
+_DECORATES = np.zeros(256, bool)
+_DECORATES[[ord(c) for c in _DECORATION]] = True
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(9, 14)]] = True
 #: Classes of the character model: 0 anything else, 1..26 letters, others by their low bits.
@@ -137,8 +143,8 @@ class Restorer:
         return got
 
 
-def suspicious_words(raw: np.ndarray, offs: np.ndarray) -> list[tuple[int, str]]:
-    """(text index, word) of the words to be restored: signs among letters, letters three in a row, spaced letters."""
+def suspicious_words(raw: np.ndarray, offs: np.ndarray) -> list[tuple[int, str, bool]]:
+    """(text index, word, spaced) of the words to be restored: signs among letters, doubled letters, spaced letters."""
     if raw.size == 0:
         return []
     letter, sign = _LETTER[raw], _SIGN[raw]
@@ -146,7 +152,13 @@ def suspicious_words(raw: np.ndarray, offs: np.ndarray) -> list[tuple[int, str]]
     odd = np.zeros(raw.size, bool)
     odd[:-1] |= sign[:-1] & letter[1:]
     odd[1:] |= letter[:-1] & _FIRM[raw[1:]]
-    odd[2:] |= ascii_letter[2:] & (raw[2:] == raw[1:-1]) & (raw[2:] == raw[:-2])
+    odd[1:] |= ascii_letter[1:] & (raw[1:] == raw[:-1])
+    for c in (c.encode() for c in SIGNS if not c.isascii()):
+        n = len(c)
+        found = np.ones(max(raw.size - n + 1, 0), bool)
+        for j, byte in enumerate(c):
+            found &= raw[j : j + len(found)] == byte
+        odd[: len(found)] |= found
     mark = np.isin(raw, np.frombuffer(MARKS.encode(), np.uint8))
     odd[4:] |= letter[:-4] & mark[1:-3] & letter[2:-2] & mark[3:-1] & letter[4:]  # i.d.i.o.t
     starts, ends = _runs(raw, offs, ~_SPACE[raw])
@@ -155,24 +167,34 @@ def suspicious_words(raw: np.ndarray, offs: np.ndarray) -> list[tuple[int, str]]
     doc = np.searchsorted(offs, starts, side="right") - 1
     out = []
     for i in hit:
-        word = raw[starts[i] : ends[i]].tobytes().decode("utf-8", "replace").strip(_DECORATION)
-        kept = word.rstrip("$@")
-        if len(word) - len(kept) > 2:  # a row of signs is decoration
-            word = kept
-        if word and not (word.isalpha() and not _thrice(word)):
-            out.append((int(doc[i]), word))
-    single = (ends - starts == 1) & (letter[starts] | sign[starts])
+        word = raw[starts[i] : ends[i]].tobytes().decode("utf-8", "replace").strip(_NO_SIGN)
+        # '!', '|' and '+' at an edge are letters or decoration
+        forms = {word}
+        if word and (word[0] in _DECORATION or word[-1] in _DECORATION):
+            forms |= {word.strip(_DECORATION), word.lstrip(_DECORATION), word.rstrip(_DECORATION)}
+        for word in forms:
+            kept = word.rstrip("$@")
+            if len(word) - len(kept) > 2:  # a row of signs is decoration
+                word = kept
+            if word and not (word.isalpha() and not _twice(word)):
+                out.append((int(doc[i]), word, False))
+    # one letter or sign with nothing but decoration around it
+    solid, around = _SOLID[raw], np.concatenate([[0], np.cumsum(_DECORATES[raw])])
+    number, at = np.concatenate([[0], np.cumsum(solid)]), np.append(np.flatnonzero(solid), 0)
+    one = (number[ends] - number[starts] == 1) & (around[ends] - around[starts] == ends - starts - 1)
+    core = np.where(one, at[number[starts]], starts)
+    single = one | ((ends - starts == 1) & sign[starts])
     if single.sum() >= 4:
         s = np.flatnonzero(single)
         group = np.cumsum(np.concatenate([[0], (np.diff(s) != 1) | (np.diff(doc[s]) != 0)]))
         for g in np.flatnonzero(np.bincount(group) >= 4):
             own = s[group == g] if len(s) < 10_000 else s[np.searchsorted(group, g) : np.searchsorted(group, g, side="right")]
-            out.append((int(doc[own[0]]), raw[starts[own]].tobytes().decode("utf-8", "replace")))
+            out.append((int(doc[own[0]]), raw[core[own]].tobytes().decode("utf-8", "replace"), True))
     return out
 
 
-def _thrice(word: str) -> bool:
-    return any(a == b == c for a, b, c in zip(word, word[1:], word[2:]))
+def _twice(word: str) -> bool:
+    return any(a == b for a, b in zip(word, word[1:]))
 
 
 def document_entries(col: pa.Array, restorer: Restorer) -> tuple[np.ndarray, np.ndarray]:
@@ -184,11 +206,17 @@ def document_entries(col: pa.Array, restorer: Restorer) -> tuple[np.ndarray, np.
     doc = (np.searchsorted(offs, starts, side="right") - 1)[word]
     odd = suspicious_words(raw, offs)
     if odd:
-        texts = [restorer.restore(w.lower()) for _, w in odd]
+        texts, of = [], []
+        for d, w, spaced in odd:
+            text = restorer.restore(w.lower())
+            # spaced letters have no ends of words: every part may be one
+            own = {text, *(text[i : i + n] for n in SPACED for i in range(len(text) - n + 1))} if spaced else (text,)
+            texts += own
+            of += [d] * len(own)
         data = np.frombuffer(b"".join(texts), np.uint8)
         to = np.cumsum([len(t) for t in texts])
         full = np.array([len(t) > 0 for t in texts])
-        at = np.array([d for d, _ in odd])[full]
+        at = np.array(of)[full]
         w2, h2 = entry_hashes(data, (to - [len(t) for t in texts])[full], to[full])
         doc, h = np.concatenate([doc, at[w2]]), np.concatenate([h, h2])
     return doc, h

@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -328,6 +329,17 @@ def test_toxicity(spark):
     assert [got[i] for i in range(7)] == [1, 1, 1, 1, 0, 0, 0]
 
 
+def test_toxicity_of_edges_runs_and_doubles():
+    at = np.arange(64**3)
+    restorer = toxicity.Restorer(np.where((at % 64 == 4) & (at // 64 % 64 == 4), 6.0, 1.0))  # "dd" is rare
+    texts = ["you !diot", "+rash!", "i d i o t, he", "(m o r o n.", "a s t u p i d", "y o u i d i o t s a y", "iddiot", "s¢um", "cr€ep"]
+    doc, h = toxicity.document_entries(pa.array(texts), restorer)
+    for i, word in enumerate(["idiot", "trash", "idiot", "moron", "stupid", "idiot", "idiot", "scum", "creep"]):
+        data = np.frombuffer(word.encode(), np.uint8)
+        want = toxicity.entry_hashes(data, np.array([0]), np.array([len(data)]))[1][0]
+        assert want in h[doc == i], (texts[i], word)
+
+
 def test_empty_tables(spark, empty):
     assert jaccard.similar_components(empty).count() == 0
     assert quality.quality_table(empty).count() == 0
