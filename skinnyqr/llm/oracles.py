@@ -52,3 +52,27 @@ l AS (
 )
 SELECT n.doc_id, n.n::BIGINT AS n_shingles, m.r AS component_id FROM n JOIN (SELECT a, min(r) AS r FROM c GROUP BY a) m ON m.a = n.doc_id
 """
+
+ORACLES["op11_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\f\r]')) AS piece
+  FROM documents
+), w AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS w FROM pieces),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+grams AS (SELECT lang, unnest(list_transform(range(1, len(w) - m + 2), lambda i: w[i:i + m - 1])) AS p FROM w, range(1, 6) r(m)),
+f AS (SELECT lang, p, count(*) AS a FROM grams GROUP BY lang, p HAVING count(*) >= 100),
+cuts AS (
+  SELECT f.lang, f.p, f.a, n, k, x.a AS l, y.a AS r, ((1000::HUGEINT * f.a * n) // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, len(p))) AS k FROM f WHERE len(p) > 1) f
+  JOIN total USING (lang) JOIN f x ON x.lang = f.lang AND x.p = f.p[:k] JOIN f y ON y.lang = f.lang AND y.p = f.p[k + 1:]
+), best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, p[i:i + m - 1] AS p, max(a) AS f
+  FROM (SELECT *, unnest(range(1, len(p) - m + 2)) AS i FROM (SELECT *, unnest(range(2, len(p))) AS m FROM f WHERE len(p) > 2))
+  GROUP BY ALL
+), kept AS (SELECT best.* FROM best LEFT JOIN inside USING (lang, p) WHERE coalesce(100 * f < 100 * a, true))
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT *, array_to_string(p, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank FROM kept
+) WHERE rank <= 2000
+"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, jaccard, ppm, quality, sharding, toxicity, urlfilter, wordpiece
+from . import bpe, chat, collocations, decontam, jaccard, ppm, quality, sharding, toxicity, urlfilter, wordpiece
 from .common import table
 
 #: Tokenizer files of the queries; the operators take any path.
@@ -65,11 +65,15 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_bpe, op2_toxicity, op3_quality_rules, op4_ngram_jaccard, op5_token_counts,
-        op6_lm_scoring, op7_chat_format, op8_sharding, op9_url_filter, op10_decontamination,
+        op6_lm_scoring, op7_chat_format, op8_sharding, op9_url_filter, op10_decontamination, op11_collocations,
     )
 }
 from .oracles import ORACLES  # noqa: E402, F401
