@@ -2,11 +2,14 @@
 
 import math
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
 
 import __spark_entry__ as E
+from skinnyqr.plans import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
@@ -27,13 +30,30 @@ def test_entry_runs(spark):
     assert df.count() > 0
 
 
-def test_every_query_has_an_oracle_or_is_rows_only():
-    qs, ors = E.queries(), E.oracle_sql()
-    assert set(ors) <= set(qs)
-    assert set(qs) - set(ors) == {"random_r_blocks", "random_r_combined"}
+def test_every_matrix_query_has_an_oracle():
+    """The training-data queries have their own tests in tests/llm."""
+    assert set(E.oracle_sql()) <= set(E.queries())
+    assert set(QUERIES) - set(ORACLES) == {"random_r_blocks", "random_r_combined"}
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("hidden", ["skinnyqr.llm", "corpus_pipeline", "tokenizers", "public_tokenizers"])
+def test_entry_without_an_optional_module(hidden):
+    """The matrix queries are registered where the subpackage, the pipeline or a package only they need is absent."""
+    code = (
+        "import sys\n"
+        "class Hide:\n"
+        "    def find_spec(self, name, *_):\n"
+        f"        if name == {hidden!r} or name.startswith({hidden!r} + '.'):\n"
+        "            raise ModuleNotFoundError(name=name)\n"
+        "sys.meta_path.insert(0, Hide())\n"
+        "import __spark_entry__ as E\n"
+        "from skinnyqr.plans import QUERIES\n"
+        "assert set(E.queries()) == set(QUERIES), set(E.queries()) ^ set(QUERIES)\n"
+    )
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.abspath(E.__file__)))
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_oracle(spark, name):
     con = duckdb.connect()
     for f in os.listdir(SF):
