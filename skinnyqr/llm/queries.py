@@ -6,12 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, collocations, decontam, jaccard, ppm, quality, sharding, toxicity, urlfilter, wordpiece
+from . import alignment, bpe, chat, collocations, decontam, jaccard, ppm, quality, sharding, toxicity, urlfilter, wordpiece
 from .common import table
 
 #: Tokenizer files of the queries; the operators take any path.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 #: The rules of the URL query (host, path, verdict).
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -69,11 +70,15 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_table(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_bpe, op2_toxicity, op3_quality_rules, op4_ngram_jaccard, op5_token_counts,
-        op6_lm_scoring, op7_chat_format, op8_sharding, op9_url_filter, op10_decontamination, op11_collocations,
+        op6_lm_scoring, op7_chat_format, op8_sharding, op9_url_filter, op10_decontamination, op11_collocations, op12_alignment,
     )
 }
 from .oracles import ORACLES  # noqa: E402, F401
