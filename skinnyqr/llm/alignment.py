@@ -34,13 +34,41 @@ from .shingles import bounded
 #: Pairs of ids whose counts every worker may hold (17 bytes each).
 MAX_PAIRS = 1_000_000
 #: Bytes of text encoded at a time.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _TOP = np.uint64(1 << 63)
 
 
+#: How byte-level vocabularies cut a text into words.
+_WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_PLAIN = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+
+
 @lru_cache(maxsize=2)
 def byte_level(path: str):
-    """(encode, bytes of each id) of a byte-level vocabulary; special strings are ordinary text."""
+    """(encode, bytes of each id) of a byte-level vocabulary; special strings are ordinary text.
+
+    Where ids follow the order of the merges, as they do in the usual files,
+    merging the pair with the smallest id is the same as merging by the list;
+    tiktoken then encodes, on the ranks of this file, several times as fast as
+    the library that reads the file itself, which does it otherwise.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    byte_of = {c: i for i, c in enumerate(byte_alphabet())}
+    vocab = spec["model"]["vocab"]
+    texts = [b""] * (max(vocab.values()) + 1)
+    for t, i in vocab.items():
+        texts[i] = bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode()
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
+    made = [vocab[a + b] for a, b in merges]
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    ranks = {texts[i]: i for t, i in vocab.items() if t not in special}
+    plain = not spec["normalizer"] and {k: (spec["pre_tokenizer"] or {}).get(k) for k in _PLAIN} == _PLAIN and not spec["model"].get("ignore_merges")
+    if plain and made == sorted(set(made)) and len(ranks) == len(made) + 256 and max(ranks[bytes([x])] for x in range(256)) < made[0]:
+        import tiktoken
+
+        encoding = tiktoken.Encoding("byte-level", pat_str=_WORDS, mergeable_ranks=ranks, special_tokens={})
+        return lambda batch: list(map(encoding.encode_ordinary, batch)), texts
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -48,12 +76,6 @@ def byte_level(path: str):
     tok.encode_special_tokens = True
     tok.no_truncation()
     tok.no_padding()
-    byte_of = {c: i for i, c in enumerate(byte_alphabet())}
-    with open(path, encoding="utf-8") as f:
-        vocab = json.load(f)["model"]["vocab"]
-    texts = [b""] * (max(vocab.values()) + 1)
-    for t, i in vocab.items():
-        texts[i] = bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode()
     return lambda batch: [e.ids for e in tok.encode_batch_fast(batch, add_special_tokens=False)], texts
 
 
@@ -205,10 +227,11 @@ def link_counts(aligned: DataFrame) -> DataFrame:
     """(pair, c, best): links of each id pair over all texts; best: c is the highest of the pair's B id."""
 
     def run(it):
-        for b in it:
-            pairs = np.frombuffer(b"".join(x for x in b.column(0).to_pylist() if x), np.int64)
-            p, c = np.unique(pairs, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(c, pa.int64())], names=["pair", "c"])
+        for batch in it:
+            for b in bounded(batch, 0, 16 << 20):
+                pairs = np.frombuffer(b"".join(x for x in b.column(0).to_pylist() if x), np.int64)
+                p, c = np.unique(pairs, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(c, pa.int64())], names=["pair", "c"])
 
     counts = aligned.select("links").mapInArrow(run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
     b_id = F.col("pair").bitwiseAND(0xFFFFFFFF)
@@ -249,15 +272,16 @@ def alignment_table(docs: DataFrame, path_a: str, path_b: str, id_col: str = "do
 
         def run(it):
             table, count, best = _pair_table(shipped)
-            for b in it:
-                links = [x or b"" for x in b.column(len(plain)).to_pylist()]
-                cut = np.append(0, np.cumsum([len(x) // 8 for x in links])).astype(np.int64)
-                pair = np.frombuffer(b"".join(links), np.uint64)
-                at = table.find(pair | _TOP)
-                lost = at < 0
-                per = lambda v: np.diff(np.append(0, np.cumsum(v, dtype=np.int64))[cut])
-                sums = [pa.array(per(best[at])), pa.array(per(count[at])), _lists(pair[lost].view(np.int64), per(lost))]
-                yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(plain))] + sums, names=names)
+            for batch in it:
+                for b in bounded(batch, len(plain)):
+                    links = [x or b"" for x in b.column(len(plain)).to_pylist()]
+                    cut = np.append(0, np.cumsum([len(x) // 8 for x in links])).astype(np.int64)
+                    pair = np.frombuffer(b"".join(links), np.uint64)
+                    at = table.find(pair | _TOP)
+                    lost = at < 0
+                    per = lambda v: np.diff(np.append(0, np.cumsum(v, dtype=np.int64))[cut])
+                    sums = [pa.array(per(best[at])), pa.array(per(count[at])), _lists(pair[lost].view(np.int64), per(lost))]
+                    yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(plain))] + sums, names=names)
 
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in aligned.schema if f.name != "links")
         out = aligned.select(*plain, "links").mapInArrow(run, schema + ", n_best long, count_sum long, rare array<long>")

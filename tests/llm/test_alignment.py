@@ -99,3 +99,14 @@ def test_jumping_labels_components():
         assert ga.tolist() == np.searchsorted(common, ends[0]).tolist() and gb.tolist() == np.searchsorted(common, ends[1]).tolist()
     long = [np.append(np.arange(1, 200_001, 2), 200_001), np.append(np.arange(2, 200_002, 2), 200_001)]
     assert al.groups(*long)[0].max() == 0  # one chain over all tokens
+
+
+def test_ranks_and_library_encode_alike(monkeypatch):
+    """The fast encoder, the library that reads the file, and the fast one's condition."""
+    rnd = random.Random(8)
+    texts = ["".join(chr(rnd.choice([*range(32, 127), 9, 10, 0x3B1, 0x4E2D, 0x1F600, 0x301, 0xA0, 0x2003])) for _ in range(rnd.randint(0, 80))) for _ in range(2000)]
+    texts += ["<|endoftext|>", "a'll I'VE", "1234567 12 3", "   \n\n x", "é" * 500]
+    fast = al.byte_level.__wrapped__(A)[0](texts)
+    monkeypatch.setattr(al, "_PLAIN", {"type": "other"})
+    slow = al.byte_level.__wrapped__(A)[0](texts)
+    assert fast == slow
