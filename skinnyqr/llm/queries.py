@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, chat, collocations, decontam, jaccard, ppm, quality, sharding, toxicity, urlfilter, wordpiece
+from . import alignment, bpe, chat, collocations, decontam, imatch, jaccard, ppm, quality, sharding, toxicity, urlfilter, wordpiece
 from .common import table
 
 #: Tokenizer files of the queries; the operators take any path.
@@ -74,11 +74,16 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment_table(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.edit_probe(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_bpe, op2_toxicity, op3_quality_rules, op4_ngram_jaccard, op5_token_counts,
         op6_lm_scoring, op7_chat_format, op8_sharding, op9_url_filter, op10_decontamination, op11_collocations, op12_alignment,
+        op13_fingerprints,
     )
 }
 from .oracles import ORACLES  # noqa: E402, F401
