@@ -4,10 +4,8 @@ from skinnyqr.functions.columns import array_dot, clean_round, omega, vector_col
 from skinnyqr.functions.kernels import (
     batched_matmul,
     running_r,
-    safe_inverse,
     signed_qr,
     stack_qr,
-    sym_eig_desc,
     topn_rows,
 )
 
@@ -17,10 +15,8 @@ __all__ = [
     "clean_round",
     "omega",
     "running_r",
-    "safe_inverse",
     "signed_qr",
     "stack_qr",
-    "sym_eig_desc",
     "topn_rows",
     "vector_column",
 ]

@@ -68,34 +68,6 @@ def batched_matmul(lhs: list[np.ndarray], rhs: list[np.ndarray]) -> list[np.ndar
     return out  # type: ignore[return-value]
 
 
-def sym_eig_desc(g: np.ndarray, rel_eps: float = 1e-12):
-    """Eigen-decomposition of a symmetric PSD matrix, largest first.
-
-    Returns ``(sigma, vecs)`` with sigma = sqrt(max(eigenvalue, 0)).
-    Singular values at or below ``rel_eps * sigma_max`` are set to 0 so
-    that later divisions by sigma can be guarded.
-    """
-    g = 0.5 * (g + g.T)
-    w, v = np.linalg.eigh(g)
-    order = np.argsort(-w, kind="stable")
-    w, v = w[order], v[:, order]
-    sigma = np.sqrt(np.clip(w, 0.0, None))
-    if sigma.size and sigma[0] > 0:
-        sigma[sigma <= rel_eps * sigma[0]] = 0.0
-    # deterministic column signs: largest-magnitude entry positive
-    piv = np.argmax(np.abs(v), axis=0)
-    sg = np.where(v[piv, np.arange(v.shape[1])] < 0, -1.0, 1.0)
-    return sigma, v * sg[None, :]
-
-
-def safe_inverse(sigma: np.ndarray) -> np.ndarray:
-    """1/sigma with zero where sigma is zero (rank-deficient directions)."""
-    out = np.zeros_like(sigma)
-    nz = sigma > 0
-    out[nz] = 1.0 / sigma[nz]
-    return out
-
-
 def topn_rows(scores: np.ndarray, items: np.ndarray, n: int, threshold: float, scaled: bool = True):
     """Per-row top-n of a score block.
 

@@ -5,19 +5,22 @@ A (users x items, COO rows ``(user, item, rating)``) ~= U diag(sigma) V^t:
 1. Y = A Omega (users x kp, kp = k + p).  Omega's entries are a hash of
    (seed, item, c), so Omega is never stored or shipped: one
    ``groupBy(user).agg(sum(...))`` with map-side partial aggregation.
-2. Q = direct TSQR of Y (rows keyed by user).
+2. An orthonormal basis Q of the columns of Y (:func:`range_basis`): the SVD
+   of R1 (R of Y, one streaming pass) gives the directions that Y has and a
+   kp x r matrix M1 that makes them orthonormal up to rounding; R2 of Y M1
+   (a second pass) refines them.  Q = (Y M1) M2 is a map-only plan of Y.
 3. B^t = A^t Q: equi-join A with Q on the user key, then
    ``groupBy(item).agg(sum(...))`` (partial aggregation again).
-4. B B^t (kp x kp): per-partition Gram pieces from ``mapInArrow``, summed
-   by a tiny aggregate; only kp^2 numbers reach the driver.
-5. eigh on the driver: sigma = sqrt(eig), U_hat = eigenvectors.
-6. U = Q U_hat[:, :k] and V = B^t U_hat[:, :k] diag(1/sigma): map-only
-   passes with the kp x k matrix in the task closure.
+4. R of B^t by TSQR, and the SVD of that small R: singular values are right
+   to about 1e-16 of the largest, where the roots of the eigenvalues of the
+   Gram matrix B B^t are lost below 1e-8 of it.
+5. U = Q W and V = B^t W / sigma, refined like Q so that its columns stay
+   orthonormal: map-only passes with small matrices in the task closure.
 
 Dense rows ``(row_id, v ARRAY<DOUBLE>[n])`` use :func:`stochastic_svd_dense`:
-step 1 is map-only there (each task multiplies its Arrow batches by the
-n x kp matrix rebuilt from the seed) and step 3 joins A and Q on the row
-id, folding each task's rows into one n x kp partial product.
+every step is a streaming pass over A that recomputes (a Omega) M1 M2 where it
+is needed.  A is neither shuffled, nor joined with Q, nor cached; tasks emit
+n rows of partial sums of B^t.
 """
 
 from __future__ import annotations
@@ -32,8 +35,7 @@ from pyspark.sql import types as T
 
 from skinnyqr.functions.arrow import list_to_matrix, matrix_to_list
 from skinnyqr.functions.columns import omega_sum_array, weighted_sum_array
-from skinnyqr.functions.kernels import safe_inverse, sym_eig_desc
-from skinnyqr.operators.tsqr import _to_arrow, tall_skinny_qr
+from skinnyqr.operators.tsqr import _to_arrow, _width, map_rows, r_on_driver, times
 from skinnyqr.session import materialize, ship_package
 
 DEFAULT_SEED = 7919
@@ -135,21 +137,25 @@ def gram_matrix(df: DataFrame, vec: str, k: int | None = None) -> np.ndarray:
     return g
 
 
-def _times_matrix(df: DataFrame, key: str, vec: str, mat: np.ndarray, out_col: str) -> DataFrame:
-    """Rows ``(key, out_col)`` with out = row @ mat (mat shipped in the closure; kp x k)."""
-    ship_package(df.sparkSession)
-    mat = np.ascontiguousarray(mat, dtype=np.float64)
-    schema = T.StructType([df.schema[key], T.StructField(out_col, T.ArrayType(T.DoubleType(), False), False)])
-    out_schema = _to_arrow(schema)
+#: Singular values at or below this share of the largest count as zero.
+ZERO_SHARE = 1e-12
 
-    def fn(batches):
-        for rb in batches:
-            if rb.num_rows == 0:
-                continue
-            x = list_to_matrix(rb.column("_x"), mat.shape[0])
-            yield pa.RecordBatch.from_pydict({key: rb.column(key), out_col: matrix_to_list(x @ mat)}, schema=out_schema)
 
-    return df.select(key, F.col(vec).cast("array<double>").alias("_x")).mapInArrow(fn, schema)
+def range_basis(y: DataFrame, n: int, mats=(), width: int | None = None, schedule=None) -> tuple[np.ndarray, np.ndarray]:
+    """(M1, M2) so that the rows ``_v`` of ``y``, times ``mats``, M1 and M2, are an orthonormal basis of its columns.
+
+    Works at any rank: directions with at most ZERO_SHARE of the largest
+    singular value are left out (a zero matrix keeps one zero column).
+    """
+    w = n if width is None else width
+    r1 = r_on_driver(y, n, mats, w, schedule)
+    _, s, vt = np.linalg.svd(r1)
+    r = int((s > ZERO_SHARE * s[0]).sum()) if s.size and s[0] > 0 else 0
+    if r == 0:
+        return np.zeros((w, 1)), np.eye(1)
+    m1 = vt[:r].T / s[:r]
+    r2 = r_on_driver(y, n, (*mats, m1), r, schedule)
+    return m1, np.linalg.inv(r2)
 
 
 @dataclass
@@ -198,11 +204,13 @@ def stochastic_svd(
 
     Exact (up to rounding) when k + p >= rank(A).  Singular values at or
     below 1e-12 * sigma_max count as zero and give zero U/V columns
-    instead of NaN.  ``u_half_sigma`` / ``v_half_sigma`` return
+    instead of NaN; the other columns are orthonormal.
+    ``u_half_sigma`` / ``v_half_sigma`` return
     U sqrt(Sigma) / V sqrt(Sigma) instead of U / V.  ``reliable=True``
-    checkpoints Y, Q and B^t (users x kp and items x kp, small next to A)
+    checkpoints Y and B^t (users x kp and items x kp, small next to A)
     into ``spark.checkpoint.dir`` so that a lost executor never sends the
-    job back to the rating scan.
+    job back to the rating scan.  ``block_rows`` is accepted for older
+    callers: the basis of Y needs no row blocks.
     """
     if k < 1 or p < 0:
         raise ValueError("need k >= 1 and p >= 0")
@@ -212,15 +220,35 @@ def stochastic_svd(
     a = ratings.select(F.col(user), F.col(item), F.col(rating).cast("double").alias(rating))
     y = materialize(random_projection(a, kp, seed, user, item, rating, omega_table), reliable, eager=reliable)
     held.append(y)
-    qr = tall_skinny_qr(y, user, "y", block_rows=block_rows, schedule=schedule, n=kp)
-    q = materialize(qr.q.select(user, "q"), reliable, eager=reliable)
-    held.append(q)
-    held.extend(qr._held)
-    # Q has min(#users, kp) columns
-    width = qr.width
+    rows = y.select(user, F.col("y").alias("_v"))
+    basis = range_basis(rows, kp, schedule=schedule)
+    width = basis[1].shape[0]
+    q = map_rows(rows, user, kp, basis, user, "q", width)
     bt = materialize(at_times_q(a, q, width, user, item, rating), reliable, eager=reliable)
     held.append(bt)
-    return _finish_svd(q, bt, width, k, kp, user, item, compute_u, compute_v, u_half_sigma, v_half_sigma, held)
+    return _finish_svd(rows, kp, basis, bt, width, k, kp, user, item, compute_u, compute_v, u_half_sigma, v_half_sigma, held, schedule)
+
+
+def svd_certificate(ratings: DataFrame, res: SSVDResult, user: str = "user_id", item: str = "item_id", rating: str = "rating") -> DataFrame:
+    """How far the columns of V are from eigenvectors of A^t A: ``(j, sigma, residual, length)`` for each of the k columns.
+
+    residual = |A^t A v_j - sigma_j^2 v_j| / sigma_j^2 and length = |v_j|; both
+    by joins, without another factorisation.  With V^t V = I (``gram_cells``)
+    residuals near 0 prove sigma_j^2 to be k eigenvalues of A^t A; a column
+    with sigma_j = 0 has a null residual.
+    """
+    k = res.k
+    v = res.v.select(F.col(item), F.col("v"))
+    a = ratings.select(F.col(user), F.col(item), F.col(rating).cast("double").alias("_r"))
+    av = a.join(v, item).groupBy(user).agg(weighted_sum_array("_r", "v", k).alias("q"))
+    back = at_times_q(ratings, av, k, user, item, rating)
+    both = v.join(back, item, "left")
+    cell = both.select(F.posexplode("v").alias("j", "x"), F.col("b"))
+    sigma = F.element_at(F.array(*[F.lit(float(s)) for s in res.sigma[:k]]), F.col("j") + 1)
+    miss = F.coalesce(F.element_at("b", F.col("j") + 1), F.lit(0.0)) - sigma * sigma * F.col("x")
+    sums = cell.withColumn("s", sigma).withColumn("d", miss).groupBy("j", "s").agg(F.sum(F.col("d") * F.col("d")).alias("d2"), F.sum(F.col("x") * F.col("x")).alias("x2"))
+    residual = F.when(F.col("s") > 0, F.sqrt("d2") / (F.col("s") * F.col("s")))
+    return sums.select("j", F.col("s").alias("sigma"), residual.alias("residual"), F.sqrt("x2").alias("length"))
 
 
 # ---------------------------------------------------------------------------
@@ -256,37 +284,30 @@ def dense_projection(df: DataFrame, id_col: str, vec: str, kp: int, seed: int =
     return df.select(id_col, F.col(vec).cast("array<double>").alias("_a")).mapInArrow(fn, schema)
 
 
-def dense_at_times_q(a: DataFrame, q: DataFrame, id_col: str, vec: str, q_col: str = "q") -> DataFrame:
-    """B^t = A^t Q for dense A as rows ``(item_id INT, b ARRAY<DOUBLE>)`` (item = column of A).
+def dense_at_times_q(a: DataFrame, n: int, mats, width: int) -> DataFrame:
+    """B^t = A^t Q for dense rows ``_v``, with Q = the rows times ``mats``: ``(item_id INT, b ARRAY<DOUBLE>)``.
 
-    A and Q are joined on the row id; every task folds its joined rows
-    into one n x kp partial product, emitted in long form and summed by a
-    small aggregate (partials are n x kp per task, never per row).
+    q is recomputed from the row where a^t q is added up, so A is read once
+    and never joined; a task emits n rows of partial sums of ``width`` numbers.
     """
     ship_package(a.sparkSession)
-    joined = a.select(id_col, F.col(vec).cast("array<double>").alias("_a")).join(
-        q.select(id_col, F.col(q_col).cast("array<double>").alias("_q")), id_col)
-    schema = T.StructType([T.StructField("item_id", T.IntegerType(), False), T.StructField("c", T.IntegerType(), False),
-                           T.StructField("b", T.DoubleType(), False)])
+    schema = T.StructType([T.StructField("item_id", T.IntegerType(), False), T.StructField("b", T.ArrayType(T.DoubleType(), False), False)])
     out_schema = _to_arrow(schema)
 
     def fn(batches):
+        ms = [m() if callable(m) else m for m in mats]
         acc = None
         for rb in batches:
             if rb.num_rows == 0:
                 continue
-            part = list_to_matrix(rb.column("_a")).T @ list_to_matrix(rb.column("_q"))
+            rows = list_to_matrix(rb.column("_v"), n)
+            part = rows.T @ times(rows, ms)
             acc = part if acc is None else acc + part
-        if acc is None:
-            return
-        ii, cc = np.meshgrid(np.arange(acc.shape[0], dtype=np.int32), np.arange(acc.shape[1], dtype=np.int32),
-                             indexing="ij")
-        yield pa.RecordBatch.from_pydict({"item_id": ii.reshape(-1), "c": cc.reshape(-1), "b": acc.reshape(-1)},
-                                         schema=out_schema)
+        if acc is not None:
+            yield pa.RecordBatch.from_pydict({"item_id": pa.array(np.arange(n, dtype=np.int32)), "b": matrix_to_list(acc)}, schema=out_schema)
 
-    cells = joined.mapInArrow(fn, schema).groupBy("item_id", "c").agg(F.sum("b").alias("b"))
-    return cells.groupBy("item_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("c", "b"))), lambda s: s["b"]).alias("b"))
+    parts = a.select("_v").mapInArrow(fn, schema).withColumn("_one", F.lit(1.0))
+    return parts.groupBy("item_id").agg(weighted_sum_array("_one", "b", width).alias("b"))
 
 
 def stochastic_svd_dense(
@@ -312,31 +333,35 @@ def stochastic_svd_dense(
     if k < 1 or p < 0:
         raise ValueError("need k >= 1 and p >= 0")
     kp = k + p
-    held: list[DataFrame] = []
-    a = df.select(F.col(id_col).cast("long").alias(id_col), F.col(vec).cast("array<double>").alias("v"))
-    y = materialize(dense_projection(a, id_col, "v", kp, seed), reliable, eager=reliable)
-    held.append(y)
-    qr = tall_skinny_qr(y, id_col, "y", block_rows=block_rows, schedule=schedule, n=kp)
-    q = materialize(qr.q.select(id_col, "q"), reliable, eager=reliable)
-    held.append(q)
-    held.extend(qr._held)
-    bt = materialize(dense_at_times_q(a, q, id_col, "v"), reliable, eager=reliable)
-    held.append(bt)
-    return _finish_svd(q, bt, qr.width, k, kp, id_col, "item_id", compute_u, compute_v, u_half_sigma,
-                       v_half_sigma, held)
-
-
-def _finish_svd(q, bt, width, k, kp, user, item, compute_u, compute_v, u_half_sigma, v_half_sigma, held):
-    g = gram_matrix(bt, "b", width)
-    sigma, uhat = sym_eig_desc(g)
-    kk = min(k, sigma.size)
-    s_k = sigma[:kk]
-    u_mat = uhat[:, :kk] * (np.sqrt(s_k)[None, :] if u_half_sigma else 1.0)
-    v_scale = safe_inverse(s_k) * (np.sqrt(s_k) if v_half_sigma else 1.0)
-    v_mat = uhat[:, :kk] * v_scale[None, :]
-    u_mat[:, s_k == 0] = 0.0
-    u_df = _times_matrix(q, user, "q", u_mat, "u") if compute_u else None
-    v_df = _times_matrix(bt, item, "b", v_mat, "v") if compute_v else None
-    if sigma.size < kp:
-        sigma = np.concatenate([sigma, np.zeros(kp - sigma.size)])
-    return SSVDResult(u=u_df, v=v_df, sigma=sigma, k=kk, user=user, item=item, _held=held)
+    a = df.select(F.col(id_col).cast("long").alias(id_col), F.col(vec).cast("array<double>").alias("_v"))
+    n = _width(a)
+
+    def om():  # rebuilt from the seed in every task
+        return _dense_omega(seed, n, kp)
+
+    m1, m2 = range_basis(a, n, (om,), kp, schedule)
+    basis, width = (om, m1, m2), m2.shape[0]
+    bt = materialize(dense_at_times_q(a, n, basis, width), reliable, eager=reliable)
+    return _finish_svd(a, n, basis, bt, width, k, kp, id_col, "item_id", compute_u, compute_v, u_half_sigma, v_half_sigma, [bt], schedule)
+
+
+def _finish_svd(rows, n, basis, bt, width, k, kp, user, item, compute_u, compute_v, u_half_sigma, v_half_sigma, held, schedule):
+    """Sigma from R of B^t; U and V as map-only plans of the rows and of B^t."""
+    b_rows = bt.select(item, F.col("b").alias("_v"))
+    sigma = np.zeros(width)
+    _, s, wt = np.linalg.svd(r_on_driver(b_rows, width, (), width, schedule))
+    sigma[: s.size], w = s, wt.T
+    sigma[sigma <= ZERO_SHARE * sigma[0]] = 0.0
+    # deterministic column signs: largest-magnitude entry positive
+    w = w * np.where(w[np.argmax(np.abs(w), axis=0), np.arange(width)] < 0, -1.0, 1.0)
+    r = int((sigma[:k] > 0).sum())
+    root = np.sqrt(sigma[:r])
+    u_df = v_df = None
+    if compute_u:
+        u_df = map_rows(rows, user, n, (*basis, w[:, :r] * (root if u_half_sigma else 1.0)), user, "u", k)
+    if compute_v:
+        m1 = w[:, :r] / sigma[:r]
+        m2 = np.linalg.inv(r_on_driver(b_rows, width, (m1,), r, schedule)) if r else np.zeros((0, 0))
+        v_df = map_rows(b_rows, item, width, (m1, m2 * (root if v_half_sigma else 1.0)), item, "v", k)
+    sigma = np.concatenate([sigma, np.zeros(kp - width)]) if width < kp else sigma
+    return SSVDResult(u=u_df, v=v_df, sigma=sigma, k=k, user=user, item=item, _held=held)

@@ -16,14 +16,14 @@ from pyspark.sql import functions as F
 
 from skinnyqr.functions.columns import clean_round
 from skinnyqr.operators.recommend import recommend, recommend_split, score_pairs
-from skinnyqr.operators.ssvd import at_times_q, gram_cells, random_projection, stochastic_svd, stochastic_svd_dense
+from skinnyqr.operators.ssvd import at_times_q, gram_cells, random_projection, stochastic_svd, stochastic_svd_dense, svd_certificate
 from skinnyqr.operators.text import count_lines_containing
 from skinnyqr.operators.topn import merge_topn, top_n
 from skinnyqr.operators.tsqr import combine_r, qr_residual, tall_skinny_qr, tall_skinny_r
 from skinnyqr.plans.tables import rating_events, ratings, table
 from skinnyqr.session import scratch_path
 from skinnyqr.sinks import recommendation_lines, write_factors
-from skinnyqr.sources.dense import block_of, block_sizes, dense_lines, parse_dense_lines
+from skinnyqr.sources.dense import block_of, block_sizes, dense_lines, parse_dense_lines, read_dense_text
 from skinnyqr.sources.factors import read_factors
 from skinnyqr.sources.ratings import dedupe_ratings, parse_rating_lines, user_row_text, user_rows
 from skinnyqr.sources.synthetic import random_r_blocks
@@ -115,6 +115,10 @@ def q_qr_q_indirect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _q_cells(spark, sf_dir, "indirect")
 
 
+def q_qr_q_refined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _q_cells(spark, sf_dir, "refined")
+
+
 def _qr_full(spark, sf_dir):
     emb = _embeddings(spark, sf_dir)
     return emb, tall_skinny_qr(emb, "vec_id", "v", block_rows=64, schedule=[4, 1])
@@ -137,6 +141,11 @@ def q_qr_orthogonality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells_out(gram_cells(res.q, "q"), 9, "g")
 
 
+def q_qr_refined_orthogonality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    res = tall_skinny_qr(_embeddings(spark, sf_dir), "vec_id", "v", method="refined")
+    return _cells_out(gram_cells(res.q, "q"), 9, "g")
+
+
 def q_random_r_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return random_r_blocks(table(spark, sf_dir, "part"), "p_partkey", 8, seed=7)
 
@@ -203,6 +212,33 @@ def q_ssvd_dense_sigma_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(clean_round(F.col("s2"), 6).alias("sum_sigma2"), clean_round(F.col("s4"), 6).alias("sum_sigma4"))
 
 
+def q_ssvd_rank10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank 10 with oversampling 15: each of the ten columns certified as an eigenvector of A^t A, sigma descending."""
+    a = ratings(spark, sf_dir)
+    res = stochastic_svd(a, 10, 15, compute_u=False)
+    sure = svd_certificate(a, res)
+    later = [bool(x >= y) for x, y in zip(res.sigma[:10], res.sigma[1:11])]
+    in_order = F.element_at(F.array(*map(F.lit, later)), F.col("j") + 1)
+    return sure.select(F.col("j").cast("long").alias("j"), clean_round(F.col("residual"), 6).alias("residual"),
+                       clean_round(F.col("length"), 9).alias("length"), in_order.alias("in_order"),
+                       clean_round(F.lit(float((res.sigma**2).sum())), 0).alias("sum_all_sigma2"))
+
+
+def q_ssvd_rank_deficient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item twice: half of the singular values are 0, with zero columns; the others are orthonormal."""
+    a = ratings(spark, sf_dir)
+    twice = a.select("user_id", F.explode(F.array(F.col("item_id"), F.col("item_id") + 1000)).alias("item_id"), "rating")
+    res = stochastic_svd(twice, 2 * SVD_K, 0)
+    length2 = lambda df, c: float(df.agg(F.sum(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))).first()[0])
+    unit, off = gram_cells(res.v, "v").agg(
+        F.count_if((F.col("i") == F.col("j")) & (F.abs(F.col("g") - 1) < 1e-12)),
+        F.max(F.when(F.col("i") != F.col("j"), F.abs("g")))).first()
+    row = (float((res.sigma**2).sum()), int((res.sigma == 0).sum()), length2(res.u, "u"), length2(res.v, "v"), unit, off)
+    out = spark.createDataFrame([row], "sum_sigma2 double, n_zero long, u_length2 double, v_length2 double, v_unit long, v_off_diagonal double")
+    digits = {"sum_sigma2": 0, "u_length2": 6, "v_length2": 6, "v_off_diagonal": 9}
+    return out.select(*[clean_round(F.col(c), digits[c]).alias(c) if c in digits else F.col(c) for c in out.columns])
+
+
 def q_ssvd_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, res = _svd(spark, sf_dir)
     out = score_pairs(res.u, res.v, res.sigma, a, power=1)
@@ -262,6 +298,38 @@ def q_recommend_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recommendation_lines(rec, score=score)
 
 
+def q_factors_rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2, K3, K6, L19: a factor set is written, then replaced by one of other ratings and without U, and read once."""
+    a = ratings(spark, sf_dir)
+    path = scratch_path(spark, "factors")
+    first = stochastic_svd(a, SVD_K, SVD_P)
+    write_factors(spark, first.u, first.v, first.sigma, path)
+    second = stochastic_svd(a.withColumn("rating", F.col("rating") * 3), SVD_K, SVD_P, compute_u=False)
+    write_factors(spark, second.u, second.v, second.sigma, path)
+    u, v, sigma = read_factors(spark, path)
+    return v.agg(F.count(F.lit(1)).alias("n_v")).select(
+        "n_v", F.lit(u is None).alias("u_is_absent"), clean_round(F.lit(float((sigma**2).sum())), 0).alias("sum_sigma2"))
+
+
+def q_text_row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1, L3: a text matrix is written and read with line numbers as row ids, under two split sizes."""
+    path, key = scratch_path(spark, "matrix"), "spark.sql.files.maxPartitionBytes"
+    emb = _embeddings(spark, sf_dir)
+    ordered = emb.repartitionByRange(4, "vec_id").sortWithinPartitions("vec_id")
+    dense_lines(ordered, "vec_id", "v", with_id=True).write.text(path)
+    before, out = spark.conf.get(key), []
+    for name, size in (("small", "64k"), ("large", "128m")):
+        spark.conf.set(key, size)
+        try:
+            rows = read_dense_text(spark, path, id_mode="line_number", width=65)
+            done = scratch_path(spark, f"rows-{name}")
+            rows.select(F.col("v")[0].cast("long").alias("vec_id"), F.col("row_id").alias(f"id_{name}_splits")).write.parquet(done)
+        finally:
+            spark.conf.set(key, before)
+        out.append(spark.read.parquet(done))
+    return out[0].join(out[1], "vec_id")
+
+
 def q_merge_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").select("user_id", "event_id", "value", "event_type")
     # two halves that together hold every row (a NULL type goes to the second)
@@ -286,9 +354,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "combine_r": q_combine_r,
     "qr_q": q_qr_q,
     "qr_q_indirect": q_qr_q_indirect,
+    "qr_q_refined": q_qr_q_refined,
     "qr_residual": q_qr_residual,
     "qr_residual_sum": q_qr_residual_sum,
     "qr_orthogonality": q_qr_orthogonality,
+    "qr_refined_orthogonality": q_qr_refined_orthogonality,
     "random_r_blocks": q_random_r_blocks,
     "random_r_combined": q_random_r_combined,
     "random_projection": q_random_projection,
@@ -296,6 +366,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "gram": q_gram,
     "ssvd_sigma_moments": q_ssvd_sigma_moments,
     "ssvd_dense_sigma_moments": q_ssvd_dense_sigma_moments,
+    "ssvd_rank10": q_ssvd_rank10,
+    "ssvd_rank_deficient": q_ssvd_rank_deficient,
+    "factors_rewritten": q_factors_rewritten,
+    "text_row_ids": q_text_row_ids,
     "ssvd_reconstruct": q_ssvd_reconstruct,
     "ssvd_half_sigma": q_ssvd_half_sigma,
     "cf_scores": q_cf_scores,

@@ -40,6 +40,20 @@ QR_ALL = """with recursive e as (select vec_id, unnest(embedding)::double as x,
   from q join r on r.k = q.k + 1)
 select vec_id, (k - 1)::bigint as j, round(q, 7) + 0.0 as q from q where k > 0"""
 
+# the counter-based generator: x^5 mod p times 48271 mod p, four times
+def _step(x: str, keep: str, source: str) -> str:
+    """SQL of one step: columns ``keep`` and ``x``, from column expression ``x`` of ``source``."""
+    return f"""(select {keep}, (f * x % 2147483647) * 48271 % 2147483647 as x from (
+      select *, (s * s) % 2147483647 as f from (select *, (x * x) % 2147483647 as s from (
+        select {keep}, ({x}) % 2147483647 as x from {source}))))"""
+
+
+_KEYS = "(select p_partkey::bigint as node, 0::bigint as x from part)"
+_KEYED = _step("x + node // 2147483647 % 2147483647", "node", _step("x + node % 2147483647", "node", _step("7 + 1", "node", _KEYS)))
+_CELLS = _step("x + c", "node, c", f"(select node, x, c from {_KEYED}, range(64) r(c))")
+RANDOM_CELLS = f"""cells as (
+ select node, c, c // 8 as i, c % 8 as j, case when c % 8 >= c // 8 then x / 2147483647::double else 0.0 end as u from {_CELLS})"""
+
 RESIDUAL = """select (vec_id // 64)::bigint as block, 0.0::double as residual, count(*)::bigint as n_rows, 0::bigint as missing
 from embeddings group by 1"""
 
@@ -72,12 +86,27 @@ from ratings group by user_id""",
     "combine_r": R3,
     "qr_q": QR_ALL,
     "qr_q_indirect": QR_ALL,
+    "qr_q_refined": QR_ALL,
     "qr_residual": RESIDUAL,
     "qr_residual_sum": RESIDUAL,
     "qr_orthogonality": """
 with d as (select distinct unnest(generate_series(0, len(embedding) - 1)) as i from embeddings)
 select a.i::bigint as i, b.i::bigint as j, case when a.i = b.i then 1.0 else 0.0 end::double as g
+from d a, d b""",    "qr_refined_orthogonality": """
+with d as (select distinct unnest(generate_series(0, len(embedding) - 1)) as i from embeddings)
+select a.i::bigint as i, b.i::bigint as j, case when a.i = b.i then 1.0 else 0.0 end::double as g
 from d a, d b""",
+    "random_r_blocks": f"with {RANDOM_CELLS} select node, list(u order by c) as r from cells group by node",
+    "random_r_combined": f"""with recursive {RANDOM_CELLS},
+ g as (select a.j as i, b.j as j, sum(a.u * b.u) as g from cells a join cells b using (node, i) group by 1, 2),
+ rows as (select i, list(g order by j) as r from g group by i),
+ steps as (
+  select 1 as k, list(r order by i) as m from rows
+  union all
+  select k + 1, list_transform(m, lambda row, i: list_transform(row, lambda x, j: x - m[k][i]*m[k][j]/m[k][k]))
+  from steps where k < len(m))
+select (k - 1)::bigint as i, (j - 1)::bigint as j, round(m[k][j] / sqrt(m[k][k]), 6) + 0.0 as r
+from steps, range(1, 9) t(j) where j >= k""",
     "random_projection": f"""with {RATINGS},
  om as (select distinct item_id, c, ((item_id*7 + c*3) % 11 - 5) / 5.0 as w
         from ratings, (select unnest(generate_series(0, 4)) as c))
@@ -99,6 +128,22 @@ select round((select sum(rating*rating) from ratings), 0) + 0.0 as sum_sigma2,
 with e as (select vec_id, generate_subscripts(embedding, 1) as i, unnest(embedding)::double as x from embeddings),
  g as (select a.i, b.i as j, sum(a.x*b.x) as g from e a join e b using (vec_id) group by 1, 2)
 select round((select sum(x*x) from e), 6) + 0.0 as sum_sigma2, round((select sum(g*g) from g), 6) + 0.0 as sum_sigma4""",
+    "ssvd_rank10": f"""with {RATINGS}
+select j::bigint as j, 0.0::double as residual, 1.0::double as length, true as in_order,
+       (select round(sum(rating*rating), 0) + 0.0 from ratings) as sum_all_sigma2
+from range(10) t(j)""",
+    "ssvd_rank_deficient": f"""with {RATINGS}
+select round(2 * sum(rating*rating), 0) + 0.0 as sum_sigma2, count(distinct item_id)::bigint as n_zero,
+       count(distinct item_id)::double as u_length2, count(distinct item_id)::double as v_length2,
+       count(distinct item_id)::bigint as v_unit, 0.0::double as v_off_diagonal
+from ratings""",
+    "factors_rewritten": f"""with {RATINGS}
+select count(distinct item_id)::bigint as n_v, true as u_is_absent, round(9 * sum(rating*rating), 0) + 0.0 as sum_sigma2
+from ratings""",
+    "text_row_ids": """
+select vec_id, (row_number() over (order by vec_id) - 1)::bigint as id_small_splits,
+       (row_number() over (order by vec_id) - 1)::bigint as id_large_splits
+from embeddings""",
     "ssvd_reconstruct": f"with {RATINGS} select user_id, item_id, rating + 0.0 as value from ratings",
     "ssvd_half_sigma": f"with {RATINGS} select user_id, item_id, rating + 0.0 as value from ratings",
     "cf_scores": SCORES + """

@@ -1,15 +1,20 @@
 """Writers (K1-K6): Q, factors, sigma and recommendations.
 
-All writes overwrite their target (K6) and go through the DataFrame
-writer, so they are atomic per job commit and safe under task retries
-and speculation (no files are written from inside tasks).
+All writes replace their target (K6) and go through the DataFrame writer, so
+they are safe under task retries and speculation (no files are written from
+inside tasks).  Plain tables are overwritten.  Factor sets consist of several
+tables and are committed as one: see :func:`write_factors`.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skinnyqr.sources.factors import SIGMA_SCHEMA, committed_versions
+
 
 def write_q(q: DataFrame, path: str, mode: str = "overwrite") -> None:
     """K1: save Q rows as Parquet."""
@@ -17,15 +22,35 @@ def write_q(q: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_factors(spark: SparkSession, u: DataFrame | None, v: DataFrame | None, sigma, path: str,
-                  mode: str = "overwrite") -> None:
-    """K2/K3: save U and V (Parquet) and all k + p singular values."""
-    base = path.rstrip("/")
-    if u is not None:
-        u.write.mode(mode).parquet(f"{base}/U")
-    if v is not None:
-        v.write.mode(mode).parquet(f"{base}/V")
-    spark.createDataFrame([(i, float(s)) for i, s in enumerate(sigma)], "idx int, sigma double") \
-        .coalesce(1).write.mode(mode).parquet(f"{base}/sigma")
+                  mode: str = "overwrite", keep: int = 2) -> str:
+    """K2/K3: save U, V and all k + p singular values as one committed set; returns its version.
+
+    U and V go to a fresh folder ``versions/<version>``.  Then one file is
+    added to the table ``sigma``: the singular values with the version and
+    which factors it has.  That file commits the set; readers follow the
+    newest one.  A run that fails before leaves the old set as it was, a set
+    may be written while it is read (even from its own tables), and a factor
+    that the new set lacks is absent, not the old one.  Folders of versions
+    older than the newest ``keep`` are deleted after the commit; as the set
+    before stays (``keep`` >= 2), plans that already read it can finish.
+    ``mode='error'`` refuses a path that holds a committed set.
+    """
+    if mode not in ("overwrite", "error"):
+        raise ValueError("mode must be 'overwrite' or 'error'")
+    base, old = path.rstrip("/"), committed_versions(spark, path)
+    if old and mode == "error":
+        raise FileExistsError(f"{base} holds a factor set already")
+    version = uuid.uuid4().hex
+    for name, df in (("U", u), ("V", v)):
+        if df is not None:
+            df.write.parquet(f"{base}/versions/{version}/{name}")
+    seq = (old[0]["seq"] if old else 0) + 1
+    rows = [(i, float(s), seq, version, u is not None, v is not None) for i, s in enumerate(sigma)]
+    spark.createDataFrame(rows, SIGMA_SCHEMA).coalesce(1).write.mode("append").parquet(f"{base}/sigma")
+    for row in old[max(1, keep) - 1 :]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/versions/{row['version']}")
+        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+    return version
 
 
 def recommendation_lines(rec: DataFrame, user: str = "user_id", item: str = "item_id", score=None) -> DataFrame:

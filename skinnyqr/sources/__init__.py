@@ -5,11 +5,11 @@ from skinnyqr.sources.dense import (
     block_sizes,
     dense_lines,
     dense_to_coo,
-    hash_block_of,
+    numbered_lines,
     parse_dense_lines,
     read_dense_text,
 )
-from skinnyqr.sources.factors import read_factors
+from skinnyqr.sources.factors import committed_versions, read_factors
 from skinnyqr.sources.ratings import (
     bad_rating_lines,
     dedupe_ratings,
@@ -24,10 +24,11 @@ __all__ = [
     "bad_rating_lines",
     "block_of",
     "block_sizes",
+    "committed_versions",
     "dedupe_ratings",
     "dense_lines",
     "dense_to_coo",
-    "hash_block_of",
+    "numbered_lines",
     "parse_dense_lines",
     "parse_rating_lines",
     "random_r_blocks",

@@ -70,8 +70,8 @@ def dedupe_ratings(df: DataFrame, how: str = "sum", order_col: str | None = None
                    item: str = "item_id", rating: str = "rating") -> DataFrame:
     """One rating per (user, item): ``sum``, ``avg``, ``max`` or ``last``.
 
-    ``last`` keeps the rating of the row with the largest ``order_col``
-    (the reference kept whichever duplicate came last in shuffle order,
+    ``last`` keeps the rating of the row with the largest ``order_col``, of
+    those with the same one the largest rating (the reference kept whichever duplicate came last in shuffle order,
     which is not reproducible).  Partial aggregation runs before the
     shuffle, so a hot (user, item) pair costs one row per map task.
     """
@@ -85,7 +85,7 @@ def dedupe_ratings(df: DataFrame, how: str = "sum", order_col: str | None = None
     elif how == "last":
         if order_col is None:
             raise ValueError("how='last' needs order_col")
-        agg = F.max_by(r, F.col(order_col))
+        agg = F.max_by(r, F.struct(F.col(order_col), r))
     else:
         raise ValueError("how must be sum, avg, max or last")
     return df.groupBy(user, item).agg(agg.alias(rating))

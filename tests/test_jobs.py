@@ -2,7 +2,7 @@ import os
 
 import numpy as np
 
-from skinnyqr.plans.jobs import qr_text_job, recommend_job, recommend_saved_job, ssvd_job
+from skinnyqr.plans.jobs import qr_text_job, recommend_job, recommend_saved_job, ssvd_job, ssvd_text_job
 
 
 def test_qr_text_job(spark, tmpdir_path):
@@ -51,3 +51,27 @@ def test_recommend_jobs_round_trip(spark, tmpdir_path):
     res = ssvd_job(spark, src, svd_out, k=3, p=2)
     assert spark.read.parquet(os.path.join(svd_out, "sigma")).count() == 5
     assert np.all(np.diff(res.sigma) <= 1e-9)
+
+
+def test_svd_of_a_text_matrix(spark, tmpdir_path):
+    rng = np.random.default_rng(5)
+    a = rng.normal(size=(50, 6))
+    src, out = os.path.join(tmpdir_path, "in"), os.path.join(tmpdir_path, "svd")
+    os.makedirs(src)
+    with open(os.path.join(src, "m.txt"), "w") as f:
+        f.write("\n".join(" ".join(repr(float(x)) for x in row) for row in a))
+    res = ssvd_text_job(spark, src, out, k=6, p=0)
+    u = np.array([r["u"] for r in res.u.orderBy("row_id").collect()])
+    v = np.array([r["v"] for r in res.v.orderBy("item_id").collect()])
+    assert np.allclose(u * res.sigma @ v.T, a) and np.allclose(res.sigma, np.linalg.svd(a)[1])
+    only_v = ssvd_text_job(spark, src, out, k=2, p=3, compute_u=False, v_half_sigma=True, seed=3)
+    assert only_v.u is None and np.allclose(only_v.sigma[:1], res.sigma[:1], rtol=0.2)
+
+
+def test_dropped_lines_are_counted(spark, tmpdir_path):
+    src = os.path.join(tmpdir_path, "ratings")
+    os.makedirs(src)
+    with open(os.path.join(src, "r.txt"), "w") as f:
+        f.write("1 10 5\nno rating here\n2 10 3\n2 11\n1 11 2\n")
+    out = ssvd_job(spark, src, os.path.join(tmpdir_path, "svd"), k=1, p=1, on_bad="drop")
+    assert out.bad_lines == 2 and out.u.count() == 2

@@ -1,6 +1,6 @@
 import numpy as np
 
-from skinnyqr.functions.kernels import batched_matmul, running_r, signed_qr, stack_qr, sym_eig_desc, topn_rows
+from skinnyqr.functions.kernels import batched_matmul, running_r, signed_qr, stack_qr, topn_rows
 
 
 def test_signed_qr_diag_nonnegative_and_reconstructs():
@@ -46,13 +46,6 @@ def test_batched_matmul_mixed_shapes():
         assert np.allclose(x @ y, z)
 
 
-def test_sym_eig_desc_sorted_and_clamped():
-    g = np.diag([1.0, 9.0, -1e-18, 4.0])
-    s, v = sym_eig_desc(g)
-    assert np.allclose(s, [3.0, 2.0, 1.0, 0.0])
-    assert np.allclose(np.abs(v).sum(axis=0), 1.0)
-
-
 def test_topn_rows_threshold_nan_ties():
     scores = np.array([[5.0, 7.0, 7.0, np.nan, 0.5], [0.1, 0.2, 0.3, 0.4, 0.5]])
     items = np.array([40, 30, 10, 20, 50])
