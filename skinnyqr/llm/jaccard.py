@@ -5,11 +5,13 @@ order is cut into fragments; a text's sorted n-gram set is cut at the same
 places into segments.
 
 * Candidates.  Linked sets of sizes up to M differ in at most
-  D = (1-t)/(1+t) * 2M n-grams.  With more than D fragments, some segment
-  is therefore equal in both, so a hash of (length band, fragment, segment)
-  brings the pair together; long segments of text make that selective even
-  where passages are shared by many documents, which single n-grams are not.
-  Sets with so many empty segments that the equal one could be an empty one
+  D = (1-t)/(1+t) * 2M n-grams, so with 5/4 D + 3 fragments at least a fifth
+  of the segments is equal in both.  A hash of (length band, fragment, segment)
+  is a key; a set shares with every partner at least as many keys as it has
+  segments beyond D.  Sets that share fewer keys with anyone are left out, and
+  so are keys that then stand alone, round after round: documents that only
+  hold a common passage drop out here, before any pairs are made.
+  Sets with so few segments that all equal ones could be empty
   also emit their prefix n-grams (prefix filter), so no link is lost.
 * Verification.  Each candidate pair's overlap is counted per fragment of
   the order and the partial counts are summed per pair.
@@ -17,8 +19,9 @@ places into segments.
   members are checked against the member with most shared segments only
   (linear), and components merge.  After that, only
   members of different components in a bucket are compared, behind an exact
-  lower bound of the difference (sizes and 256-bit parity sketches), so a
+  lower bound of the difference (sizes and 1024-bit parity sketches), so a
   group of copies never becomes all its pairs.
+Sets are named by 128-bit digests, never by ids, which may repeat.
 """
 
 from __future__ import annotations
@@ -28,17 +31,21 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship_package
-from .common import broadcast_if_small, free_name, save
+from .common import Scratch, broadcast_if_small, free_name, save
 from .components import connected_components
 from .shingles import bounded, mix64, shingle_hashes, text_bytes, word_hashes
 
 VERIFY_FRAGMENTS = 8
-SKETCH = 4  # longs
+SKETCH = 16  # longs
+#: Rounds of leaving out sets with too few shared keys (any number is exact).
+PEELS = 3
+#: Digests a task remembers, so that copies of a text emit their keys once.
+SEEN = 1_000_000
 #: Rounds in which a bucket's members are checked against one of them only.
 STAR_ROUNDS = 3
 #: Rows of doc ids that may be broadcast (8 bytes each).
@@ -63,32 +70,43 @@ class Signer:
         """Largest symmetric difference of linked sets whose sizes sum to ``total``."""
         return (self.den - self.num) * total // (self.den + self.num)
 
-    def keys(self, h: np.ndarray) -> np.ndarray:
-        n = len(h)
+    def schemes(self, n: int):
+        """(scheme, largest set, D, fragments, largest difference to any partner) of the band pairs of a set of n."""
         if self.ends[-3] <= n:
             self.ends = length_bands(2 * n, self.num, self.den)
         band = int(np.searchsorted(self.ends, n, side="right")) - 1
-        out = []
-        mixed = np.concatenate([[np.uint64(0)], np.cumsum(mix64(h ^ np.uint64(0x5851F42D4C957F2D)))])
         for scheme in (band - 1, band):  # pairs of bands (scheme, scheme + 1)
             if scheme < 0:
                 continue
             largest = self.ends[scheme + 2] - 1
             d = self.max_difference(2 * largest)
-            if d == 0:
-                continue  # only equal sets link
-            m = d + 3 + largest // 100
+            if d:  # else only equal sets link
+                yield scheme, largest, d + 3 + d // 4, self.max_difference(n + min(largest, n * self.den // self.num))
+
+    def needs(self, h: np.ndarray) -> tuple[int, int]:
+        """By parity of the scheme: how many segment keys a set shares at least with each partner."""
+        out = [0, 0]
+        for scheme, _, m, mine in self.schemes(len(h)):
+            frag = ((h >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
+            out[scheme & 1] = max(0, 1 + int((frag[1:] != frag[:-1]).sum()) - mine)
+        return out[0], out[1]
+
+    def keys(self, h: np.ndarray) -> np.ndarray:
+        """Segment keys; the lowest bit is the parity of the scheme, the next one marks n-grams of the prefix."""
+        out = []
+        n = len(h)
+        mixed = np.concatenate([[np.uint64(0)], np.cumsum(mix64(h ^ np.uint64(0x5851F42D4C957F2D)))])
+        for scheme, _, m, mine in self.schemes(n):
             frag = ((h >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
             cut = np.flatnonzero(np.diff(frag)) + 1
             at = np.concatenate([[0], cut, [n]])
             sums = mixed[at[1:]] - mixed[at[:-1]]
             salt = mix64(np.array([scheme], np.uint64) + np.uint64(77))
-            out.append(mix64(sums + mix64(frag[at[:-1]] + salt)))
-            empty = m - len(at) + 1
-            mine = self.max_difference(n + min(largest, n * self.den // self.num))
-            if empty >= m - mine:
+            tag = lambda x, b, p=scheme & 1: (x & ~np.uint64(3)) | np.uint64(p + 2 * b)
+            out.append(tag(mix64(sums + mix64(frag[at[:-1]] + salt)), 0))
+            if len(at) - 1 <= mine:
                 prefix = n - -(-n * self.num // self.den) + 1
-                out.append(mix64(h[:prefix] ^ mix64(salt + np.uint64(1))))
+                out.append(tag(mix64(h[:prefix] ^ mix64(salt + np.uint64(1))), 1))
         return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
@@ -112,37 +130,42 @@ def _sketch(h: np.ndarray) -> list[int]:
     return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
 
 
-def shingle_sets(docs: DataFrame, k: int, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, s0..s3): size, 128-bit digest and sketch of each set."""
+def shingle_sets(docs: DataFrame, k: int, num: int, den: int, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, h, n_shingles, d1, d2, need0, need1, s0..): hash of the text; size, 128-bit digest, needs and sketch of its set."""
     ship_package(docs.sparkSession)
 
     def run(it):
+        signer = Signer(num, den)
         for b in it:
             rows = []
-            for h in _sets(b, 1, k):
-                rows.append((len(h), *_digests(h, seed), *_sketch(h)))
-            cols = list(zip(*rows)) if rows else [[]] * (3 + SKETCH)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols)], names=names)
+            for h in _sets(b, 2, k):
+                rows.append((len(h), *_digests(h, seed), *signer.needs(h), *_sketch(h)))
+            cols = list(zip(*rows)) if rows else [[]] * (5 + SKETCH)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in cols)], names=names)
 
-    names = ["doc_id", "n_shingles", "d1", "d2", *(f"s{i}" for i in range(SKETCH))]
-    src = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return src.mapInArrow(run, ", ".join(f"{x} long" for x in names))
+    names = ["doc_id", "h", "n_shingles", "d1", "d2", "need0", "need1", *(f"s{i}" for i in range(SKETCH))]
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long"), F.xxhash64(text), text).mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
 def segment_keys(docs: DataFrame, k: int, num: int, den: int, seed: int = 0, text_col: str = "text") -> DataFrame:
-    """(key, node): the segment keys of each text; node is the set's 64-bit digest."""
+    """(key, node): the segment keys of the texts' sets, named by digest; a task emits those of copies once."""
     ship_package(docs.sparkSession)
 
     def run(it):
-        signer = Signer(num, den)
+        signer, seen = Signer(num, den), set()
         for b in it:
             keys, nodes, n = [], [], 0
             for h in _sets(b, 0, k):
-                if not len(h):
+                node = _digests(h, seed)[0]
+                if not len(h) or node in seen:
                     continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(node)
                 s = signer.keys(h)
                 keys.append(s)
-                nodes.append(np.full(len(s), _digests(h, seed)[0], np.int64))
+                nodes.append(np.full(len(s), node, np.int64))
                 n += len(s)
                 if n > 500_000:
                     yield _pairs(keys, nodes)
@@ -156,23 +179,29 @@ def segment_keys(docs: DataFrame, k: int, num: int, den: int, seed: int = 0, tex
     return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "key long, node long")
 
 
-def _segments(docs: DataFrame, k: int) -> DataFrame:
-    """(rep, frag, seg): each set cut into VERIFY_FRAGMENTS segments of the global order."""
+def _segments(docs: DataFrame, k: int, seed: int) -> DataFrame:
+    """(node, frag, seg): each text's set, named by digest, cut into VERIFY_FRAGMENTS segments of the global order."""
 
     def run(it):
+        seen = set()
         for b in it:
-            for part in bounded(b, 1):
-                rep, frag, seg = [], [], []
-                ids = part.column(0).to_pylist()
-                for i, h in zip(ids, _sets(part, 1, k)):
+            for part in bounded(b, 0):
+                node, frag, seg = [], [], []
+                for h in _sets(part, 0, k):
+                    name = _digests(h, seed)[0]
+                    if name in seen:
+                        continue
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(name)
                     cut = np.searchsorted(h, (np.arange(1, VERIFY_FRAGMENTS, dtype=np.uint64) << np.uint64(61)))
                     for f, s in enumerate(np.split(h, cut)):
-                        rep.append(i)
+                        node.append(name)
                         frag.append(f)
                         seg.append(s.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(frag, pa.int32()), pa.array(seg, pa.binary())], names=["rep", "frag", "seg"])
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(frag, pa.int32()), pa.array(seg, pa.binary())], names=["node", "frag", "seg"])
 
-    return docs.mapInArrow(run, "rep long, frag int, seg binary")
+    return docs.mapInArrow(run, "node long, frag int, seg binary")
 
 
 @F.pandas_udf(T.LongType())
@@ -194,16 +223,22 @@ def _overlap(a, b):
     return pd.Series(out)
 
 
-def verify_pairs(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Linked pairs (a, b) of candidate pairs (a, b, na, nb): partial overlaps per fragment, summed per pair."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+def verify_pairs(pairs: DataFrame, reps: DataFrame, docs: DataFrame, keep: Scratch, k: int, num: int, den: int, seed: int, id_col: str, text_col: str) -> DataFrame:
+    """Linked pairs (a, b) of candidate pairs (a, b, na, nb) of digests: partial overlaps per fragment, summed per pair.
+
+    ``reps`` (node, rep) names an id whose row has the set; another text under
+    that id is left out by its digest.
+    """
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ids = nodes.join(reps, "node").select("rep").distinct()
     src = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
-    segs = save(_segments(src.join(broadcast_if_small(ids, MAX_BROADCAST_IDS), "rep", "left_semi"), k), "segments").dropDuplicates(["rep", "frag"])
+    rows = src.join(broadcast_if_small(keep.save(ids, "ids"), MAX_BROADCAST_IDS), "rep", "left_semi").select("text")
+    segs = keep.save(_segments(rows, k, seed), "segments").dropDuplicates(["node", "frag"])
     frags = F.explode(F.array(*(F.lit(i) for i in range(VERIFY_FRAGMENTS)))).alias("frag")
     both = (
         pairs.select("a", "b", "na", "nb", frags)
-        .join(segs.select(F.col("rep").alias("a"), "frag", F.col("seg").alias("sa")), ["a", "frag"])
-        .join(segs.select(F.col("rep").alias("b"), "frag", F.col("seg").alias("sb")), ["b", "frag"])
+        .join(segs.select(F.col("node").alias("a"), "frag", F.col("seg").alias("sa")), ["a", "frag"])
+        .join(segs.select(F.col("node").alias("b"), "frag", F.col("seg").alias("sb")), ["b", "frag"])
         .select("a", "b", "na", "nb", _overlap("sa", "sb").alias("part"))
     )
     inter = both.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("i"))
@@ -218,70 +253,81 @@ def _may_link(x: str, y: str, num: int, den: int):
     return low * (den + num) <= (den - num) * (col(x, "n") + col(y, "n"))
 
 
-def similar_components(
-    docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row.
+def _peeled(rows: DataFrame, needs: DataFrame, other: Column, keep: Scratch) -> DataFrame:
+    """Rows of buckets (key, node, ...) that hold more than one ``other``, of nodes with as many of them as they need.
 
-    Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a text's set
-    holds its distinct k-word shingles (fewer words: the sequence as one).
-    Two texts link when den * intersection >= num * union; component_id is
-    the smallest doc_id reachable by links.  Null and empty texts have
-    size 0 and link with nothing; repeated rows and equal ids share the
-    component of their text; a null id gets the component of its text too,
-    but never names one.  Other columns are ignored.
+    A set shares at least need segment keys with each partner (need0 or need1
+    by the key's scheme), so one with fewer open buckets has none; keys of
+    prefix n-grams need one.  Linear in the rows, round after round.
+    """
+    by_key, parity = Window.partitionBy("key"), F.col("key").bitwiseAND(3)
+    for _ in range(PEELS):
+        rows = rows.withColumn("lo", F.min(other).over(by_key)).withColumn("hi", F.max(other).over(by_key)).filter("lo <> hi").drop("lo", "hi")
+        enough = rows.groupBy("node", parity.alias("p")).agg(F.count("*").alias("c")).join(needs, "node")
+        enough = enough.filter((F.col("p") > 1) | (F.col("c") >= F.when(F.col("p") == 0, F.col("need0")).otherwise(F.col("need1"))))
+        rows = keep.save(rows.withColumn("p", parity).join(enough.select("node", "p"), ["node", "p"], "left_semi").drop("p"), "open")
+    return rows
+
+
+def set_components(docs: DataFrame, k: int, num: int, den: int, keep: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, h, n_shingles, node, component, component_id) of every row.
+
+    h is the hash of the text, node the digest of its set, component the
+    smallest digest that links reach, component_id the smallest id of its rows.
     """
     for seed in range(8):
-        sets = save(shingle_sets(docs, k, seed, id_col, text_col), "sets")
+        sets = keep.save(shingle_sets(docs, k, num, den, seed, id_col, text_col), "sets")
         full = sets.filter("n_shingles > 0")
+        same = ["need0", "need1", *(f"s{i}" for i in range(SKETCH))]
         classes = full.groupBy("d1").agg(
-            F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), *(F.min(f"s{i}").alias(f"s{i}") for i in range(SKETCH)),
+            F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), *(F.min(c).alias(c) for c in same),
             F.min("d2").alias("lo"), F.max("d2").alias("hi"),
         )
-        classes = save(classes, "classes")
+        classes = keep.save(classes.withColumnRenamed("d1", "node"), "classes")
         if classes.filter("lo <> hi").isEmpty():  # else two different sets share a digest: take other digests
             break
-    classes = classes.filter("rep IS NOT NULL").drop("lo", "hi")
+    named = classes.filter("rep IS NOT NULL")
+    needs, reps = named.select("node", "need0", "need1"), named.select("node", "rep")
     keys = segment_keys(docs, k, num, den, seed, text_col)
-    by_key = "OVER (PARTITION BY key)"
-    shared = keys.selectExpr("key", "node", f"min(node) {by_key} AS c0", f"max(node) {by_key} AS c1").filter("c0 <> c1")
-    shared = save(shared.drop("c0", "c1"), "buckets")
+    by_key = Window.partitionBy("key")
+    shared = keys.withColumn("c0", F.min("node").over(by_key)).withColumn("c1", F.max("node").over(by_key)).filter("c0 <> c1")
+    shared = keep.save(shared.select("key", "node").distinct(), "buckets")
+    buckets = _peeled(shared, needs, F.col("node"), keep)
     # the member of a bucket that shares most segments is the likeliest to be near the others
-    degree = shared.groupBy("node").agg(F.count("*").alias("degree"))
-    buckets = shared.distinct().join(degree, "node")
+    degree = buckets.groupBy("node").agg(F.count("*").alias("degree"))
+    buckets = buckets.join(degree, "node")
 
-    own = classes.select(F.col("d1").alias("node"), "rep", "n", *(f"s{i}" for i in range(SKETCH)))
+    own = named.select("node", "n", *(f"s{i}" for i in range(SKETCH)))
     labels = tested = None
-    side = lambda p: own.toDF(*(f"{p}{c}" for c in ("node", "rep", "n", *(f"s{i}" for i in range(SKETCH)))))
-    swap = lambda c: F.when(F.col("xrep") < F.col("yrep"), F.col(f"x{c}")).otherwise(F.col(f"y{c}"))
-    other = lambda c: F.when(F.col("xrep") < F.col("yrep"), F.col(f"y{c}")).otherwise(F.col(f"x{c}"))
+    side = lambda p: own.toDF(*(f"{p}{c}" for c in own.columns))
+    swap = lambda c: F.when(F.col("xnode") < F.col("ynode"), F.col(f"x{c}")).otherwise(F.col(f"y{c}"))
+    other = lambda c: F.when(F.col("xnode") < F.col("ynode"), F.col(f"y{c}")).otherwise(F.col(f"x{c}"))
 
     def checked(df: DataFrame) -> None:
         """Merge the components of links among the candidate pairs (columns x*, y*) not checked before."""
         nonlocal tested, labels
-        new = df.select(swap("rep").alias("a"), other("rep").alias("b"), swap("n").alias("na"), other("n").alias("nb")).filter("a <> b").distinct()
+        new = df.select(swap("node").alias("a"), other("node").alias("b"), swap("n").alias("na"), other("n").alias("nb")).filter("a <> b").distinct()
         if tested is not None:
             new = new.join(tested, ["a", "b"], "left_anti")
-        new = save(new, "candidates")
+        new = keep.save(new, "candidates")
         if new.isEmpty():
             return
-        more = save(verify_pairs(new, docs, k, num, den, id_col, text_col), "links")
+        more = keep.save(verify_pairs(new, reps, docs, keep, k, num, den, seed, id_col, text_col), "links")
         tested = new.select("a", "b") if tested is None else tested.unionByName(new.select("a", "b"))
         tree = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b") if labels is not None else None
-        labels = connected_components(more if tree is None else tree.unionByName(more))
+        labels = connected_components(more if tree is None else tree.unionByName(more), keep=keep)
 
     def still_open(rows: DataFrame) -> DataFrame:
-        """Rows of buckets that hold members of different components."""
-        rows = rows.join(own.select("node", "rep"), "node")
+        """Rows (key, node, degree, comp) of buckets that hold members of different components."""
         if labels is not None:
-            rows = rows.join(labels.toDF("rep", "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+            rows = rows.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
         else:
-            rows = rows.withColumn("comp", F.col("rep"))
-        rows = rows.selectExpr("key", "node", "degree", "comp", f"min(comp) {by_key} AS c0", f"max(comp) {by_key} AS c1", f"max(struct(degree, node, comp)) {by_key} AS top")
-        return save(rows.filter("c0 <> c1").drop("c0", "c1"), "open")
+            rows = rows.withColumn("comp", F.col("node"))
+        return _peeled(rows, needs, F.col("comp"), keep)
 
     for _ in range(STAR_ROUNDS):
-        rows = still_open(buckets)
+        rows = still_open(buckets).withColumn("top", F.max(F.struct("degree", "node", "comp")).over(by_key))
+        rows = keep.save(rows, "stars")
         star = rows.filter("comp <> top.comp").select(F.col("node").alias("xnode"), F.col("top.node").alias("ynode")).distinct()
         checked(star.join(side("x"), "xnode").join(side("y"), "ynode").filter(_may_link("x", "y", num, den)))
         buckets = rows.filter("node <> top.node").select("key", "node", "degree")  # the top's pairs are all done
@@ -292,23 +338,57 @@ def similar_components(
     if labels is None:
         labels = docs.sparkSession.createDataFrame([], "node long, component long")
 
-    where = classes.join(labels, classes["rep"] == labels["node"], "left").select("d1", F.coalesce("component", "rep").alias("component"))
-    return sets.join(where, "d1", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id")
-    )
+    where = classes.join(labels, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
+    least = where.groupBy("component").agg(F.min("rep").alias("component_id"))
+    where = where.drop("rep").join(least, "component")
+    rows = sets.select("doc_id", "h", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("d1")).alias("node"))
+    return rows.join(where, "node", "left").withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
+
+
+def similar_components(
+    docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row, as a written table.
+
+    Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a text's set
+    holds its distinct k-word shingles (fewer words: the sequence as one).
+    Two texts link when den * intersection >= num * union; component_id is
+    the smallest doc_id reachable by links.  Null and empty texts have
+    size 0 and link with nothing; repeated rows and equal ids share the
+    component of their text (different texts under one id are apart); a null
+    id gets the component of its text too, but never names one.  An empty
+    table gives no rows; long texts are hashed in bounded slices; other
+    columns are ignored.
+    """
+    with Scratch(docs.sparkSession) as keep:
+        rows = set_components(docs, k, num, den, keep, id_col, text_col)
+        return save(rows.select("doc_id", "n_shingles", "component_id"), "components")
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names their component: one document of each group of near copies.
+    """One row of each group of near copies, with all its columns; nothing goes but for a link or an equal text.
 
-    Of rows with the same id one stays (the one with the smallest text).
-    Rows without an id cannot be named and stay.  All columns are kept.
+    Of a group the rows with the smallest id stay, of those the ones whose
+    text has the smallest hash, and of equal rows of one id and text the first
+    one.  Rows without an id cannot be named and stay; so do null, empty and
+    blank texts, which are copies of nothing.
     """
-    groups = save(similar_components(docs, k, num, den, id_col, text_col), "groups")
-    ident = F.col(id_col).cast("long")
-    if not groups.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        nth = free_name(docs, "nth")
-        docs = docs.withColumn(nth, F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))).filter(F.col(nth).eqNullSafe(1) | F.col(id_col).isNull()).drop(nth)
-    gone = free_name(docs, "gone_id")
-    copies = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(broadcast_if_small(copies, MAX_BROADCAST_IDS), ident == F.col(gone), "left_anti")
+    gone, which, nth = (free_name(docs, x) for x in ("gone_id", "gone_text", "nth"))
+    ident, text = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))
+    with Scratch(docs.sparkSession) as keep:
+        groups = keep.save(set_components(docs, k, num, den, keep, id_col, text_col).filter("doc_id IS NOT NULL AND n_shingles > 0"), "groups")
+        copies = groups.filter("doc_id <> component_id").select("doc_id", "h")
+        repeated = keep.save(groups.filter("doc_id = component_id").groupBy("component", "doc_id").agg(F.count("*").alias("c"), F.min("h").alias("first")).filter("c > 1"), "repeated")
+        again = not repeated.isEmpty()
+        if again:
+            more = groups.join(repeated, ["component", "doc_id"]).filter("h <> first").select("doc_id", "h")
+            copies = copies.unionByName(more)
+        copies = save(copies.distinct().toDF(gone, which), "copies")
+        firsts = save(repeated.select(F.col("doc_id").alias(gone), F.col("first").alias(which)), "firsts") if again else None
+    out = docs.join(broadcast_if_small(copies, MAX_BROADCAST_IDS), (ident == F.col(gone)) & (text == F.col(which)), "left_anti")
+    if firsts is not None:  # rows of one id and text: number those only
+        out = out.join(broadcast_if_small(firsts.withColumn(nth, F.lit(True)), MAX_BROADCAST_IDS), (ident == F.col(gone)) & (text == F.col(which)), "left").drop(gone, which)
+        alone = out.filter(F.col(nth).isNull()).drop(nth)
+        rest = out.filter(F.col(nth)).withColumn(nth, F.row_number().over(Window.partitionBy(id_col, text_col).orderBy(id_col)))
+        out = alone.unionByName(rest.filter(F.col(nth) == 1).drop(nth))
+    return out
