@@ -43,14 +43,13 @@ _WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 _PLAIN = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 
 
-@lru_cache(maxsize=2)
-def byte_level(path: str):
-    """(encode, bytes of each id) of a byte-level vocabulary; special strings are ordinary text.
+def rank_encoding(path: str, marks: tuple[str, ...] = ()):
+    """(tiktoken encoding or None, bytes of each id) of a byte-level vocabulary; ``marks`` get the next free ids.
 
     Where ids follow the order of the merges, as they do in the usual files,
     merging the pair with the smallest id is the same as merging by the list;
     tiktoken then encodes, on the ranks of this file, several times as fast as
-    the library that reads the file itself, which does it otherwise.
+    the library that reads the file itself.  Else None.
     """
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
@@ -64,10 +63,19 @@ def byte_level(path: str):
     special = {t["content"] for t in spec.get("added_tokens", [])}
     ranks = {texts[i]: i for t, i in vocab.items() if t not in special}
     plain = not spec["normalizer"] and {k: (spec["pre_tokenizer"] or {}).get(k) for k in _PLAIN} == _PLAIN and not spec["model"].get("ignore_merges")
-    if plain and made == sorted(set(made)) and len(ranks) == len(made) + 256 and max(ranks[bytes([x])] for x in range(256)) < made[0]:
-        import tiktoken
+    if not plain or made != sorted(set(made)) or len(ranks) != len(made) + 256 or max(ranks[bytes([x])] for x in range(256)) > made[0]:
+        return None, texts
+    import tiktoken
+
+    own = {m: len(texts) + i for i, m in enumerate(marks)}
+    return tiktoken.Encoding("byte-level", pat_str=_WORDS, mergeable_ranks=ranks, special_tokens=own), texts + [m.encode() for m in marks]
 
-        encoding = tiktoken.Encoding("byte-level", pat_str=_WORDS, mergeable_ranks=ranks, special_tokens={})
+
+@lru_cache(maxsize=2)
+def byte_level(path: str):
+    """(encode, bytes of each id) of a byte-level vocabulary; special strings are ordinary text."""
+    encoding, texts = rank_encoding(path)
+    if encoding is not None:
         return lambda batch: list(map(encoding.encode_ordinary, batch)), texts
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from tokenizers import AddedToken, Tokenizer
 
 from ..session import ship_package
+from .alignment import rank_encoding
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Control strings of this and other templates; each is escaped where a text holds it.
@@ -29,10 +30,14 @@ _HELD = re.compile("|".join(rf"{re.escape(c[0])}(?P<e{i}>\\*){re.escape(c[1:])}"
 
 def escape(text: str) -> str:
     """One more backslash after the first character of each control string (with or without backslashes there)."""
+    if "<" not in text and "[" not in text:  # every control string starts with one of them
+        return text
     return _HELD.sub(lambda m: m[0][0] + "\\" + m[0][1:], text)
 
 
 def unescape(text: str) -> str:
+    if "\\" not in text:
+        return text
     return _HELD.sub(lambda m: m[0][0] + (m[0][2:] if m[0][1] == "\\" else m[0][1:]), text)
 
 
@@ -69,19 +74,46 @@ def loss_mask(spans: list[tuple[int, int]], starts: np.ndarray, ends: np.ndarray
     return np.cumsum(mask[:-1]) > 0
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str) -> Tokenizer:
-    t = Tokenizer.from_file(path)
-    t.add_special_tokens([AddedToken(c, special=True, normalized=False) for c in (TURN, TEXT, END)])
-    t.no_truncation()
-    t.no_padding()
-    return t
+def byte_offsets(text: str) -> np.ndarray | None:
+    """The byte of UTF-8 where each character starts, and the length; None for ASCII, where it is the same number."""
+    if text.isascii():
+        return None
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.concatenate([[0], np.cumsum(1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000))])
 
 
-def masked_text(formatted: str, mask: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:
+@lru_cache(maxsize=2)
+def _encoder(path: str):
+    """Text -> (ids, first byte, byte behind) of its tokens; the template's marks are tokens of their own."""
+    marks = (TURN, TEXT, END)
+    encoding, texts = rank_encoding(path, marks)
+    if encoding is not None:
+        size = np.array([len(t) for t in texts], np.int64)
+
+        def encode(text: str):
+            ids = encoding.encode(text, allowed_special="all", disallowed_special=())
+            ends = np.cumsum(size[ids]) if ids else np.zeros(0, np.int64)
+            return ids, np.append(0, ends[:-1]) if ids else ends, ends
+
+        return encode
+    tok = Tokenizer.from_file(path)
+    tok.add_special_tokens([AddedToken(c, special=True, normalized=False) for c in marks])
+    tok.no_truncation()
+    tok.no_padding()
+
+    def by_library(text: str):
+        enc = tok.encode(text, add_special_tokens=False)
+        off, at = np.asarray(enc.offsets, np.int64).reshape(-1, 2), byte_offsets(text)
+        off = off if at is None else at[off]
+        return enc.ids, off[:, 0], off[:, 1]
+
+    return by_library
+
+
+def masked_text(formatted: bytes, mask: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:
     """The stretches of text under the mask, one per run of masked tokens."""
     edge = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8)))
-    return [formatted[starts[a] : ends[b - 1]] for a, b in zip(edge[::2], edge[1::2])]
+    return [formatted[starts[a] : ends[b - 1]].decode() for a, b in zip(edge[::2], edge[1::2])]
 
 
 def format_conversations(
@@ -106,22 +138,22 @@ def format_conversations(
     if with_output:
         schema += ", formatted string, ids array<int>, loss_mask array<boolean>"
 
-    def finish(conv, rows, tok):
+    def finish(conv, rows, encode):
         formatted, spans = render(rows)
-        enc = tok.encode(formatted, add_special_tokens=False)
-        off = np.asarray(enc.offsets, np.int64).reshape(-1, 2)
-        mask = loss_mask(spans, off[:, 0], off[:, 1])
+        ids, first, behind = encode(formatted)
+        at = byte_offsets(formatted)
+        mask = loss_mask(spans if at is None else [(int(at[a]), int(at[b])) for a, b in spans], first, behind)
         turns_hash, n = hashlib.sha256(), 0
         for role, text in parse(formatted):
             n += 1
             turns_hash.update(f"{role}\n{text}\n".encode())
-        loss = [unescape(x) for x in masked_text(formatted, mask, off[:, 0], off[:, 1])]
+        loss = [unescape(x) for x in masked_text(formatted.encode(), mask, first, behind)]
         loss_hash = hashlib.sha256("".join(loss).encode())
-        out = (conv, n, turns_hash.hexdigest(), sum(map(len, loss)), loss_hash.hexdigest(), len(formatted), len(enc.ids), int(mask.sum()))
-        return (*out, formatted, enc.ids, mask.tolist()) if with_output else out
+        out = (conv, n, turns_hash.hexdigest(), sum(map(len, loss)), loss_hash.hexdigest(), len(formatted), len(ids), int(mask.sum()))
+        return (*out, formatted, ids, mask.tolist()) if with_output else out
 
     def run(it):
-        tok = _tokenizer(vocabulary)
+        encode = _encoder(vocabulary)
         conv, rows, out, names = None, [], [], [c.split(" ")[0] for c in schema.split(", ")]
 
         def batch(done):
@@ -131,7 +163,7 @@ def format_conversations(
         for b in it:
             for c, role, text in zip(*(b.column(i).to_pylist() for i in range(3))):
                 if rows and c != conv:
-                    out.append(finish(conv, rows, tok))
+                    out.append(finish(conv, rows, encode))
                     rows = []
                     if len(out) >= 256:
                         yield batch(out)
@@ -139,7 +171,7 @@ def format_conversations(
                 conv = c
                 rows.append((role, text))
         if rows:
-            out.append(finish(conv, rows, tok))
+            out.append(finish(conv, rows, encode))
         if out:
             yield batch(out)
 

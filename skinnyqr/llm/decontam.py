@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, free_name, save
+from .common import Scratch, broadcast_if_small, free_name, save
 
 WINDOW = 8
 #: Tokens of view W's windows, of which a quarter at least are literal.
@@ -178,19 +178,25 @@ def contaminated(
     Null and empty texts contain nothing; null item ids and items without a
     token are not searched for; repeated rows are found once; rows with a
     null id are reported with a null doc_id.  Other columns are ignored.
-    Empty tables give no rows.
+    Empty tables give no rows.  The result is a written table.
     """
+    with Scratch(docs.sparkSession) as keep:
+        return save(_contaminated(docs, benchmark, id_col, text_col, item_id_col, item_text_col, keep), "contaminated")
+
+
+def _contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_id_col: str, item_text_col: str, keep: Scratch) -> DataFrame:
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    classes = save(benchmark_classes(benchmark, item_id_col, item_text_col), "classes")
-    short = save(_items(benchmark, item_id_col, item_text_col).filter(F.size("tokens") < LEAST_TOKENS), "short")
+    classes = keep.save(benchmark_classes(benchmark, item_id_col, item_text_col), "classes")
+    short = keep.save(_items(benchmark, item_id_col, item_text_col).filter(F.size("tokens") < LEAST_TOKENS), "short")
     schema = "doc_id long, item_id long, n_items long, matched long, n_windows long, reparameterised boolean"
-    out = _long_found(src, classes) if not classes.isEmpty() else docs.sparkSession.createDataFrame([], schema)
+    out = _long_found(src, classes, keep) if not classes.isEmpty() else docs.sparkSession.createDataFrame([], schema)
     if short.isEmpty():
         return out
     return out.unionByName(_short_found(src, short).selectExpr("doc_id", "item_id", "n_items", "1L AS matched", "1L AS n_windows", "false AS reparameterised"))
 
 
-def _long_found(src: DataFrame, classes: DataFrame) -> DataFrame:
+def _long_found(src: DataFrame, classes: DataFrame, keep: Scratch) -> DataFrame:
+    save = keep.save
     windows = save(benchmark_windows(classes), "all_windows")
     kinds = {(r[0], r[1]) for r in windows.select("view", "w").distinct().collect()}  # at most 5 views of 5 sizes
     windows = windows.selectExpr("*", "count(*) OVER (PARTITION BY var, view) AS n_windows", "count(*) OVER (PARTITION BY h) AS df")

@@ -16,16 +16,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, broadcast_if_small, free_name, save, words_of
+from .common import SPACE, Scratch, broadcast_if_small, free_name, save, words_of
 
 SYMBOLS = "#*$%&|<>"
 STATS = ("f1", "f2", "f3", "f4", "f5")
 #: Least standard deviation of each statistic, in thousandths: what counts as no difference at all.
-FLOORS = (150, 350, 350, 600, 600)
+#: With f4's, a line in three words that repeats an earlier one is enough for rejection (labelled good documents reach
+#: a quarter of that).  f5 is at most ln 3, as the base rule rejects beyond, and good documents reach it: it only adds.
+FLOORS = (150, 350, 350, 300, 600)
 #: Share of a group that the determinant is minimised over.
 SHARE = 0.75
-STEPS = 2
 STARTS = 2
+#: Concentration ends when no group's determinant falls any more; more steps than this would be an error.
+MOST_STEPS = 100
 #: Squared distances: of points that enter the reweighted estimate (97.5 % of chi-square, 5 degrees), and of rejection.
 REWEIGHT, REJECT = 12.83, 24.0
 #: Groups with fewer documents are estimated together, first per language.
@@ -155,17 +158,34 @@ def _concentrate(points: DataFrame, distance: str) -> DataFrame:
     return _layers(inner, fit_columns())
 
 
-def estimates(stats: DataFrame) -> DataFrame:
-    """(grp, m*, l*): reweighted minimum-covariance-determinant estimate of every group."""
+def estimates(stats: DataFrame, keep: Scratch) -> DataFrame:
+    """(grp, m*, l*): reweighted minimum-covariance-determinant estimate of every group.
+
+    Each start is concentrated until its determinant stops falling: a step
+    takes the nearest SHARE of the group under the last estimate, and is
+    undone where the determinant did not fall, which ends that start.
+    """
+    save = keep.save
     mid = save(stats.groupBy("grp").agg(*(F.expr(f"percentile({f}, 0.5)").alias(f"med_{f}") for f in STATS)), "medians")
     off = stats.join(mid, "grp").groupBy("grp").agg(*(F.expr(f"percentile(abs({f} - med_{f}), 0.5)").alias(f"mad_{f}") for f in STATS))
     rough = save(mid.join(off, "grp"), "rough")
     near = stats.join(rough, "grp").withColumn("start", F.explode(F.array(*(F.lit(i) for i in range(STARTS)))))
     kinds = " ".join(f"WHEN {i} THEN {start_distance(i)}" for i in range(STARTS))
     fit = save(_concentrate(near, f"CASE start {kinds} END"), "fit").select("grp", "start", "det", *FIT)
-    for _ in range(STEPS - 1):
+    done = None  # starts that have ended
+    for _ in range(MOST_STEPS):
         again = _layers(stats.join(fit.drop("det"), "grp"), distance_layers())
-        fit = save(_concentrate(again, "d2"), "fit").select("grp", "start", "det", *FIT)
+        new = _concentrate(again, "d2").select("grp", "start", "det", *FIT)
+        old = fit.select("grp", "start", F.col("det").alias("old"), *(F.col(c).alias(f"old_{c}") for c in FIT))
+        step = save(new.join(old, ["grp", "start"]), "step")
+        over = step.filter("det >= old").select("grp", "start", F.col("old").alias("det"), *(F.col(f"old_{c}").alias(c) for c in FIT))
+        done = over if done is None else done.unionByName(over)
+        fit = step.filter("det < old").select("grp", "start", "det", *FIT)
+        if fit.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"concentration has not ended after {MOST_STEPS} steps")
+    fit = done
     best = fit.selectExpr("*", "row_number() OVER (PARTITION BY grp ORDER BY det, start) AS place").filter("place = 1").drop("place", "det", "start")
     inside = _layers(stats.join(best, "grp"), distance_layers()).filter(f"d2 <= {REWEIGHT}")
     final = inside.groupBy("grp").agg(*(F.expr(sql).alias(name) for name, sql in MOMENTS))
@@ -188,7 +208,12 @@ def quality_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     stats = statistics(src, keep=["doc_id", "lang", "source"])
     stats = stats.selectExpr("*", f"{BASE_FAILED} AS base_failed", *(f"cast(round(1000 * {sql}) AS long) AS {f}" for f, sql in VECTOR.items()))
-    stats = save(stats, "stats")
+    with Scratch(docs.sparkSession) as keep:
+        return save(_verdicts(stats, keep), "quality")
+
+
+def _verdicts(stats: DataFrame, keep: Scratch) -> DataFrame:
+    stats = keep.save(stats, "stats")
     good = stats.filter("NOT base_failed")
     sizes = good.groupBy("lang", "source").agg(F.count("*").alias("n"))
     small = f"CASE WHEN n >= {MIN_GROUP} THEN"
@@ -196,9 +221,9 @@ def quality_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     groups = sizes.selectExpr("lang", "source", "n", f"{in_lang} AS rest").selectExpr(
         "lang", "source", f"{small} concat('s', char(9), lang, char(9), source) WHEN rest >= {MIN_GROUP} THEN concat('l', char(9), lang) ELSE 'all' END AS grp"
     )
-    groups = save(groups, "groups")
-    vectors = save(good.join(groups, ["lang", "source"]).select("grp", *STATS), "vectors")
-    far = _layers(stats.join(groups, ["lang", "source"], "left").join(estimates(vectors), "grp", "left"), distance_layers())
+    groups = keep.save(groups, "groups")
+    vectors = keep.save(good.join(groups, ["lang", "source"]).select("grp", *STATS), "vectors")
+    far = _layers(stats.join(groups, ["lang", "source"], "left").join(estimates(vectors, keep), "grp", "left"), distance_layers())
     return far.selectExpr(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         f"NOT base_failed AND coalesce(d2 <= {REJECT}, true) AS kept", "round(d2, 6) AS distance2", "grp",
@@ -215,5 +240,5 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     own = [F.col(c) for c in (text_col, lang_col, source_col)]
     marked = docs.withColumn(key, F.struct(F.xxhash64(*own).alias("x"), F.xxhash64(F.lit(1), *reversed(own)).alias("y")))
     view = marked.select(F.col(key).alias("doc_id"), own[0].alias("text"), own[1].alias("lang"), own[2].alias("source"))
-    bad = quality_table(view).filter("NOT kept").select(F.col("doc_id").alias(key)).distinct()
+    bad = save(quality_table(view).filter("NOT kept").select(F.col("doc_id").alias(key)).distinct(), "rejected")
     return marked.join(broadcast_if_small(bad, MAX_BROADCAST), key, "left_anti").drop(key)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import broadcast_if_small, save
+from .common import Scratch, broadcast_if_small
 from .hashtable import HashTable
 from .shingles import _LOWER, _ZOBRIST, bounded, mix64, text_bytes
 
@@ -300,6 +300,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Character model from all texts; lexicon and logistic weights from labelled rows outside the held-out third.
 
     Rows with a null label or id teach nothing; of repeated labels the largest holds.
+    Without labels of both classes no text is predicted toxic.
     """
     ship_package(docs.sparkSession)
     costs = character_costs(docs, text_col)
@@ -308,9 +309,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     own = own.orderBy(F.xxhash64("label_id"), "label_id").limit(MAX_LABELLED)
     src = docs.select(F.col(id_col).cast("long").alias("label_id"), F.col(text_col).cast("string").alias("text"))
     rows = src.join(broadcast_if_small(own, MAX_BROADCAST), "label_id").select("text", "toxic")
-    rows = save(rows, "labelled")
+    with Scratch(docs.sparkSession) as keep:
+        return _fitted(keep.save(rows, "labelled"), costs)
+
+
+def _fitted(rows: DataFrame, costs) -> ToxicModel:
+    """The model of labelled texts (text, toxic)."""
     n_toxic, n_all = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
-    none = ToxicModel(costs, np.empty(0, np.uint64), np.empty(0), np.array([np.log((n_toxic + 0.5) / (n_all - n_toxic + 1.0)), 0, 0, 0]))
+    # labels of one class, or without a telling word, can't call a text toxic: every score is a half at most
+    prior = min(0.0, np.log((n_toxic + 0.5) / (n_all - n_toxic + 1.0)))
+    none = ToxicModel(costs, np.empty(0, np.uint64), np.empty(0), np.array([prior, 0, 0, 0]))
     if not n_toxic or n_toxic == n_all:
         return none
 
