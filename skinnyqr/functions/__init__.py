@@ -6,6 +6,7 @@ from skinnyqr.functions.kernels import (
     running_r,
     signed_qr,
     stack_qr,
+    topn_pruned,
     topn_rows,
 )
 
@@ -17,6 +18,7 @@ __all__ = [
     "running_r",
     "signed_qr",
     "stack_qr",
+    "topn_pruned",
     "topn_rows",
     "vector_column",
 ]

@@ -29,12 +29,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark.accumulators import AccumulatorParam
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skinnyqr.functions.arrow import list_to_matrix
-from skinnyqr.functions.kernels import topn_rows
+from skinnyqr.functions.kernels import topn_pruned
 from skinnyqr.operators.topn import top_n
 from skinnyqr.operators.tsqr import _to_arrow
 from skinnyqr.session import ship_package, spread
@@ -43,8 +44,8 @@ from skinnyqr.session import ship_package, spread
 DEFAULT_MAX_BROADCAST_BYTES = 32 << 20
 # factor bytes per (user block, V part) co-group side in the split plan
 GROUP_BYTES = 128 << 20
-# users x items scores computed at a time inside one task
-SCORE_CELLS_PER_CHUNK = 1 << 20
+# co-groups up to which each gets a partition of its own
+MAX_EVEN_KEYS = 4096
 
 
 def _sigma_cubed(sigma, k: int) -> np.ndarray:
@@ -81,29 +82,50 @@ def _mask_seen(scores: np.ndarray, items: np.ndarray, offsets: np.ndarray, value
     scores[rows[hit], order[pos[hit]]] = -np.inf
 
 
-def _score_block(users, u3: np.ndarray, items: np.ndarray, vmat: np.ndarray, n: int, threshold: float,
-                 seen=None, scaled: bool = True):
-    """Top-n per user of (u3 @ vmat^t) in chunks of bounded size.
+def _score_block(users, u3: np.ndarray, scale: np.ndarray, items: np.ndarray, vmat: np.ndarray, n: int, threshold: float,
+                 seen=None, scaled: bool = True, cells=None):
+    """Top-n per user of (u3 @ vmat^t), pruned by bounds of the scores.
 
     ``seen`` (optional ``(offsets, values)`` of an Arrow list column, one
     list of item ids per user row) removes those items from the user's
-    candidates before ranking.
+    candidates before ranking.  ``cells``, an accumulator of pairs, counts
+    the scores computed and those of all user-item pairs.
     """
-    out_u, out_i, out_s, out_r = [], [], [], []
-    step = max(1, SCORE_CELLS_PER_CHUNK // max(1, len(items)))
-    for lo in range(0, u3.shape[0], step):
-        scores = u3[lo : lo + step] @ vmat.T
-        if seen is not None:
-            offsets, values = seen
-            _mask_seen(scores, items, offsets[lo : lo + step + 1], values)
-        rows, it, sc, rk = topn_rows(scores, items, n, threshold, scaled)
-        out_u.append(np.asarray(users)[lo : lo + step][rows])
-        out_i.append(it)
-        out_s.append(sc)
-        out_r.append(rk)
-    if not out_u:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int32)
-    return np.concatenate(out_u), np.concatenate(out_i), np.concatenate(out_s), np.concatenate(out_r)
+    mask = None
+    if seen is not None:
+        offsets, values = seen
+
+        def mask(scores, rows, here):
+            lens = offsets[rows + 1] - offsets[rows]
+            start = np.concatenate([[0], np.cumsum(lens)])
+            pick = np.arange(start[-1]) - np.repeat(start[:-1], lens) + np.repeat(offsets[rows], lens)
+            _mask_seen(scores, here, start, values[pick])
+
+    rows, it, sc, rk, done = topn_pruned(u3, vmat, scale, items, n, threshold, mask)
+    if cells is not None:
+        cells.add(np.array([done, u3.shape[0] * len(items)], dtype=np.int64))
+    return np.asarray(users)[rows], it, sc / threshold if scaled else sc, rk
+
+
+class _Pairs(AccumulatorParam):
+    def zero(self, value):
+        return np.zeros(2, dtype=np.int64)
+
+    def addInPlace(self, a, b):
+        return a + b
+
+
+def scored_cells(spark):
+    """An accumulator for ``cells=``: (scores computed, user-item pairs), filled by the tasks that ran."""
+    return spark.sparkContext.accumulator(np.zeros(2, dtype=np.int64), _Pairs())
+
+
+def _even_keys(spark, count: int, parts: int) -> list[int]:
+    """``count`` keys that hash partitioning deals to ``count`` different ones of ``parts`` partitions."""
+    rows = spark.range(parts * 64).groupBy(F.pmod(F.hash("id"), F.lit(parts)).alias("p")).agg(F.min("id").alias("id")).collect()
+    keys = [r["id"] for r in sorted(rows, key=lambda r: r["p"])]
+    used = set(keys)
+    return (keys + [i for i in range(parts * 64, parts * 64 + count) if i not in used])[:count]
 
 
 def _or_empty(col: str):
@@ -143,6 +165,7 @@ def recommend(
     v_col: str = "v",
     max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
     exclude: DataFrame | None = None,
+    cells=None,
 ) -> DataFrame:
     """Top-n items per user, small-V plan (users with no item are dropped).
 
@@ -152,7 +175,9 @@ def recommend(
     ranking; the reference does not, so it is off by default.  Pairs whose
     item is not in V are left out first, so a user's list holds at most
     V's item count, which the size check bounds.  Both plans rank on the
-    raw score and divide by the threshold last.
+    raw score and divide by the threshold last.  Items that cannot reach a
+    user's list are not scored (``topn_pruned``); ``cells``
+    (:func:`scored_cells`) tells how many were.
     """
     threshold, n = _check_threshold(threshold), _check_n(n)
     spark = u.sparkSession
@@ -166,7 +191,7 @@ def recommend(
         # V is not provably small: score against hashed parts of V instead
         parts = math.ceil(n_items * (k * 8 + 16) / max_broadcast_bytes)
         return recommend_split(u, v, sigma, n, threshold, user, item, u_col, v_col, n_splits=parts,
-                               keep_empty=False, exclude=exclude)
+                               keep_empty=False, exclude=exclude, cells=cells)
     vpd = v.select(item, F.col(v_col).cast("array<double>").alias("_v")).toArrow()
     items = vpd.column(item).to_numpy().astype(np.int64)
     vmat = list_to_matrix(vpd.column("_v"), k) if len(items) else np.zeros((0, k))
@@ -184,7 +209,7 @@ def recommend(
                 continue
             u3 = list_to_matrix(rb.column("_u"), k) * s3[None, :]
             users = rb.column(user).to_numpy()
-            uu, ii, ss, rr = _score_block(users, u3, its, vm, n, threshold, _seen_of(rb) if with_seen else None)
+            uu, ii, ss, rr = _score_block(users, u3, s3, its, vm, n, threshold, _seen_of(rb) if with_seen else None, cells=cells)
             if len(uu):
                 yield pa.RecordBatch.from_pydict({user: uu, item: ii, "score": ss, "rank": rr}, schema=out_schema)
 
@@ -210,6 +235,7 @@ def recommend_split(
     user_block_rows: int | None = None,
     keep_empty: bool = True,
     exclude: DataFrame | None = None,
+    cells=None,
 ) -> DataFrame:
     """Top-n items per user, split-V plan.
 
@@ -284,17 +310,23 @@ def recommend_split(
             return out_schema.empty_table()
         u3 = list_to_matrix(ut.column("_u"), k) * s3[None, :]
         vm = list_to_matrix(vt.column("_v"), k)
-        uu, ii, ss, rr = _score_block(ut.column(user).to_numpy(), u3, vt.column(item).to_numpy().astype(np.int64),
-                                      vm, n, threshold, _seen_of(ut) if with_seen else None, scaled=False)
+        uu, ii, ss, rr = _score_block(ut.column(user).to_numpy(), u3, s3, vt.column(item).to_numpy().astype(np.int64),
+                                      vm, n, threshold, _seen_of(ut) if with_seen else None, scaled=False, cells=cells)
         return pa.table({user: uu, item: ii, "score": ss, "rank": rr}, schema=out_schema)
 
     # scoring cost is users x items per co-group, not its input bytes: pin the
-    # partition count so AQE does not merge co-groups into fewer tasks (both
-    # sides use the same keys and count, so the co-group adds no exchange)
-    parts = max(n_blocks * n_splits, spark.sparkContext.defaultParallelism)
-    u_rep = u_rep.repartition(parts, "_ub", "_vp")
-    v_rep = v_rep.repartition(parts, "_ub", "_vp")
-    partial = u_rep.groupBy("_ub", "_vp").cogroup(v_rep.groupBy("_ub", "_vp")).applyInArrow(fn, schema)
+    # partition count so AQE does not merge co-groups into fewer tasks, and
+    # name the co-groups so that each hashes to a partition of its own
+    # (both sides use the same key and count, so the co-group adds no exchange)
+    pairs = n_blocks * n_splits
+    parts = max(pairs, spark.sparkContext.defaultParallelism)
+    group = F.col("_ub") * n_splits + F.col("_vp")
+    if pairs <= MAX_EVEN_KEYS:
+        names = F.array(*[F.lit(x).cast("long") for x in _even_keys(spark, pairs, parts)])
+        group = F.element_at(names, (group + 1).cast("int"))
+    u_rep = u_rep.withColumn("_g", group).drop("_ub", "_vp").repartition(parts, "_g")
+    v_rep = v_rep.withColumn("_g", group).drop("_ub", "_vp").repartition(parts, "_g")
+    partial = u_rep.groupBy("_g").cogroup(v_rep.groupBy("_g")).applyInArrow(fn, schema)
     merged = top_n(partial.drop("rank"), user, "score", n, tiebreak=item)
     merged = merged.withColumn("score", F.col("score") / F.lit(threshold))
     if not keep_empty:

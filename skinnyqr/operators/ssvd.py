@@ -2,21 +2,30 @@
 
 A (users x items, COO rows ``(user, item, rating)``) ~= U diag(sigma) V^t:
 
-1. Y = A Omega (users x kp, kp = k + p).  Omega's entries are a hash of
-   (seed, item, c), so Omega is never stored or shipped: one
-   ``groupBy(user).agg(sum(...))`` with map-side partial aggregation.
+0. The cells are dealt to partitions by user once (:func:`user_layout`) and
+   kept; users with very many cells are salted over several partitions.  This
+   is the only exchange of cells.
+1. Y = A Omega (users x kp, kp = k + p), row by row inside the partitions.
+   Omega's entries come from a counter, so Omega is never stored or shipped.
+   Rows of salted users are partial and added up on their own.
 2. An orthonormal basis Q of the columns of Y (:func:`range_basis`): the SVD
    of R1 (R of Y, one streaming pass) gives the directions that Y has and a
    kp x r matrix M1 that makes them orthonormal up to rounding; R2 of Y M1
    (a second pass) refines them.  Q = (Y M1) M2 is a map-only plan of Y.
-3. B^t = A^t Q: equi-join A with Q on the user key, then
-   ``groupBy(item).agg(sum(...))`` (partial aggregation again).
+3. B^t = A^t Q: the tasks that hold a user's cells compute its row of Q again
+   and add up cell times row by item; a task emits each of its items once
+   (bounded, else several times), and one aggregation adds the tasks up.
+   Neither Q nor the cells are shuffled for it.
 4. R of B^t by TSQR, and the SVD of that small R: singular values are right
    to about 1e-16 of the largest, where the roots of the eigenvalues of the
    Gram matrix B B^t are lost below 1e-8 of it.
 5. U = Q W and V = B^t W / sigma, refined like Q so that its columns stay
    orthonormal: map-only passes with small matrices in the task closure.
 
+With keys that are no integers, or with a table of Omega, steps 1 and 3 are
+``groupBy(user)`` sums (:func:`random_projection`) and a join of A with Q on the
+user key (:func:`at_times_q`).
+
 Dense rows ``(row_id, v ARRAY<DOUBLE>[n])`` use :func:`stochastic_svd_dense`:
 every step is a streaming pass over A that recomputes (a Omega) M1 M2 where it
 is needed.  A is neither shuffled, nor joined with Q, nor cached; tasks emit
@@ -35,6 +44,7 @@ from pyspark.sql import types as T
 
 from skinnyqr.functions.arrow import list_to_matrix, matrix_to_list
 from skinnyqr.functions.columns import omega_sum_array, weighted_sum_array
+from skinnyqr.functions.kernels import omega_rows, sums_by_key
 from skinnyqr.operators.tsqr import _to_arrow, _width, map_rows, r_on_driver, times
 from skinnyqr.session import materialize, ship_package
 
@@ -97,18 +107,25 @@ def at_times_q(
     return joined.groupBy(item).agg(weighted_sum_array("_r", "_q", kp).alias("b"))
 
 
+#: Partial Gram matrices that one group of a round adds up.
+GRAM_FANIN = 64
+
+
 def gram_cells(df: DataFrame, vec: str) -> DataFrame:
     """Gram matrix X^t X of the rows of ``vec`` as cells ``(i, j, g)``.
 
-    Each task folds its Arrow batches into one kp x kp partial Gram and
-    emits it in long form; a small ``groupBy(i, j).sum`` adds the partials.
+    Each task folds its Arrow batches into one partial Gram matrix and emits
+    its upper triangle as one row; rounds of at most ``GRAM_FANIN`` rows a
+    group add these up, so a round moves as many rows as there are tasks
+    before it.  The last row is spread into cells of both triangles.
     """
     ship_package(df.sparkSession)
-    schema = T.StructType([T.StructField("i", T.IntegerType(), False), T.StructField("j", T.IntegerType(), False),
-                           T.StructField("g", T.DoubleType(), False)])
-    out_schema = _to_arrow(schema)
+    schema = T.StructType([T.StructField("node", T.LongType(), False), T.StructField("g", T.ArrayType(T.DoubleType(), False), False)])
+    packed = _to_arrow(schema)
+
+    def fold(batches):
+        from pyspark import TaskContext
 
-    def fn(batches):
         g = None
         for rb in batches:
             if rb.num_rows == 0:
@@ -116,15 +133,39 @@ def gram_cells(df: DataFrame, vec: str) -> DataFrame:
             x = list_to_matrix(rb.column("_x"))
             part = x.T @ x
             g = part if g is None else g + part
-        if g is None:
-            return
-        k = g.shape[0]
-        ii, jj = np.meshgrid(np.arange(k, dtype=np.int32), np.arange(k, dtype=np.int32), indexing="ij")
-        yield pa.RecordBatch.from_pydict({"i": ii.reshape(-1), "j": jj.reshape(-1), "g": g.reshape(-1)},
-                                         schema=out_schema)
+        if g is not None:
+            upper = g[np.triu_indices(g.shape[0])][None, :]
+            yield pa.RecordBatch.from_pydict({"node": [TaskContext.get().partitionId()], "g": matrix_to_list(upper)}, schema=packed)
 
-    parts = df.select(F.col(vec).cast("array<double>").alias("_x")).mapInArrow(fn, schema)
-    return parts.groupBy("i", "j").agg(F.sum("g").alias("g"))
+    def add(tbl: pa.Table) -> pa.Table:
+        tbl = tbl.sort_by("node")  # one order of addition, whatever arrives first
+        total = list_to_matrix(tbl.column("g")).sum(axis=0)[None, :]
+        return pa.table({"node": tbl.column("_parent").slice(0, 1), "g": matrix_to_list(total)}, schema=packed)
+
+    cell_schema = T.StructType([T.StructField("i", T.IntegerType(), False), T.StructField("j", T.IntegerType(), False),
+                                T.StructField("g", T.DoubleType(), False)])
+    cells = _to_arrow(cell_schema)
+
+    def spread_out(batches):
+        for rb in batches:
+            if rb.num_rows == 0:
+                continue
+            upper = list_to_matrix(rb.column("g"))[0]
+            k = int((np.sqrt(8 * upper.size + 1) - 1) / 2 + 0.5)
+            g = np.zeros((k, k))
+            g[np.triu_indices(k)] = upper
+            g = np.triu(g) + np.triu(g, 1).T
+            ii, jj = np.indices((k, k), dtype=np.int32)
+            yield pa.RecordBatch.from_pydict({"i": ii.reshape(-1), "j": jj.reshape(-1), "g": g.reshape(-1)}, schema=cells)
+
+    level = materialize(df.select(F.col(vec).cast("array<double>").alias("_x")).mapInArrow(fold, schema), eager=False)
+    most, groups = level.count(), 0
+    while most > 1:
+        groups = -(-most // GRAM_FANIN)
+        parent = F.pmod(F.col("node"), F.lit(groups)) if groups > 1 else F.lit(0).cast("long")
+        level = level.withColumn("_parent", parent).groupBy("_parent").applyInArrow(add, schema)
+        most = groups
+    return level.mapInArrow(spread_out, cell_schema)
 
 
 def gram_matrix(df: DataFrame, vec: str, k: int | None = None) -> np.ndarray:
@@ -158,6 +199,137 @@ def range_basis(y: DataFrame, n: int, mats=(), width: int | None = None, schedul
     return m1, np.linalg.inv(r2)
 
 
+#: Bytes of cells per partition of the layout (24 a cell).
+LAYOUT_BYTES = 64 << 20
+#: A user with more cells than this, and than twice a partition's share, is salted.
+HEAVY_CELLS = 1_000_000
+#: Cells multiplied at a time, and bytes of sums by item that a task holds before it emits them.
+CHUNK_CELLS, HELD_BYTES = 1 << 15, 64 << 20
+
+
+def user_layout(a: DataFrame, user: str, item: str, rating: str, reliable: bool = False) -> tuple[DataFrame, list[int]]:
+    """(cells dealt by user and sorted in each partition, kept; the salted users).
+
+    Cells of a salted user are dealt on by a hash of the item.  There are at
+    most as many salted users as partitions.  Cells with a null are none.
+    """
+    a = a.select(F.col(user).cast("long").alias("u"), F.col(item).cast("long").alias("i"), F.col(rating).cast("double").alias("r")).dropna()
+    counts = materialize(a.groupBy("u").agg(F.count(F.lit(1)).alias("n")), eager=False)
+    total = int(counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    par = a.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, min(par, total // 1000 + 1), -(-total * 24 // LAYOUT_BYTES))
+    limit = max(HEAVY_CELLS, 2 * total // parts)
+    heavy = [(r["u"], -(-r["n"] // limit)) for r in counts.filter(F.col("n") > limit).collect()]
+    counts.unpersist()
+    salt = F.lit(0)
+    if heavy:
+        shares = a.sparkSession.createDataFrame(heavy, "u long, parts long")
+        a = a.join(F.broadcast(shares), "u", "left")
+        salt = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("i"), F.col("parts"))).otherwise(0)
+    cells = a.withColumn("s", salt).repartition(parts, "u", "s").sortWithinPartitions("u", "i", "r").select("u", "i", "r")
+    return materialize(cells, reliable, eager=reliable), sorted(u for u, _ in heavy)
+
+
+def _whole_users(batches):
+    """(users, first cell of each, items, ratings) of sorted batches of cells; a user is never cut."""
+    held: list = []
+
+    def flush(parts):
+        u, i, r = (np.concatenate(x) for x in zip(*parts))
+        first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
+        return u[first], first, i, r
+
+    for rb in batches:
+        if rb.num_rows == 0:
+            continue
+        u, i, r = (rb.column(c).to_numpy() for c in range(3))
+        cut = int(np.searchsorted(u, u[-1]))  # where the last user starts
+        if cut or (held and held[-1][0][-1] != u[0]):
+            held.append((u[:cut], i[:cut], r[:cut]))
+            yield flush(held)
+            held = []
+        held.append((u[cut:], i[cut:], r[cut:]))
+    if held:
+        yield flush(held)
+
+
+def _projected(first: np.ndarray, items: np.ndarray, ratings: np.ndarray, seed: int, kp: int) -> np.ndarray:
+    """Rows of A Omega of whole users, a bounded number of cells at a time."""
+    y = np.zeros((len(first), kp))
+    for lo in range(0, len(items), CHUNK_CELLS):
+        hi = min(len(items), lo + CHUNK_CELLS)
+        kinds, at = np.unique(items[lo:hi], return_inverse=True)
+        part = omega_rows(seed, kinds, kp)[at] * ratings[lo:hi, None]
+        a = int(np.searchsorted(first, lo, side="right")) - 1  # the user of cell lo
+        b = int(np.searchsorted(first, hi))
+        y[a:b] += np.add.reduceat(part, np.maximum(first[a:b] - lo, 0), axis=0)
+    return y
+
+
+def layout_projection(cells: DataFrame, heavy: list[int], kp: int, seed: int, user: str) -> DataFrame:
+    """Y = A Omega as rows ``(user, y)``: map-only, but for the partial rows of salted users."""
+    ship_package(cells.sparkSession)
+    schema = T.StructType([T.StructField(user, T.LongType(), False), T.StructField("y", T.ArrayType(T.DoubleType(), False), False)])
+    out_schema = _to_arrow(schema)
+
+    def run(only_heavy):
+        def fn(batches):
+            for u, first, i, r in _whole_users(batches):
+                keep = np.isin(u, heavy) == only_heavy
+                if not keep.any():
+                    continue
+                y = _projected(first, i, r, seed, kp)[keep]
+                yield pa.RecordBatch.from_pydict({user: u[keep], "y": matrix_to_list(y)}, schema=out_schema)
+
+        return fn
+
+    light = cells.mapInArrow(run(False), schema)
+    if not heavy:
+        return light
+    partial = cells.filter(F.col("u").isin(heavy)).mapInArrow(run(True), schema).withColumn("_one", F.lit(1.0))
+    return light.unionByName(partial.groupBy(user).agg(weighted_sum_array("_one", "y", kp).alias("y")))
+
+
+def layout_at_times_q(cells: DataFrame, known: dict[int, np.ndarray], kp: int, seed: int, basis, width: int, item: str) -> DataFrame:
+    """B^t = A^t Q as rows ``(item, b)``; ``known`` holds the rows of Y of salted users."""
+    spark = cells.sparkSession
+    ship_package(spark)
+    names = np.array(sorted(known), dtype=np.int64)
+    shipped = spark.sparkContext.broadcast(np.array([known[x] for x in names.tolist()]).reshape(-1, kp))  # at most a row a partition
+    schema = T.StructType([T.StructField(item, T.LongType(), False), T.StructField("b", T.ArrayType(T.DoubleType(), False), False)])
+    out_schema = _to_arrow(schema)
+
+    def fn(batches):
+        held, rows = [], 0  # sums by item; the first entry is the merged one
+
+        def merged():
+            return sums_by_key(*(np.concatenate(x) for x in zip(*held)))
+
+        for u, first, i, r in _whole_users(batches):
+            y = _projected(first, i, r, seed, kp)
+            salted = np.isin(u, names)
+            if salted.any():
+                y[salted] = shipped.value[np.searchsorted(names, u[salted])]
+            q = times(y, basis)
+            of = np.repeat(np.arange(len(u)), np.diff(np.append(first, len(i))))
+            for lo in range(0, len(i), CHUNK_CELLS):
+                s = slice(lo, lo + CHUNK_CELLS)
+                held.append(sums_by_key(i[s], q[of[s]] * r[s, None]))
+                rows += len(held[-1][0])
+                if rows > 2 * len(held[0][0]) + 4 * CHUNK_CELLS:
+                    held = [merged()]
+                    rows = len(held[0][0])
+                    if held[0][1].nbytes > HELD_BYTES:
+                        yield pa.RecordBatch.from_pydict({item: held[0][0], "b": matrix_to_list(held[0][1])}, schema=out_schema)
+                        held, rows = [], 0
+        if held:
+            keys, sums = merged()
+            yield pa.RecordBatch.from_pydict({item: keys, "b": matrix_to_list(sums)}, schema=out_schema)
+
+    parts = cells.mapInArrow(fn, schema).withColumn("_one", F.lit(1.0))
+    return parts.groupBy(item).agg(weighted_sum_array("_one", "b", width).alias("b"))
+
+
 @dataclass
 class SSVDResult:
     """Factors of A ~= U diag(sigma[:k]) V^t.
@@ -204,7 +376,9 @@ def stochastic_svd(
 
     Exact (up to rounding) when k + p >= rank(A).  Singular values at or
     below 1e-12 * sigma_max count as zero and give zero U/V columns
-    instead of NaN; the other columns are orthonormal.
+    instead of NaN; the other columns are orthonormal.  With integer keys
+    (INT, BIGINT; returned as BIGINT) the cells are exchanged once; cells with
+    a null are none.
     ``u_half_sigma`` / ``v_half_sigma`` return
     U sqrt(Sigma) / V sqrt(Sigma) instead of U / V.  ``reliable=True``
     checkpoints Y and B^t (users x kp and items x kp, small next to A)
@@ -217,14 +391,25 @@ def stochastic_svd(
     ship_package(ratings.sparkSession)
     kp = k + p
     held: list[DataFrame] = []
-    a = ratings.select(F.col(user), F.col(item), F.col(rating).cast("double").alias(rating))
-    y = materialize(random_projection(a, kp, seed, user, item, rating, omega_table), reliable, eager=reliable)
+    whole = all(isinstance(ratings.schema[c].dataType, T.IntegralType) for c in (user, item))
+    if whole and omega_table is None:
+        cells, heavy = user_layout(ratings, user, item, rating, reliable)
+        held.append(cells)
+        y = layout_projection(cells, heavy, kp, seed, user)
+    else:
+        a = ratings.select(F.col(user), F.col(item), F.col(rating).cast("double").alias(rating))
+        y = random_projection(a, kp, seed, user, item, rating, omega_table)
+    y = materialize(y, reliable, eager=reliable)
     held.append(y)
     rows = y.select(user, F.col("y").alias("_v"))
     basis = range_basis(rows, kp, schedule=schedule)
     width = basis[1].shape[0]
-    q = map_rows(rows, user, kp, basis, user, "q", width)
-    bt = materialize(at_times_q(a, q, width, user, item, rating), reliable, eager=reliable)
+    if whole and omega_table is None:
+        known = {r[user]: np.array(r["y"]) for r in y.filter(F.col(user).isin(heavy)).collect()} if heavy else {}
+        bt = layout_at_times_q(cells, known, kp, seed, basis, width, item)
+    else:
+        bt = at_times_q(a, map_rows(rows, user, kp, basis, user, "q", width), width, user, item, rating)
+    bt = materialize(bt, reliable, eager=reliable)
     held.append(bt)
     return _finish_svd(rows, kp, basis, bt, width, k, kp, user, item, compute_u, compute_v, u_half_sigma, v_half_sigma, held, schedule)
 

@@ -22,7 +22,7 @@ from skinnyqr.operators.topn import merge_topn, top_n
 from skinnyqr.operators.tsqr import combine_r, qr_residual, tall_skinny_qr, tall_skinny_r
 from skinnyqr.plans.tables import rating_events, ratings, table
 from skinnyqr.session import scratch_path
-from skinnyqr.sinks import recommendation_lines, write_factors
+from skinnyqr.sinks import recommendation_lines, write_factors, write_q
 from skinnyqr.sources.dense import block_of, block_sizes, dense_lines, parse_dense_lines, read_dense_text
 from skinnyqr.sources.factors import read_factors
 from skinnyqr.sources.ratings import dedupe_ratings, parse_rating_lines, user_row_text, user_rows
@@ -141,6 +141,15 @@ def q_qr_orthogonality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells_out(gram_cells(res.q, "q"), 9, "g")
 
 
+def q_qr_q_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1, K6: another matrix's Q is written, then replaced by this one's and read back."""
+    path, emb = scratch_path(spark, "q"), _embeddings(spark, sf_dir)
+    write_q(tall_skinny_qr(emb.withColumn("v", F.slice("v", 1, 2)).withColumn("vec_id", -F.col("vec_id")), "vec_id", "v").q, path)
+    write_q(tall_skinny_qr(emb, "vec_id", "v").q, path)
+    cells = spark.read.parquet(path).select("vec_id", F.posexplode("q").alias("j", "q"))
+    return cells.select("vec_id", F.col("j").cast("long").alias("j"), clean_round(F.col("q"), 7).alias("q"))
+
+
 def q_qr_refined_orthogonality(spark: SparkSession, sf_dir: str) -> DataFrame:
     res = tall_skinny_qr(_embeddings(spark, sf_dir), "vec_id", "v", method="refined")
     return _cells_out(gram_cells(res.q, "q"), 9, "g")
@@ -270,6 +279,13 @@ def q_recommend_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rec_out(recommend(res.u, res.v, res.sigma, n=TOP_N, threshold=1.0), 0)
 
 
+def q_recommend_topn_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """users whose factors hold a NaN get no items, though NaN sorts above every number."""
+    _, res = _svd(spark, sf_dir)
+    nan = F.when(F.pmod(F.col("user_id"), F.lit(7)) == 0, F.transform("u", lambda x: x * F.lit(float("nan")))).otherwise(F.col("u"))
+    return _rec_out(recommend(res.u.withColumn("u", nan), res.v, res.sigma, n=TOP_N, threshold=1.0), 0)
+
+
 def q_recommend_topn_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
     # already-rated items are removed before ranking (optional; the reference keeps them)
     a, res = _svd(spark, sf_dir)
@@ -358,6 +374,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "qr_residual": q_qr_residual,
     "qr_residual_sum": q_qr_residual_sum,
     "qr_orthogonality": q_qr_orthogonality,
+    "qr_q_saved": q_qr_q_saved,
     "qr_refined_orthogonality": q_qr_refined_orthogonality,
     "random_r_blocks": q_random_r_blocks,
     "random_r_combined": q_random_r_combined,
@@ -374,6 +391,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ssvd_half_sigma": q_ssvd_half_sigma,
     "cf_scores": q_cf_scores,
     "recommend_topn": q_recommend_topn,
+    "recommend_topn_nan": q_recommend_topn_nan,
     "recommend_topn_unseen": q_recommend_topn_unseen,
     "recommend_topn_split": q_recommend_topn_split,
     "recommend_saved": q_recommend_saved,

@@ -87,6 +87,7 @@ from ratings group by user_id""",
     "qr_q": QR_ALL,
     "qr_q_indirect": QR_ALL,
     "qr_q_refined": QR_ALL,
+    "qr_q_saved": QR_ALL,
     "qr_residual": RESIDUAL,
     "qr_residual_sum": RESIDUAL,
     "qr_orthogonality": """
@@ -151,6 +152,8 @@ select r.user_id, r.item_id, round(sc.score, 0) + 0.0 as score
 from ratings r join sc on r.user_id = sc.user_id and r.item_id = sc.item_id""",
     "recommend_topn": TOPN + """
 select user_id, item_id, round(score, 0) + 0.0 as score, rk::bigint as rank from f where rk <= 3""",
+    "recommend_topn_nan": TOPN + """
+select user_id, item_id, round(score, 0) + 0.0 as score, rk::bigint as rank from f where rk <= 3 and user_id % 7 <> 0""",
     "recommend_saved": TOPN + """
 select user_id, item_id, round(score, 0) + 0.0 as score, rk::bigint as rank from f where rk <= 3""",
     "recommend_topn_unseen": SCORES + """,

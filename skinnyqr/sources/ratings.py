@@ -92,24 +92,30 @@ def dedupe_ratings(df: DataFrame, how: str = "sum", order_col: str | None = None
 
 
 def user_rows(df: DataFrame, user: str = "user_id", item: str = "item_id", rating: str = "rating",
-              segments: int = 1) -> DataFrame:
-    """A1: sparse rows per user, ``items ARRAY<STRUCT<item_id, rating>>`` sorted by item.
-
-    With ``segments=1`` each user has one row.  A row holds one user's
-    ratings, so its size is bounded by the item count; when that is too
-    large for one row, ``segments > 1`` splits every user's ratings by a
-    hash of the item into that many rows ``(user, segment, items)`` -
-    exact, nothing dropped.  The matrix operators use the COO form
-    directly and never need these rows.
+              segments: int | None = None, max_items: int = 100_000) -> DataFrame:
+    """A1: sparse rows ``(user, segment, items ARRAY<STRUCT<item_id, rating>>)``, items sorted within a row.
+
+    A user has one row (segment 0) unless it has more than ``max_items``
+    ratings: ratings are counted per user first, and those of a heavier user
+    are dealt by a hash of the item to as many segments as it takes, so no
+    row or task gets a user's ratings whole however many there are (an item
+    rated again and again stays in one segment: ``dedupe_ratings`` first).
+    ``segments`` deals every user to that many instead.  Nothing is dropped.
+    The matrix operators use the COO form directly and never need these rows.
     """
     entry = F.struct(F.col(item).alias("item_id"), F.col(rating).alias("rating"))
-    if segments <= 1:
-        return df.groupBy(user).agg(F.array_sort(F.collect_list(entry)).alias("items"))
-    seg = F.pmod(F.xxhash64(F.col(item)), F.lit(int(segments))).alias("segment")
+    if segments is not None:
+        parts = F.lit(max(1, int(segments)))
+    else:
+        counts = df.groupBy(F.col(user).alias("_heavy")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_items)
+        heavy = counts.select("_heavy", F.ceil(F.col("_n") / max_items).cast("int").alias("_parts"))
+        df = df.join(heavy, F.col(user).eqNullSafe(F.col("_heavy")), "left")
+        parts = F.coalesce("_parts", F.lit(1))
+    seg = F.when(parts > 1, F.pmod(F.xxhash64(F.col(item)), parts)).otherwise(F.lit(0)).cast("int").alias("segment")
     return df.groupBy(user, seg).agg(F.array_sort(F.collect_list(entry)).alias("items"))
 
 
 def user_row_text(rows: DataFrame, user: str = "user_id") -> DataFrame:
-    """``(user, n_items, items_text)`` with text ``item:rating,item:rating`` for user rows."""
+    """``(user, n_items, items_text)`` with text ``item:rating,item:rating`` for each user row (segment)."""
     pairs = F.transform("items", lambda s: F.concat(s["item_id"].cast("string"), F.lit(":"), s["rating"].cast("string")))
     return rows.select(user, F.size("items").cast("long").alias("n_items"), F.array_join(pairs, ",").alias("items_text"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skinnyqr import stochastic_svd, stochastic_svd_dense, tall_skinny_qr
-from skinnyqr.operators import tsqr
+from skinnyqr.operators import ssvd, tsqr
 from skinnyqr.operators.ssvd import dense_at_times_q, svd_certificate
 from skinnyqr.sinks import write_factors
 from skinnyqr.sources import committed_versions, numbered_lines, read_dense_text, read_factors
@@ -185,3 +185,57 @@ def test_last_rating_of_equal_times_is_the_largest(spark):
 
     df = spark.createDataFrame([(1, 1, 5.0, 9), (1, 1, 7.0, 9), (1, 1, 99.0, 3)], "user_id long, item_id long, rating double, t long").repartition(3)
     assert dedupe_ratings(df, "last", order_col="t").first()["rating"] == 7.0
+
+
+def _random_ratings(spark, users=60, items=25, seed=3):
+    rng = np.random.default_rng(seed)
+    rows = [(int(u) - 30, int(i) * 7, float(rng.integers(-4, 6))) for u in range(users) for i in range(items) if rng.random() < 0.3 or u == 5]
+    return rows, spark.createDataFrame(rows, "user_id long, item_id long, rating double").repartition(6)
+
+
+@pytest.mark.parametrize("heavy", [False, True])
+def test_layout_svd_equals_numpy(spark, monkeypatch, heavy):
+    """One exchange of cells; with salted users and tiny chunks too."""
+    if heavy:
+        monkeypatch.setattr(ssvd, "HEAVY_CELLS", 3)
+        monkeypatch.setattr(ssvd, "LAYOUT_BYTES", 24 * 8)
+        monkeypatch.setattr(ssvd, "CHUNK_CELLS", 4)
+        monkeypatch.setattr(ssvd, "HELD_BYTES", 200)
+    rows, df = _random_ratings(spark)
+    a = np.zeros((60, 25))
+    for u, i, r in rows:
+        a[u + 30, i // 7] += r
+    cells, salted = ssvd.user_layout(df, "user_id", "item_id", "rating")
+    assert bool(salted) == heavy and cells.count() == len(rows)
+    res = stochastic_svd(df, 25, 0)
+    want = np.linalg.svd(a)[1]
+    assert np.allclose(res.sigma, want, atol=1e-9)
+    u = {r["user_id"]: r["u"] for r in res.u.collect()}
+    v = {r["item_id"]: r["v"] for r in res.v.collect()}
+    back = np.array([[np.dot(np.array(u[x - 30]) * res.sigma, v[7 * i]) if x - 30 in u and 7 * i in v else 0.0 for i in range(25)] for x in range(60)])
+    assert np.abs(back - a).max() < 1e-9
+
+
+def test_layout_svd_equals_joined_svd(spark):
+    rows, df = _random_ratings(spark, seed=9)
+    named = df.select(F.col("user_id").cast("string").alias("user_id"), "item_id", "rating")
+    one, two = stochastic_svd(df, 25, 0), stochastic_svd(named, 25, 0)
+    assert np.allclose(one.sigma, two.sigma, atol=1e-9)
+
+
+def test_cells_are_exchanged_once(spark):
+    _, df = _random_ratings(spark)
+    cells, heavy = ssvd.user_layout(df, "user_id", "item_id", "rating")
+    y = ssvd.layout_projection(cells, heavy, 4, 1, "user_id")
+    plan = y._jdf.queryExecution().executedPlan().toString()
+    assert "InMemoryTableScan" in plan and "Exchange" not in plan.split("InMemoryRelation")[0]
+    bt = ssvd.layout_at_times_q(cells, {}, 4, 1, (np.eye(4),), 4, "item_id")
+    above = bt._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+    assert above.count("Exchange") == 1 and "Join" not in above  # the sums by item only
+    assert "partial_sum" in above
+
+
+def test_cells_with_nulls_are_none(spark):
+    df = spark.createDataFrame([(1, 1, 2.0), (1, None, 5.0), (None, 1, 5.0), (2, 2, None), (3, 2, 1.0)], "user_id long, item_id long, rating double")
+    res = stochastic_svd(df, 2, 0)
+    assert np.allclose(res.sigma, [2.0, 1.0]) and sorted(r["user_id"] for r in res.u.collect()) == [1, 3]

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from skinnyqr import recommend, recommend_split, score_pairs, stochastic_svd, tall_skinny_r, top_n
-from skinnyqr.sources.ratings import dedupe_ratings
+from skinnyqr.operators import ssvd
+from skinnyqr.sources.ratings import dedupe_ratings, user_rows
 
 
 @pytest.fixture()
@@ -70,3 +71,24 @@ def test_hot_group_grouped_r_and_top_n(spark):
     ided = df.withColumn("id", F.monotonically_increasing_id())
     top = top_n(ided, "g", "x", 5, tiebreak="id").filter("g = 0").orderBy("rank").collect()
     assert [r["x"] for r in top] == sorted((x for g, x, y in rows if g == 0), reverse=True)[:5]
+
+
+def test_user_rows_of_a_heavy_user_are_split(spark):
+    """A user with a third of all ratings is dealt to segments; light users keep one row."""
+    heavy = [(0, i, float(i)) for i in range(5000)]
+    light = [(1 + u, i, 1.0) for u in range(200) for i in range(50)]
+    df = spark.createDataFrame(heavy + light, "user_id long, item_id long, rating double").repartition(4)
+    rows = user_rows(df, max_items=400).collect()
+    mine = [r for r in rows if r["user_id"] == 0]
+    assert len(mine) == 13 and max(len(r["items"]) for r in mine) < 500
+    assert sorted(e["item_id"] for r in mine for e in r["items"]) == list(range(5000))
+    assert len(rows) == 13 + 200 and all(r["segment"] == 0 for r in rows if r["user_id"])
+    assert all([e["item_id"] for e in r["items"]] == sorted(e["item_id"] for e in r["items"]) for r in rows)
+
+
+def test_gram_rounds(spark, monkeypatch):
+    monkeypatch.setattr(ssvd, "GRAM_FANIN", 3)
+    x = np.random.default_rng(0).normal(size=(500, 7))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "i long, x array<double>").repartition(23)
+    assert np.allclose(ssvd.gram_matrix(df, "x"), x.T @ x)
+    assert ssvd.gram_cells(df.filter("i < 0"), "x").count() == 0
