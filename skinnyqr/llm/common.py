@@ -60,6 +60,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def window_hashes(hashes: Column, size: int) -> Column:
+    """Hash of every window of ``size`` elements of an array of longs; null if it has fewer.
+
+    Windows double: those of 2 from neighbours, of 4 from those of 2 and so
+    on, then the powers of two that make up ``size`` are joined.  A slice per
+    window would copy the whole array for each of its elements.
+    """
+    pair = lambda a, b: F.xxhash64(a, b)
+
+    def grow(width: int, held: dict[int, Column]) -> Column:
+        if 2 * width <= size:
+            x = held[width]
+            m = F.size(x) - width
+            return _let(F.zip_with(F.slice(x, F.lit(1), m), F.slice(x, F.lit(width + 1), m), pair), lambda h: grow(2 * width, {**held, 2 * width: h}))
+        parts = [p for p in sorted(held, reverse=True) if size & p]
+        count, out, at = F.size(held[1]) - (size - 1), None, 0
+        for p in parts:
+            piece = F.slice(held[p], F.lit(at + 1), count)
+            out = piece if out is None else F.zip_with(out, piece, pair)
+            at += p
+        return F.transform(out, lambda h: F.xxhash64(F.lit(size), h))
+
+    return F.when(F.size(hashes) >= size, _let(hashes, lambda h: grow(1, {1: h})))
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast ``df`` only after counting that it has at most ``max_rows`` rows."""
     return F.broadcast(df) if df.count() <= max_rows else df

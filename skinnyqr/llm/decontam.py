@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, broadcast_if_small, free_name, save
+from .common import Scratch, broadcast_if_small, free_name, save, window_hashes
 
 WINDOW = 8
 #: Tokens of view W's windows, of which a quarter at least are literal.
@@ -97,14 +97,6 @@ def _canonical(tokens, view: str) -> Column:
     return F.transform(tokens, one)
 
 
-def _window_hashes(canon: str, size: int) -> Column:
-    """Hash of each window of ``size`` tokens of a column of token hashes (a column: computed once, not per window)."""
-    return F.when(
-        F.size(canon) >= size,
-        F.transform(F.sequence(F.lit(1), F.size(canon) - (size - 1)), lambda i: F.xxhash64(F.lit(size), F.slice(canon, i, F.lit(size)))),
-    )
-
-
 def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), template_tokens(F.col(text_col).cast("string")).alias("tokens"))
     return items.filter((F.size("tokens") > 0) & F.col("item_id").isNotNull())
@@ -138,7 +130,7 @@ def benchmark_windows(classes: DataFrame) -> DataFrame:
         def windows(view, of, w=size, one=one):
             src = one.filter("var = cls") if of in "TSW" else one
             src = src.select("cls", "var", "tokens", _canonical(F.col("tokens"), view).alias("canon"))
-            src = src.select("cls", "var", "tokens", F.posexplode_outer(_window_hashes("canon", w)).alias("q", "h")).filter("h IS NOT NULL")
+            src = src.select("cls", "var", "tokens", F.posexplode_outer(window_hashes(F.col("canon"), w)).alias("q", "h")).filter("h IS NOT NULL")
             return src.select("cls", "var", "tokens", F.lit(of).alias("view"), F.lit(w).alias("w"), "q", "h", _slots({"T": "T", "S": "T", "L": "L", "V": "L"}[view], w).alias("slots"))  # a start counts as a literal
 
         t, s, lit, val = windows("T", "T"), windows("S", "S"), windows("L", "L"), windows("V", "X")
@@ -219,7 +211,7 @@ def _long_found(src: DataFrame, classes: DataFrame, keep: Scratch) -> DataFrame:
     canon = tokens.select("doc_id", "th", F.size("tokens").alias("n"), *[F.when(needs[v], _canonical(F.col("tokens"), v)).alias(f"c{v}") for v in views])
     lists = [(v, w) for v in views for w in sizes] + [("T", WIDE)] * (("W", WIDE) in kinds)
     # null for each list that is not needed
-    hashes = canon.select("doc_id", "th", *[F.coalesce(_window_hashes(f"c{v}", w), F.array().cast("array<bigint>")).alias(f"h{i}") for i, (v, w) in enumerate(lists)])
+    hashes = canon.select("doc_id", "th", *[F.coalesce(window_hashes(F.col(f"c{v}"), w), F.array().cast("array<bigint>")).alias(f"h{i}") for i, (v, w) in enumerate(lists)])
     hashes = hashes.select("doc_id", "th", F.concat(*[f"h{i}" for i in range(len(lists))]).alias("hs"), *[F.size(f"h{i}").alias(f"n{i}") for i in range(len(lists))])
     # outer: a filter on the lists, pushed below the projections, would compute them again for every reference
     hits = hashes.select("doc_id", "th", *[f"n{i}" for i in range(len(lists))], F.posexplode_outer("hs").alias("at", "h")).join(sought, "h")

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch, broadcast_if_small, free_name, save, words_of
+from .common import SPACE, Scratch, broadcast_if_small, free_name, save, window_hashes, words_of
 
 SYMBOLS = "#*$%&|<>"
 STATS = ("f1", "f2", "f3", "f4", "f5")
@@ -66,7 +66,7 @@ def statistics(docs: DataFrame, text_col: str = "text", keep: list[str] | None =
     two = one.select(
         "*",
         F.size("q_h").alias("q_n"),
-        F.when(F.size("q_h") >= 6, F.transform(F.sequence(F.lit(1), F.size("q_h") - 4), lambda i: F.xxhash64(F.slice(F.col("q_h"), i, F.lit(5))))).alias("q_w"),
+        window_hashes(F.col("q_h"), 5).alias("q_w"),
     )
     repeated = F.expr(
         "CASE WHEN q_w IS NULL OR size(array_distinct(q_w)) = size(q_w) THEN NULL ELSE "
