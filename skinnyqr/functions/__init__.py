@@ -1,6 +1,6 @@
 """Per-block numpy kernels, Arrow/numpy conversions and column helpers."""
 
-from skinnyqr.functions.columns import array_dot, clean_round, omega, vector_column
+from skinnyqr.functions.columns import clean_round, omega, vector_column
 from skinnyqr.functions.kernels import (
     batched_matmul,
     running_r,
@@ -11,7 +11,6 @@ from skinnyqr.functions.kernels import (
 )
 
 __all__ = [
-    "array_dot",
     "batched_matmul",
     "clean_round",
     "omega",

@@ -67,8 +67,3 @@ def matrices_to_list(mats: list[np.ndarray]) -> pa.ListArray:
         else np.zeros(0)
     )
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-
-
-def table_of(columns: dict, schema: pa.Schema | None = None) -> pa.Table:
-    """Build an Arrow table from a dict of arrays (used for task outputs)."""
-    return pa.table(columns, schema=schema) if schema is not None else pa.table(columns)

@@ -56,8 +56,3 @@ def weighted_sum_array(weight: str, vec: str, kp: int) -> Column:
 def clean_round(c: Column, digits: int) -> Column:
     """Round and fold -0.0 into 0.0 (for exact comparisons of float results)."""
     return F.round(c, digits) + F.lit(0.0)
-
-
-def array_dot(a: Column, b: Column) -> Column:
-    """Dot product of two equal-length numeric arrays."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)

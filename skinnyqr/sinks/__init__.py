@@ -73,15 +73,9 @@ def write_recommendations_text(rec: DataFrame, path: str, mode: str = "overwrite
     recommendation_lines(rec, **kwargs).select("value").write.mode(mode).text(path)
 
 
-def write_recommendations(rec: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Save recommendations in long form ``(user, item, score, rank)`` as Parquet."""
-    rec.write.mode(mode).parquet(path)
-
-
 __all__ = [
     "recommendation_lines",
     "write_factors",
     "write_q",
-    "write_recommendations",
     "write_recommendations_text",
 ]
