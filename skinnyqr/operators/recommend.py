@@ -42,8 +42,10 @@ from skinnyqr.session import ship_package, spread
 
 # every Python worker holds its own copy of V, so this counts once per core
 DEFAULT_MAX_BROADCAST_BYTES = 32 << 20
-# factor bytes per (user block, V part) co-group side in the split plan
-GROUP_BYTES = 128 << 20
+# factor bytes per (user block, V part) co-group side in the split plan; every Python worker holds a co-group
+GROUP_BYTES = 64 << 20
+# users of a co-group scored at a time
+SCORE_ROWS = 1 << 14
 # co-groups up to which each gets a partition of its own
 MAX_EVEN_KEYS = 4096
 
@@ -308,11 +310,15 @@ def recommend_split(
     def fn(ut: pa.Table, vt: pa.Table) -> pa.Table:
         if ut.num_rows == 0 or vt.num_rows == 0:
             return out_schema.empty_table()
-        u3 = list_to_matrix(ut.column("_u"), k) * s3[None, :]
-        vm = list_to_matrix(vt.column("_v"), k)
-        uu, ii, ss, rr = _score_block(ut.column(user).to_numpy(), u3, s3, vt.column(item).to_numpy().astype(np.int64),
-                                      vm, n, threshold, _seen_of(ut) if with_seen else None, scaled=False, cells=cells)
-        return pa.table({user: uu, item: ii, "score": ss, "rank": rr}, schema=out_schema)
+        vm, items = list_to_matrix(vt.column("_v"), k), vt.column(item).to_numpy().astype(np.int64)
+        best = []
+        # batches of the block, so that its rows are held once and only a batch is scaled
+        for rb in ut.to_batches(max_chunksize=SCORE_ROWS):
+            u3 = list_to_matrix(rb.column("_u"), k) * s3[None, :]
+            uu, ii, ss, rr = _score_block(rb.column(user).to_numpy(), u3, s3, items, vm, n, threshold,
+                                          _seen_of(rb) if with_seen else None, scaled=False, cells=cells)
+            best.append(pa.table({user: uu, item: ii, "score": ss, "rank": rr}, schema=out_schema))
+        return pa.concat_tables(best)
 
     # scoring cost is users x items per co-group, not its input bytes: pin the
     # partition count so AQE does not merge co-groups into fewer tasks, and

@@ -92,3 +92,37 @@ def test_gram_rounds(spark, monkeypatch):
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "i long, x array<double>").repartition(23)
     assert np.allclose(ssvd.gram_matrix(df, "x"), x.T @ x)
     assert ssvd.gram_cells(df.filter("i < 0"), "x").count() == 0
+
+
+def test_split_cogroup_scales_a_batch_of_users_at_a_time(spark):
+    """A user block is held once: scaled copies are made of batches of SCORE_ROWS users."""
+    from pyspark.sql import functions as F
+
+    from skinnyqr.operators import recommend as R
+
+    n = R.SCORE_ROWS * 5 // 2
+    u = spark.range(n).select(F.col("id").alias("user_id"), F.array(F.lit(1.0), F.col("id") % 7 + 0.5).alias("u"))
+    v = spark.createDataFrame([(1, [1.0, 0.5]), (2, [0.25, 2.0]), (3, [0.5, 0.5])], "item_id long, v array<double>")
+    seen, score = spark.sparkContext.accumulator(0), R._score_block
+    most = spark.sparkContext.accumulator(0)
+
+    def counted(users, *args, **kw):
+        seen.add(len(users))
+        most.add(int(len(users) > R.SCORE_ROWS))
+        return score(users, *args, **kw)
+
+    R._score_block = counted
+    try:
+        skip = u.filter("user_id % 3 = 0").select("user_id", F.lit(2).cast("long").alias("item_id"))
+        out = R.recommend_split(u, v, [2.0, 1.0], n=1, threshold=1e-9, n_splits=1, user_block_rows=n, exclude=skip)
+        rows = {r["user_id"]: (r["item_id"], r["score"]) for r in out.collect()}
+    finally:
+        R._score_block = score
+    assert seen.value == n and most.value == 0
+    assert len(rows) == n
+    for i in range(n):
+        scores = {1: 8.0 + 0.5 * (i % 7 + 0.5), 2: 2.0 + 2.0 * (i % 7 + 0.5), 3: 4.0 + 0.5 * (i % 7 + 0.5)}
+        if i % 3 == 0:
+            del scores[2]
+        item = max(scores, key=lambda x: (scores[x], -x))
+        assert rows[i][0] == item and abs(rows[i][1] * 1e-9 - scores[item]) < 1e-9
