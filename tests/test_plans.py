@@ -58,3 +58,24 @@ def test_small_v_scoring_is_map_only(spark):
     plan = _plan(recommend(res.u, res.v, res.sigma, n=3))
     top = plan.split("MapInArrow", 1)[0]
     assert "Exchange" not in top  # the scoring itself adds no shuffle
+
+
+def test_join_of_line_items_is_dealt_by_its_rows(spark, monkeypatch):
+    """However few partitions the session asks for, no task joins much more than JOIN_ROWS rows."""
+    from skinnyqr.plans import tables
+
+    want = {tuple(r) for r in ratings(spark, SF, persist=False).collect()}
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    monkeypatch.setattr(tables, "JOIN_ROWS", 300)
+    spark.conf.set(key, "-1")
+    try:
+        ev = tables.rating_events(spark, SF, spread_rows=True)
+        joined = ev.collect()
+        assert "REPARTITION_BY_NUM" in ev._jdf.queryExecution().executedPlan().toString()
+        assert {tuple(r) for r in ratings(spark, SF, persist=False).collect()} == want
+    finally:
+        spark.conf.set(key, before)
+    assert len(joined) == 6000
+    plan = ev._jdf.queryExecution().executedPlan().toString()
+    assert max(int(x) for x in re.findall(r"hashpartitioning\(l_orderkey#\d+L, (\d+)\)", plan)) >= 7500 // 300
