@@ -49,6 +49,9 @@ FUNCTION_WORDS = (
     "If In On At By For From To Of With And But Or So Then As After Before While Each Every All Some One Is Are Was Were Do Does Did Has Have Had Can Not No"
 ).split()
 
+#: Characters of scripts without blanks.  None is below U+0E00: the range spares most characters seven searches of the script table.
+APART = r"[\u0e00-\x{10ffff}&&[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]]"
+
 
 def template_tokens(text: Column) -> Column:
     """array<string> of lower-cased tokens; numbers, names, units and starts carry their placeholder as first character.
@@ -66,8 +69,7 @@ def template_tokens(text: Column) -> Column:
     t = F.regexp_replace(t, r" (?<=[\p{Ll},;] )(?=\p{Lu})", f" {NAME}")
     t = F.regexp_replace(t, rf"(^|[^\p{{L}}\p{{N}},; {NAME}] ?)(?=\p{{Lu}})(?!(?:{'|'.join(FUNCTION_WORDS)})(?![\p{{L}}\p{{N}}]))", f"$1{START}")
     t = F.lower(t)
-    apart = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
-    t = F.when(t.rlike(apart), F.regexp_replace(t, f"({apart})", " $1 ")).otherwise(t)
+    t = F.when(t.rlike(APART), F.regexp_replace(t, f"({APART})", " $1 ")).otherwise(t)
     number = F.regexp_replace(t, r"(^|[^\p{L}\p{N}])([0-9])", f"$1{NUMBER}$2")
     number = F.regexp_replace(number, rf"({NUMBER}[0-9.,]+ )({'|'.join(UNITS)})([^\p{{L}}\p{{N}}]|$)", f"$1{UNIT}$2$3")
     t = F.when(raw.rlike("[0-9]"), number).otherwise(t)
