@@ -30,7 +30,9 @@ LEAST_TOXIC, LEAST_LOG_ODDS = 4, 2.5
 STEMS = (4, 5, 6)
 PREDICT = 0.7
 MAX_BROADCAST = 2_000_000
-MEMO = 200_000
+#: Words a worker remembers (some 300 bytes each), and bytes of text it looks at at once: its arrays take some 50 times as much.
+MEMO = 100_000
+SLICE_BYTES = 1 << 18
 
 #: Fixed values of the channel: what a sign may stand for.
 SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "¢": "c"}
@@ -149,10 +151,12 @@ def suspicious_words(raw: np.ndarray, offs: np.ndarray) -> list[tuple[int, str,
         return []
     letter, sign = _LETTER[raw], _SIGN[raw]
     ascii_letter = letter & (raw < 128)
+    joint = np.ones(raw.size, bool)  # follows a byte of the same text
+    joint[offs[:-1][offs[1:] > offs[:-1]]] = False
     odd = np.zeros(raw.size, bool)
-    odd[:-1] |= sign[:-1] & letter[1:]
-    odd[1:] |= letter[:-1] & _FIRM[raw[1:]]
-    odd[1:] |= ascii_letter[1:] & (raw[1:] == raw[:-1])
+    odd[:-1] |= sign[:-1] & letter[1:] & joint[1:]
+    odd[1:] |= letter[:-1] & _FIRM[raw[1:]] & joint[1:]
+    odd[1:] |= ascii_letter[1:] & (raw[1:] == raw[:-1]) & joint[1:]
     for c in (c.encode() for c in SIGNS if not c.isascii()):
         n = len(c)
         found = np.ones(max(raw.size - n + 1, 0), bool)
@@ -160,7 +164,7 @@ def suspicious_words(raw: np.ndarray, offs: np.ndarray) -> list[tuple[int, str,
             found &= raw[j : j + len(found)] == byte
         odd[: len(found)] |= found
     mark = np.isin(raw, np.frombuffer(MARKS.encode(), np.uint8))
-    odd[4:] |= letter[:-4] & mark[1:-3] & letter[2:-2] & mark[3:-1] & letter[4:]  # i.d.i.o.t
+    odd[4:] |= letter[:-4] & mark[1:-3] & letter[2:-2] & mark[3:-1] & letter[4:] & joint[1:-3] & joint[2:-2] & joint[3:-1] & joint[4:]  # i.d.i.o.t
     starts, ends = _runs(raw, offs, ~_SPACE[raw])
     count = np.concatenate([[0], np.cumsum(odd)])
     hit = np.flatnonzero(count[ends] > count[starts])
@@ -230,8 +234,8 @@ def character_costs(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         for b in it:
             for part in bounded(b, 0):
                 raw, _ = text_bytes(part.column(0))
-                if raw.size > 2:
-                    c = _CLASS[_LOWER[raw]]
+                for at in range(0, raw.size - 2, SLICE_BYTES):
+                    c = _CLASS[_LOWER[raw[at : at + SLICE_BYTES + 2]]]
                     n += np.bincount((c[:-2] * 64 + c[1:-1]) * 64 + c[2:], minlength=64**3)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["at", "n"])
@@ -327,7 +331,7 @@ def _fitted(rows: DataFrame, costs) -> ToxicModel:
             restorer = Restorer(costs)
             table = HashTable(only) if only is not None else None
             for b in it:
-                for part in bounded(b, 0):
+                for part in bounded(b, 0, SLICE_BYTES):
                     doc, h = document_entries(part.column(0), restorer)
                     if table is not None:
                         at = table.find(h)
@@ -355,7 +359,7 @@ def _fitted(rows: DataFrame, costs) -> ToxicModel:
 
     def run(it):
         for b in it:
-            for part in bounded(b, 0):
+            for part in bounded(b, 0, SLICE_BYTES):
                 x = model.evidence(part.column(0))
                 yield pa.RecordBatch.from_arrays([*(pa.array(x[:, j]) for j in range(3)), part.column(1)], names=["a", "b", "c", "toxic"])
 
@@ -378,7 +382,7 @@ def toxicity_scores(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id",
     def run(it):
         m = held.value
         for b in it:
-            for part in bounded(b, 1):
+            for part in bounded(b, 1, SLICE_BYTES):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(m.score(m.evidence(part.column(1))))], names=["doc_id", "score"])
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -392,13 +396,11 @@ def keep_clean(docs: DataFrame, model: ToxicModel, text_col: str = "text") -> Da
     ship_package(spark)
     held = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
-
+    @F.arrow_udf("double")  # the texts stay in Arrow's buffers: a pandas one would hold each of a batch twice more
+    def score(texts: pa.Array) -> pa.Array:
         m = held.value
-        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
-        out = [m.score(m.evidence(part.column(0))) for part in bounded(batch, 0)]
-        return pd.Series(np.concatenate(out) if out else np.empty(0))
+        batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+        out = [m.score(m.evidence(part.column(0))) for part in bounded(batch, 0, SLICE_BYTES)]
+        return pa.array(np.concatenate(out) if out else np.empty(0))
 
     return docs.filter(score(F.col(text_col).cast("string")) < PREDICT)

@@ -4,8 +4,11 @@ import hashlib
 import math
 import os
 import random
+from types import SimpleNamespace
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -99,6 +102,38 @@ def test_labels_of_one_class_call_nothing_toxic(spark, label):
     assert toxicity.keep_clean(docs, model).count() == 61
 
 
+def test_toxicity_looks_at_little_text_at_once(spark, monkeypatch):
+    """4 MB of texts in one batch: what a call allocates in a worker, by tracemalloc."""
+
+    class Watched(toxicity.ToxicModel):
+        def evidence(self, col):
+            import tracemalloc
+
+            tracemalloc.start()
+            try:
+                out = super().evidence(col)
+                assert tracemalloc.get_traced_memory()[1] < 40 << 20
+                return out
+            finally:
+                tracemalloc.stop()
+
+    # a broadcast can't pickle a local class, a function's closure can
+    send = spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: send(value) if isinstance(value, bytes) else SimpleNamespace(value=value))
+    docs = spark.createDataFrame([(i, "then on rather winter market river under stone " * 50) for i in range(1800)], "doc_id long, text string").coalesce(1)
+    model = Watched(np.ones(64**3), np.arange(1, 9, dtype=np.uint64), np.ones(8), np.array([-1.0, 0, 0, 0]))
+    assert toxicity.keep_clean(docs, model).count() == 1800
+    assert toxicity.toxicity_scores(docs, model).agg({"score": "sum"}).first()[0] > 0
+
+
+def test_toxic_entries_do_not_depend_on_the_texts_beside():
+    texts = ["stop!", "there", "be", "e at", "a", "$", None, "x", "i.d", ".i.o", "t", "n", "4", "u"]
+    restorer = toxicity.Restorer(np.ones(64**3))
+    doc, h = toxicity.document_entries(pa.array(texts), restorer)
+    for i, text in enumerate(texts):
+        assert set(h[doc == i]) == set(toxicity.document_entries(pa.array([text], pa.string()), restorer)[1]), text
+
+
 def test_concentration_reaches_a_fixed_point(spark):
     """One more step from the estimate's best start does not lower the determinant (numpy, without bins)."""
     import numpy as np
