@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -30,6 +30,17 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return _write(df, scratch_path(df.sparkSession, name))
 
 
+def save_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """:func:`save`, and the number of rows, counted while they are written.
+
+    A count of its own is one or two jobs more, and each job costs the
+    driver a plan, broadcasts and threads however few rows there are.
+    """
+    seen = Observation()
+    out = save(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return out, seen.get["n"]
+
+
 class Scratch:
     """Tables of one run of an operator, deleted when it ends.
 
@@ -45,6 +56,12 @@ class Scratch:
         self.paths.append(path)
         return _write(df, path)
 
+    def save_counted(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """The table and its number of rows, counted while they are written."""
+        seen = Observation()
+        out = self.save(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+        return out, seen.get["n"]
+
     def __enter__(self) -> Scratch:
         return self
 
@@ -90,9 +107,9 @@ def window_hashes(hashes: Column, size: int) -> Column:
     return F.when(F.size(hashes) >= size, _let(hashes, lambda h: grow(1, {1: h})))
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only after counting that it has at most ``max_rows`` rows."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+def broadcast_if_small(df: DataFrame, max_rows: int, n: int | None = None) -> DataFrame:
+    """Broadcast ``df`` only if it has at most ``max_rows`` rows; it is counted unless its ``n`` rows are known."""
+    return F.broadcast(df) if (df.count() if n is None else n) <= max_rows else df
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, broadcast_if_small, free_name, save, window_hashes
+from .common import Scratch, broadcast_if_small, free_name, save, save_counted, window_hashes
 
 WINDOW = 8
 #: Tokens of view W's windows, of which a quarter at least are literal.
@@ -180,15 +180,21 @@ def contaminated(
 
 def _contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_id_col: str, item_text_col: str, keep: Scratch) -> DataFrame:
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    classes = keep.save(benchmark_classes(benchmark, item_id_col, item_text_col), "classes")
-    short = keep.save(_items(benchmark, item_id_col, item_text_col).filter(F.size("tokens") < LEAST_TOKENS), "short")
+    classes, n_classes = keep.save_counted(benchmark_classes(benchmark, item_id_col, item_text_col), "classes")
+    short, n_short = keep.save_counted(_items(benchmark, item_id_col, item_text_col).filter(F.size("tokens") < LEAST_TOKENS), "short")
     schema = "doc_id long, item_id long, n_items long, matched long, n_windows long, reparameterised boolean"
-    out = _long_found(src, classes, keep) if not classes.isEmpty() else docs.sparkSession.createDataFrame([], schema)
-    if short.isEmpty():
+    out = _long_found(src, classes, keep) if n_classes else docs.sparkSession.createDataFrame([], schema)
+    if not n_short:
         return out
     return out.unionByName(_short_found(src, short).selectExpr("doc_id", "item_id", "n_items", "1L AS matched", "1L AS n_windows", "false AS reparameterised"))
 
 
+def _bounded(df: DataFrame, name: str, keep: Scratch) -> tuple[DataFrame, int, int]:
+    """What broadcast_if_small takes of a table that is written, so that it is made once."""
+    out, n = keep.save_counted(df, name)
+    return out, MAX_BROADCAST, n
+
+
 def _long_found(src: DataFrame, classes: DataFrame, keep: Scratch) -> DataFrame:
     save = keep.save
     windows = save(benchmark_windows(classes), "all_windows")
@@ -204,7 +210,7 @@ def _long_found(src: DataFrame, classes: DataFrame, keep: Scratch) -> DataFrame:
 
     text_key = F.xxhash64("text")
     tokens = src.select("doc_id", text_key.alias("th"), template_tokens(F.col("text")).alias("tokens"))
-    sought = broadcast_if_small(windows.select("h").distinct(), MAX_BROADCAST)
+    sought = broadcast_if_small(*_bounded(windows.select("h").distinct(), "sought", keep))
     # a view's list only where it differs from the template's
     marks = lambda m: F.exists("tokens", lambda t: F.substring(t, 1, 1).isin(m))
     sizes = sorted({w for view, w in kinds if view != "W"})
@@ -237,7 +243,7 @@ def _long_found(src: DataFrame, classes: DataFrame, keep: Scratch) -> DataFrame:
     runs = save(runs.unionByName(rows.withColumn("long", F.lit(True))), "runs")
 
     # values of aligned placeholders of one type, over the tokens that the windows span
-    ids = broadcast_if_small(runs.select("doc_id", "th").distinct(), MAX_BROADCAST)
+    ids = broadcast_if_small(*_bounded(runs.select("doc_id", "th").distinct(), "ids", keep))
     texts = src.withColumn("th", text_key).alias("d").join(ids.alias("i"), [F.col("d.doc_id").eqNullSafe(F.col("i.doc_id")), F.col("d.th") == F.col("i.th")], "left_semi")
     texts = texts.select(F.col("doc_id").alias("did"), F.col("th").alias("dth"), template_tokens(F.col("text")).alias("dt")).dropDuplicates(["did", "dth"])
     texts = texts.withColumn("dt", F.transform("dt", lambda t: _view(t, "S")))
@@ -274,10 +280,10 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     an item, rows are judged by a 128-bit hash of their text instead.
     """
     found = contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("bad_id")).distinct()
-    found = save(found, "found")
+    found, n = save_counted(found, "found")
     if found.filter("bad_id IS NULL").isEmpty():
         own_id = free_name(docs, "bad_id")
-        return docs.join(broadcast_if_small(found.toDF(own_id), MAX_BROADCAST), F.col(id_col).cast("long") == F.col(own_id), "left_anti")
+        return docs.join(broadcast_if_small(found.toDF(own_id), MAX_BROADCAST, n), F.col(id_col).cast("long") == F.col(own_id), "left_anti")
     key = free_name(docs, "text_key")
     marked = docs.withColumn(key, F.struct(F.xxhash64(text_col).alias("x"), F.xxhash64(F.lit(1), F.col(text_col)).alias("y")))
     view = marked.select(F.col(key), F.col(text_col)).dropDuplicates([key])

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship_package
-from .common import Scratch, broadcast_if_small, free_name, save
+from .common import Scratch, broadcast_if_small, free_name, save, save_counted
 from .components import connected_components
 from .shingles import bounded, mix64, shingle_hashes, text_bytes, word_hashes
 
@@ -230,9 +230,9 @@ def verify_pairs(pairs: DataFrame, reps: DataFrame, docs: DataFrame, keep: Scrat
     that id is left out by its digest.
     """
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids = nodes.join(reps, "node").select("rep").distinct()
+    ids, n_ids = keep.save_counted(nodes.join(reps, "node").select("rep").distinct(), "ids")
     src = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
-    rows = src.join(broadcast_if_small(keep.save(ids, "ids"), MAX_BROADCAST_IDS), "rep", "left_semi").select("text")
+    rows = src.join(broadcast_if_small(ids, MAX_BROADCAST_IDS, n_ids), "rep", "left_semi").select("text")
     segs = keep.save(_segments(rows, k, seed), "segments").dropDuplicates(["node", "frag"])
     frags = F.explode(F.array(*(F.lit(i) for i in range(VERIFY_FRAGMENTS)))).alias("frag")
     both = (
@@ -254,19 +254,30 @@ def _may_link(x: str, y: str, num: int, den: int):
 
 
 def _peeled(rows: DataFrame, needs: DataFrame, other: Column, keep: Scratch) -> DataFrame:
-    """Rows of buckets (key, node, ...) that hold more than one ``other``, of nodes with as many of them as they need.
+    """Rows of buckets (key, node, ...) that hold more than one ``other``, of nodes with as many of them as they need."""
+    return _peel(rows, None, needs, other, keep)[0]
+
+
+def _peel(rows: DataFrame, n: int | None, needs: DataFrame, other: Column, keep: Scratch) -> tuple[DataFrame, int | None]:
+    """The rows that :func:`_peeled` leaves, and their number; n: the number of ``rows``, if known.
 
     A set shares at least need segment keys with each partner (need0 or need1
     by the key's scheme), so one with fewer open buckets has none; keys of
-    prefix n-grams need one.  Linear in the rows, round after round.
+    prefix n-grams need one.  Linear in the rows, round after round; a round
+    that takes no row is the last, as the next would do the same.
     """
     by_key, parity = Window.partitionBy("key"), F.col("key").bitwiseAND(3)
     for _ in range(PEELS):
         rows = rows.withColumn("lo", F.min(other).over(by_key)).withColumn("hi", F.max(other).over(by_key)).filter("lo <> hi").drop("lo", "hi")
         enough = rows.groupBy("node", parity.alias("p")).agg(F.count("*").alias("c")).join(needs, "node")
         enough = enough.filter((F.col("p") > 1) | (F.col("c") >= F.when(F.col("p") == 0, F.col("need0")).otherwise(F.col("need1"))))
-        rows = keep.save(rows.withColumn("p", parity).join(enough.select("node", "p"), ["node", "p"], "left_semi").drop("p"), "open")
-    return rows
+        if n == 0:
+            break
+        before = n
+        rows, n = keep.save_counted(rows.withColumn("p", parity).join(enough.select("node", "p"), ["node", "p"], "left_semi").drop("p"), "open")
+        if n == before:
+            break
+    return rows, n
 
 
 def set_components(docs: DataFrame, k: int, num: int, den: int, keep: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -291,8 +302,8 @@ def set_components(docs: DataFrame, k: int, num: int, den: int, keep: Scratch, i
     keys = segment_keys(docs, k, num, den, seed, text_col)
     by_key = Window.partitionBy("key")
     shared = keys.withColumn("c0", F.min("node").over(by_key)).withColumn("c1", F.max("node").over(by_key)).filter("c0 <> c1")
-    shared = keep.save(shared.select("key", "node").distinct(), "buckets")
-    buckets = _peeled(shared, needs, F.col("node"), keep)
+    shared, n = keep.save_counted(shared.select("key", "node").distinct(), "buckets")
+    buckets, n = _peel(shared, n, needs, F.col("node"), keep)
     # the member of a bucket that shares most segments is the likeliest to be near the others
     degree = buckets.groupBy("node").agg(F.count("*").alias("degree"))
     buckets = buckets.join(degree, "node")
@@ -309,32 +320,36 @@ def set_components(docs: DataFrame, k: int, num: int, den: int, keep: Scratch, i
         new = df.select(swap("node").alias("a"), other("node").alias("b"), swap("n").alias("na"), other("n").alias("nb")).filter("a <> b").distinct()
         if tested is not None:
             new = new.join(tested, ["a", "b"], "left_anti")
-        new = keep.save(new, "candidates")
-        if new.isEmpty():
+        new, n_new = keep.save_counted(new, "candidates")
+        if not n_new:
             return
         more = keep.save(verify_pairs(new, reps, docs, keep, k, num, den, seed, id_col, text_col), "links")
         tested = new.select("a", "b") if tested is None else tested.unionByName(new.select("a", "b"))
         tree = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b") if labels is not None else None
         labels = connected_components(more if tree is None else tree.unionByName(more), keep=keep)
 
-    def still_open(rows: DataFrame) -> DataFrame:
-        """Rows (key, node, degree, comp) of buckets that hold members of different components."""
+    def still_open(rows: DataFrame, n: int | None = None) -> tuple[DataFrame, int]:
+        """Rows (key, node, degree, comp) of buckets that hold members of different components, and their number."""
         if labels is not None:
             rows = rows.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
         else:
             rows = rows.withColumn("comp", F.col("node"))
-        return _peeled(rows, needs, F.col("comp"), keep)
+        return _peel(rows, n, needs, F.col("comp"), keep)
 
-    for _ in range(STAR_ROUNDS):
-        rows = still_open(buckets).withColumn("top", F.max(F.struct("degree", "node", "comp")).over(by_key))
-        rows = keep.save(rows, "stars")
+    for i in range(STAR_ROUNDS):
+        rows, n = still_open(buckets, None if i else n)
+        if not n:  # no bucket holds members of different components
+            break
+        rows = keep.save(rows.withColumn("top", F.max(F.struct("degree", "node", "comp")).over(by_key)), "stars")
         star = rows.filter("comp <> top.comp").select(F.col("node").alias("xnode"), F.col("top.node").alias("ynode")).distinct()
         checked(star.join(side("x"), "xnode").join(side("y"), "ynode").filter(_may_link("x", "y", num, den)))
         buckets = rows.filter("node <> top.node").select("key", "node", "degree")  # the top's pairs are all done
-    # what is left: members of different components that share a segment
-    rows = still_open(buckets).select("key", "comp", "node").join(own, "node")
-    pre = lambda p: rows.toDF(*(f"{p}{c}" for c in rows.columns))
-    checked(pre("x").join(pre("y"), (F.col("xkey") == F.col("ykey")) & (F.col("xcomp") < F.col("ycomp")) & _may_link("x", "y", num, den)))
+    else:  # what is left: members of different components that share a segment
+        rows, n = still_open(buckets)
+        rows = rows.select("key", "comp", "node").join(own, "node")
+        pre = lambda p: rows.toDF(*(f"{p}{c}" for c in rows.columns))
+        if n:
+            checked(pre("x").join(pre("y"), (F.col("xkey") == F.col("ykey")) & (F.col("xcomp") < F.col("ycomp")) & _may_link("x", "y", num, den)))
     if labels is None:
         labels = docs.sparkSession.createDataFrame([], "node long, component long")
 
@@ -378,16 +393,15 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col:
     with Scratch(docs.sparkSession) as keep:
         groups = keep.save(set_components(docs, k, num, den, keep, id_col, text_col).filter("doc_id IS NOT NULL AND n_shingles > 0"), "groups")
         copies = groups.filter("doc_id <> component_id").select("doc_id", "h")
-        repeated = keep.save(groups.filter("doc_id = component_id").groupBy("component", "doc_id").agg(F.count("*").alias("c"), F.min("h").alias("first")).filter("c > 1"), "repeated")
-        again = not repeated.isEmpty()
+        repeated, again = keep.save_counted(groups.filter("doc_id = component_id").groupBy("component", "doc_id").agg(F.count("*").alias("c"), F.min("h").alias("first")).filter("c > 1"), "repeated")
         if again:
             more = groups.join(repeated, ["component", "doc_id"]).filter("h <> first").select("doc_id", "h")
             copies = copies.unionByName(more)
-        copies = save(copies.distinct().toDF(gone, which), "copies")
+        copies, n = save_counted(copies.distinct().toDF(gone, which), "copies")
         firsts = save(repeated.select(F.col("doc_id").alias(gone), F.col("first").alias(which)), "firsts") if again else None
-    out = docs.join(broadcast_if_small(copies, MAX_BROADCAST_IDS), (ident == F.col(gone)) & (text == F.col(which)), "left_anti")
+    out = docs.join(broadcast_if_small(copies, MAX_BROADCAST_IDS, n), (ident == F.col(gone)) & (text == F.col(which)), "left_anti")
     if firsts is not None:  # rows of one id and text: number those only
-        out = out.join(broadcast_if_small(firsts.withColumn(nth, F.lit(True)), MAX_BROADCAST_IDS), (ident == F.col(gone)) & (text == F.col(which)), "left").drop(gone, which)
+        out = out.join(broadcast_if_small(firsts.withColumn(nth, F.lit(True)), MAX_BROADCAST_IDS, again), (ident == F.col(gone)) & (text == F.col(which)), "left").drop(gone, which)
         alone = out.filter(F.col(nth).isNull()).drop(nth)
         rest = out.filter(F.col(nth)).withColumn(nth, F.row_number().over(Window.partitionBy(id_col, text_col).orderBy(id_col)))
         out = alone.unionByName(rest.filter(F.col(nth) == 1).drop(nth))

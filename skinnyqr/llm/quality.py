@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch, broadcast_if_small, free_name, save, window_hashes, words_of
+from .common import SPACE, Scratch, broadcast_if_small, free_name, save, save_counted, window_hashes, words_of
 
 SYMBOLS = "#*$%&|<>"
 STATS = ("f1", "f2", "f3", "f4", "f5")
@@ -240,5 +240,5 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     own = [F.col(c) for c in (text_col, lang_col, source_col)]
     marked = docs.withColumn(key, F.struct(F.xxhash64(*own).alias("x"), F.xxhash64(F.lit(1), *reversed(own)).alias("y")))
     view = marked.select(F.col(key).alias("doc_id"), own[0].alias("text"), own[1].alias("lang"), own[2].alias("source"))
-    bad = save(quality_table(view).filter("NOT kept").select(F.col("doc_id").alias(key)).distinct(), "rejected")
-    return marked.join(broadcast_if_small(bad, MAX_BROADCAST), key, "left_anti").drop(key)
+    bad, n = save_counted(quality_table(view).filter("NOT kept").select(F.col("doc_id").alias(key)).distinct(), "rejected")
+    return marked.join(broadcast_if_small(bad, MAX_BROADCAST, n), key, "left_anti").drop(key)

@@ -122,3 +122,30 @@ def test_passages_make_no_pairs(docs, spark):
         left = {r.node for r in rows.select("node").distinct().collect()}
         passage = {r.d1 for r in sets.filter("doc_id >= 400 AND doc_id < 440").collect()}
     assert len(left & passage) < 8 < len(passage)
+
+
+def test_rounds_that_change_nothing_are_left_out(spark, monkeypatch):
+    """Each written table costs the driver plans, broadcasts and threads, however few rows it has."""
+    names, write = [], jaccard.Scratch.save
+    monkeypatch.setattr(jaccard.Scratch, "save", lambda self, df, name: names.append(name) or write(self, df, name))
+    rnd = random.Random(3)
+    text = lambda: " ".join("w%d" % rnd.randrange(10**6) for _ in range(80))
+    alone = [(i, text()) for i in range(30)]  # nothing is shared
+    got = jaccard.keep_one(spark.createDataFrame(alone, "doc_id long, text string"), 5, 80, 100)
+    assert sorted(r[0] for r in got.collect()) == list(range(30))
+    assert names.count("open") == 0 and "stars" not in names and "candidates" not in names
+    names.clear()
+    near = alone + [(100, alone[4][1] + " end"), (101, alone[9][1] + " end")]  # two pairs: done after the first star round
+    got = jaccard.keep_one(spark.createDataFrame(near, "doc_id long, text string"), 5, 80, 100)
+    assert sorted(r[0] for r in got.collect()) == list(range(30))
+    assert names.count("stars") == 1 and names.count("candidates") == 1
+
+
+def test_saved_tables_are_counted_while_written(spark):
+    from skinnyqr.llm.common import save_counted
+
+    for n in (0, 7):
+        df, seen = save_counted(spark.range(n).repartition(3), "counted")
+        assert seen == n == df.count()
+    df, seen = save_counted(spark.range(9).filter("id < 0").groupBy("id").count(), "counted")
+    assert seen == 0 == df.count()
