@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, broadcast_if_small, free_name, save, save_counted, window_hashes
+from .common import Scratch, broadcast_if_small, free_name, save, save_counted
 
 WINDOW = 8
 #: Tokens of view W's windows, of which a quarter at least are literal.
@@ -53,6 +53,32 @@ FUNCTION_WORDS = (
 APART = r"[\u0e00-\x{10ffff}&&[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]]"
 
 
+#: White space as single characters, which make one bit set; a range or ``\\s`` would be one more test for every character.
+BLANKS = r" \t\n\x0B\f\r\u00a0"
+#: Letters that no name and no start can follow at once, in the same bit set: they need no look at their Unicode category.
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _marked(text: Column) -> Column:
+    """The lower-cased text with a placeholder in front of numbers, names, units and starts."""
+    raw = F.coalesce(text, F.lit(""))
+    marked = raw.contains(NUMBER) | raw.contains(NAME) | raw.contains(UNIT) | raw.contains(START)
+    t = F.when(marked, F.translate(raw, NUMBER + NAME + UNIT + START, "    ")).otherwise(raw)
+    # a start may be the first character, but not stand behind blanks only; with a stop in front no pattern has to ask for the place
+    t = F.when(F.substring(t, 1, 1).rlike(f"[{BLANKS}]"), t).otherwise(F.concat(F.lit("."), t))
+    t = F.regexp_replace(t, rf"[{BLANKS}](?<=[\p{{Ll}},;][{BLANKS}])[{BLANKS}]*+(?=\p{{Lu}})", f" {NAME}")
+    t = F.regexp_replace(t, rf"[^{LETTERS}{BLANKS},;{NAME}\p{{L}}\p{{N}}][{BLANKS}]*+(?=\p{{Lu}})(?!(?:{'|'.join(FUNCTION_WORDS)})(?![\p{{L}}\p{{N}}]))", f"$0{START}")
+    t = F.lower(t)
+    t = F.when(t.rlike(APART), F.regexp_replace(t, f"({APART})", " $1 ")).otherwise(t)
+    number = F.regexp_replace(t, r"(^|[^\p{L}\p{N}])([0-9])", f"$1{NUMBER}$2")
+    number = F.regexp_replace(number, rf"({NUMBER}[0-9.,]+[{BLANKS}]+)({'|'.join(UNITS)})([^\p{{L}}\p{{N}}]|$)", f"$1{UNIT}$2$3")
+    return F.when(raw.rlike("[0-9]"), number).otherwise(t)
+
+
+def _tokens_of(marked: Column) -> Column:
+    return F.array_remove(F.split(marked, rf"[^\p{{L}}\p{{N}}{NUMBER}-{START}]+"), "")
+
+
 def template_tokens(text: Column) -> Column:
     """array<string> of lower-cased tokens; numbers, names, units and starts carry their placeholder as first character.
 
@@ -62,18 +88,7 @@ def template_tokens(text: Column) -> Column:
     starts with a digit; a unit is a unit word after a number.  A character
     of a script without blanks is a token.
     """
-    raw = F.coalesce(text, F.lit(""))
-    marked = raw.contains(NUMBER) | raw.contains(NAME) | raw.contains(UNIT) | raw.contains(START)
-    t = F.when(marked, F.translate(raw, NUMBER + NAME + UNIT + START, "    ")).otherwise(raw)
-    t = F.regexp_replace(t, r"[\s\u00a0]{2,}|[\t-\r\u00a0]", " ")
-    t = F.regexp_replace(t, r" (?<=[\p{Ll},;] )(?=\p{Lu})", f" {NAME}")
-    t = F.regexp_replace(t, rf"(^|[^\p{{L}}\p{{N}},; {NAME}] ?)(?=\p{{Lu}})(?!(?:{'|'.join(FUNCTION_WORDS)})(?![\p{{L}}\p{{N}}]))", f"$1{START}")
-    t = F.lower(t)
-    t = F.when(t.rlike(APART), F.regexp_replace(t, f"({APART})", " $1 ")).otherwise(t)
-    number = F.regexp_replace(t, r"(^|[^\p{L}\p{N}])([0-9])", f"$1{NUMBER}$2")
-    number = F.regexp_replace(number, rf"({NUMBER}[0-9.,]+ )({'|'.join(UNITS)})([^\p{{L}}\p{{N}}]|$)", f"$1{UNIT}$2$3")
-    t = F.when(raw.rlike("[0-9]"), number).otherwise(t)
-    return F.array_remove(F.split(t, rf"[^\p{{L}}\p{{N}}{NUMBER}-{START}]+"), "")
+    return _tokens_of(_marked(text))
 
 
 def _is_slot(t: Column) -> Column:
@@ -99,6 +114,15 @@ def _canonical(tokens, view: str) -> Column:
     return F.transform(tokens, one)
 
 
+def _window_hash(canon: Column, place: Column, size: int) -> Column:
+    """Hash of the ``size`` elements from ``place`` on.
+
+    For rows of exploded places, where it is compiled; the array functions,
+    which need no explode, are interpreted and cost some ten times as much.
+    """
+    return F.xxhash64(F.lit(size), *[F.get(canon, place + j if j else place) for j in range(size)])
+
+
 def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), template_tokens(F.col(text_col).cast("string")).alias("tokens"))
     return items.filter((F.size("tokens") > 0) & F.col("item_id").isNotNull())
@@ -132,7 +156,8 @@ def benchmark_windows(classes: DataFrame) -> DataFrame:
         def windows(view, of, w=size, one=one):
             src = one.filter("var = cls") if of in "TSW" else one
             src = src.select("cls", "var", "tokens", _canonical(F.col("tokens"), view).alias("canon"))
-            src = src.select("cls", "var", "tokens", F.posexplode_outer(window_hashes(F.col("canon"), w)).alias("q", "h")).filter("h IS NOT NULL")
+            src = src.select("cls", "var", "tokens", "canon", F.posexplode_outer("canon").alias("q", "first")).filter(F.col("q") + w <= F.size("canon"))
+            src = src.withColumn("h", _window_hash(F.col("canon"), F.col("q"), w))
             return src.select("cls", "var", "tokens", F.lit(of).alias("view"), F.lit(w).alias("w"), "q", "h", _slots({"T": "T", "S": "T", "L": "L", "V": "L"}[view], w).alias("slots"))  # a start counts as a literal
 
         t, s, lit, val = windows("T", "T"), windows("S", "S"), windows("L", "L"), windows("V", "X")
@@ -151,6 +176,31 @@ def benchmark_windows(classes: DataFrame) -> DataFrame:
     return out
 
 
+def document_windows(src: DataFrame, kinds: set[tuple[str, int]]) -> DataFrame:
+    """(doc_id, th, p, h): the windows from place p on of each text (doc_id, text), for the benchmark's (view, w); th is the text's hash.
+
+    A view's windows are made only for texts that it reads otherwise than the template.
+    """
+    marked = src.select("doc_id", F.xxhash64("text").alias("th"), _marked(F.col("text")).alias("m"))
+    marks = {"S": START, "L": NAME, "V": NUMBER}
+    tokens = marked.select("doc_id", "th", _tokens_of(F.col("m")).alias("tokens"), *[F.col("m").contains(m).alias(f"has{v}") for v, m in marks.items()])
+    sizes = sorted({w for view, w in kinds if view != "W"})
+    heavy = F.size(F.filter("tokens", lambda t: F.substring(t, 1, 1) == NUMBER)) * 4 > sizes[0]  # half of a window are numbers and their units
+    needs = {"T": F.lit(True), "S": F.col("hasS"), "L": F.col("hasL"), "V": F.col("hasV") & heavy}
+    views = [v for v in "TSLV" if v != "V" or any(k == "X" for k, _ in kinds)]
+    canon = tokens.select("doc_id", "th", *[F.when(needs[v], _canonical(F.col("tokens"), v)).alias(f"c{v}") for v in views])
+    lists = [(v, w) for v in views for w in sizes] + [("T", WIDE)] * (("W", WIDE) in kinds)
+    # outer: a filter on the lists, pushed below the projections, would compute them again for every reference
+    lists = F.explode_outer(F.array(*[F.struct(F.col(f"c{v}").alias("c"), F.lit(w).alias("w")) for v, w in lists])).alias("list")
+    places = canon.select("doc_id", "th", lists).select("doc_id", "th", F.col("list.c").alias("c"), F.col("list.w").alias("w"))
+    places = places.select("doc_id", "th", "c", "w", F.posexplode_outer("c").alias("p", "first")).filter(F.col("p") + F.col("w") <= F.size("c"))
+    h = None
+    for w in {w for _, w in kinds}:
+        one = _window_hash(F.col("c"), F.col("p"), w)
+        h = one if h is None else F.when(F.col("w") == w, one).otherwise(h)
+    return places.select("doc_id", "th", "p", h.alias("h"))
+
+
 def _short_found(src: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_items) of items under LEAST_TOKENS tokens that are a whole sentence or line."""
     literal = lambda df: F.concat_ws(" ", F.transform("tokens", lambda t: _view(t, "V")))
@@ -208,27 +258,9 @@ def _long_found(src: DataFrame, classes: DataFrame, keep: Scratch) -> DataFrame:
     windows = windows.selectExpr("cls", "var", "view", "w", "q", "h", "n_windows", f"place <= n_windows - ceil({COVER} * n_windows) + 1 OR {rarest} AS rare")
     windows = save(windows, "windows")
 
-    text_key = F.xxhash64("text")
-    tokens = src.select("doc_id", text_key.alias("th"), template_tokens(F.col("text")).alias("tokens"))
     sought = broadcast_if_small(*_bounded(windows.select("h").distinct(), "sought", keep))
-    # a view's list only where it differs from the template's
-    marks = lambda m: F.exists("tokens", lambda t: F.substring(t, 1, 1).isin(m))
-    sizes = sorted({w for view, w in kinds if view != "W"})
-    needs = {"T": F.lit(True), "S": marks([START]), "L": marks([NAME]), "V": F.size(F.filter("tokens", lambda t: F.substring(t, 1, 1) == NUMBER)) * 4 > sizes[0]}  # half of a window are numbers and their units
-    views = [v for v in "TSLV" if v != "V" or any(k == "X" for k, _ in kinds)]
-    canon = tokens.select("doc_id", "th", F.size("tokens").alias("n"), *[F.when(needs[v], _canonical(F.col("tokens"), v)).alias(f"c{v}") for v in views])
-    lists = [(v, w) for v in views for w in sizes] + [("T", WIDE)] * (("W", WIDE) in kinds)
-    # null for each list that is not needed
-    hashes = canon.select("doc_id", "th", *[F.coalesce(window_hashes(F.col(f"c{v}"), w), F.array().cast("array<bigint>")).alias(f"h{i}") for i, (v, w) in enumerate(lists)])
-    hashes = hashes.select("doc_id", "th", F.concat(*[f"h{i}" for i in range(len(lists))]).alias("hs"), *[F.size(f"h{i}").alias(f"n{i}") for i in range(len(lists))])
-    # outer: a filter on the lists, pushed below the projections, would compute them again for every reference
-    hits = hashes.select("doc_id", "th", *[f"n{i}" for i in range(len(lists))], F.posexplode_outer("hs").alias("at", "h")).join(sought, "h")
-    # places in the concatenation of the lists: take off the lists before
-    place, before = F.col("at"), F.lit(0)
-    for i in range(len(lists) - 1):
-        before = before + F.col(f"n{i}")
-        place = F.when(F.col("at") >= before, F.col("at") - before).otherwise(place)
-    hits = save(hits.select("doc_id", "th", place.alias("p"), "h").distinct(), "hits")
+    hits = document_windows(src, kinds).join(sought, "h").select("doc_id", "th", "p", "h")
+    hits = save(hits.distinct(), "hits")
 
     cand = hits.join(windows.filter("rare").select("var", "view", "h"), "h").select("doc_id", "th", "var", "view").distinct()
     same = [F.col("hits.doc_id").eqNullSafe(F.col("cand.doc_id")), F.col("hits.th") == F.col("cand.th")]
@@ -244,7 +276,7 @@ def _long_found(src: DataFrame, classes: DataFrame, keep: Scratch) -> DataFrame:
 
     # values of aligned placeholders of one type, over the tokens that the windows span
     ids = broadcast_if_small(*_bounded(runs.select("doc_id", "th").distinct(), "ids", keep))
-    texts = src.withColumn("th", text_key).alias("d").join(ids.alias("i"), [F.col("d.doc_id").eqNullSafe(F.col("i.doc_id")), F.col("d.th") == F.col("i.th")], "left_semi")
+    texts = src.withColumn("th", F.xxhash64("text")).alias("d").join(ids.alias("i"), [F.col("d.doc_id").eqNullSafe(F.col("i.doc_id")), F.col("d.th") == F.col("i.th")], "left_semi")
     texts = texts.select(F.col("doc_id").alias("did"), F.col("th").alias("dth"), template_tokens(F.col("text")).alias("dt")).dropDuplicates(["did", "dth"])
     texts = texts.withColumn("dt", F.transform("dt", lambda t: _view(t, "S")))
     held = runs.join(texts, [F.col("doc_id").eqNullSafe(F.col("did")), F.col("th") == F.col("dth")]).join(classes.select("var", F.col("tokens").alias("ct")), "var")

@@ -368,3 +368,53 @@ def test_characters_apart_are_those_of_scripts_without_blanks(spark):
     assert found["n"] > 90_000 and found["wrong"] == 0
     tokens = spark.createDataFrame([("Übung 東京は2 กข ລາວ x",)], "t string").select(decontam.template_tokens(F.col("t"))).first()[0]
     assert [x.lstrip("\u0001\u0002\u0003\u0004") for x in tokens] == ["übung", "東", "京", "は", "2", "ก", "ข", "ລ", "າ", "ວ", "x"]
+
+
+def test_template_tokens_as_rule_by_rule(spark):
+    """The patterns that read white space as it is mark what those that even it out first did."""
+    mark = {n: getattr(decontam, n) for n in ("NUMBER", "NAME", "UNIT", "START")}
+    parts = ["a", "The", "Marie", " ", "  ", "\n", "\t", "\u00a0", "\x0b", "\x85", "\u2003", ".", ",", ";", "!", *mark.values(), "12", "3.5", "kg", " kg", "5 kg", "5\n\tkg", "é", "É"]
+    parts += ["Σ", "ΑΣ", "😀", "東", "ไ", "İ", "ß", "Ⅷ", "-", "'", "A ", "in", "IN", "\u0301", "²", "X", "$", "\\"]
+    rnd = random.Random(11)
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14))) for _ in range(20000)]
+    t = F.regexp_replace(F.translate("t", "".join(mark.values()), "    "), r"[\s\u00a0]{2,}|[\t-\r\u00a0]", " ")
+    t = F.regexp_replace(t, r" (?<=[\p{Ll},;] )(?=\p{Lu})", f" {mark['NAME']}")
+    words = "|".join(decontam.FUNCTION_WORDS)
+    t = F.lower(F.regexp_replace(t, rf"(^|[^\p{{L}}\p{{N}},; {mark['NAME']}] ?)(?=\p{{Lu}})(?!(?:{words})(?![\p{{L}}\p{{N}}]))", f"$1{mark['START']}"))
+    t = F.regexp_replace(F.regexp_replace(t, f"({decontam.APART})", " $1 "), r"(^|[^\p{L}\p{N}])([0-9])", f"$1{mark['NUMBER']}$2")
+    t = F.regexp_replace(t, rf"({mark['NUMBER']}[0-9.,]+ )({'|'.join(decontam.UNITS)})([^\p{{L}}\p{{N}}]|$)", f"$1{mark['UNIT']}$2$3")
+    want = F.array_remove(F.split(t, rf"[^\p{{L}}\p{{N}}{mark['NUMBER']}-{mark['START']}]+"), "")
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select("t", decontam.template_tokens(F.col("t")).alias("got"), want.alias("want"))
+    assert [r for r in rows.collect() if r.got != r.want] == []
+    # one word that starts with a capital beyond U+FFFF: no start inside it
+    first = spark.createDataFrame([("\U00010400X and",)], "t string").select(decontam.template_tokens(F.col("t"))).first()[0]
+    assert first == [mark["START"] + "\U00010428x", "and"]
+
+
+def test_windows_of_documents(spark):
+    """Each view's windows against plain slices; no array function makes them, since those are interpreted."""
+    rnd = random.Random(12)
+    parts = ["so", "it", "was", "at", "Lyon", "Marie", "12", "7 kg", "30", ".", ",", "The", "Then", "red"]
+    docs = [(i, " ".join(rnd.choice(parts) for _ in range(rnd.randint(0, 60)))) for i in range(60)] + [(60, None), (61, ""), (62, "so it was red " * 8), (63, "12 30 7 9 " * 8)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    kinds = {("T", 8), ("S", 8), ("L", 8), ("X", 8), ("T", 5), ("W", decontam.WIDE)}
+    number, name, unit, start = decontam.NUMBER, decontam.NAME, decontam.UNIT, decontam.START
+    plain = {"T": start, "S": "", "L": start + name, "V": start + name + number + unit}  # read as literals
+    want = set()
+    for r in df.select("doc_id", decontam.template_tokens(F.col("text")).alias("x")).collect():
+        marks = [t[0] for t in r.x if t[0] in number + name + unit + start]
+        views = "T" + "S" * (start in marks) + "L" * (name in marks) + "V" * (marks.count(number) * 4 > 5)
+        for view in views:
+            read = [t[1:] if t[0] in plain[view] else name if t[0] == start else t[0] if t[0] in number + name + unit else t for t in r.x]
+            for w in (5, 8) + (decontam.WIDE,) * (view == "T"):
+                want |= {(r.doc_id, p, (w, *read[p : p + w])) for p in range(len(read) - w + 1)}
+    got = decontam.document_windows(df, kinds)
+    held = collections.defaultdict(set)
+    for r in got.collect():
+        held[r.h].add((r.doc_id, r.p))
+    windows = collections.defaultdict(set)
+    for doc, p, key in want:
+        windows[key].add((doc, p))
+    assert len(held) == len(windows) and sorted(map(sorted, held.values())) == sorted(map(sorted, windows.values()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "xxhash64(8" in plan and "zip_with" not in plan and "slice(" not in plan
