@@ -118,7 +118,7 @@ def _window_hash(canon: Column, place: Column, size: int) -> Column:
     """Hash of the ``size`` elements from ``place`` on.
 
     For rows of exploded places, where it is compiled; the array functions,
-    which need no explode, are interpreted and cost some ten times as much.
+    which need no explode, are interpreted.
     """
     return F.xxhash64(F.lit(size), *[F.get(canon, place + j if j else place) for j in range(size)])
 
