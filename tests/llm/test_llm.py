@@ -1,5 +1,6 @@
 """Training-data operators against brute force, on small tables with nulls, empties, ties, repeats and extra columns."""
 
+import bisect
 import collections
 import hashlib
 import itertools
@@ -171,6 +172,67 @@ def test_sharding_is_minimax(spark):
     assert max(shards.values()) <= best
 
 
+def _greedy_cuts(groups, shards):
+    """(smallest capacity, places in the order at which shards 1.. begin) over all single groups."""
+    sizes = [s for _, s in sorted(groups)]
+    ends = [0, *itertools.accumulate(sizes)]
+    total, n = ends[-1], len(sizes)
+
+    def fits(cap, left, at=0):
+        while at < n and left:
+            at, left = bisect.bisect_right(ends, ends[at] + cap) - 1, left - 1
+        return at == n
+
+    low, high = max(sizes), total
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if fits(mid, shards) else (mid + 1, high)
+    at, out = 0, []
+    for left in range(shards, 1, -1):
+        most = bisect.bisect_right(ends, ends[at] + low) - 1
+        at = min(bisect.bisect_left(ends, ends[at] - (ends[at] - total) // left), most)
+        while not fits(low, left - 1, at):
+            at += 1
+        out.append(at)
+    return low, out
+
+
+@pytest.mark.parametrize("giants", [(), (0.02, 0.02), (0.3,), (40,)])
+def test_sharding_sends_few_sums_to_the_driver(spark, monkeypatch, giants):
+    made = spark.range(40_000).selectExpr("md5(cast(id AS string)) AS key", "1 + id * 7919 % 5000 AS size").toPandas()
+    groups = list(zip(made["key"].tolist(), made["size"].tolist()))
+    for i, share in enumerate(giants):
+        groups[1000 * i] = (groups[1000 * i][0], int(share * 1e8))
+    inner, sent = sharding._ranges, []
+    monkeypatch.setattr(sharding, "_ranges", lambda *a: (sent.append(out := inner(*a)), out)[1])
+    capacity, cuts = sharding.minimax_cuts(spark.createDataFrame(groups, "key string, size long"), 8)
+    keys = sorted(k for k, _ in groups)
+    assert (capacity, [bisect.bisect_left(keys, c) for c in cuts]) == _greedy_cuts(groups, 8)
+    assert sum(map(len, sent)) < 10_000  # ranges split all along the order would be 40,000
+
+
+def test_sharding_cuts_are_those_of_single_groups():
+    rnd = random.Random(11)
+    sizes = [lambda: 1, lambda: rnd.randint(1, 5), lambda: rnd.randint(1, 10**6), lambda: min(int(rnd.paretovariate(0.5)), 10**14), lambda: 10**9 if rnd.random() < 0.01 else rnd.randint(1, 999)]
+    for trial in range(300):
+        lead, size, shards = rnd.choice(["", "", "abc", "abc01"]), rnd.choice(sizes), rnd.choice([1, 2, 3, 8, 8, 20])
+        groups = [((lead + hashlib.md5(f"{trial} {i}".encode()).hexdigest())[:32], size()) for i in range(rnd.choice([1, 2, 3, 10, 100, 600]))]
+
+        def ask(prefixes, groups=groups):
+            by = collections.defaultdict(list)
+            for k, s in groups:
+                if prefixes is None:
+                    by[k[: sharding.FIRST_DIGITS]].append((k, s))
+                for p in prefixes or ():
+                    if k.startswith(p):
+                        by[k[: len(p) + sharding.MORE_DIGITS]].append((k, s))
+            return [sharding.Range(g[0][0] if len(g) == 1 else p, sum(s for _, s in g), max(s for _, s in g), len(g)) for p, g in by.items()]
+
+        capacity, cuts = sharding.find_cuts(ask, shards)
+        keys = sorted(k for k, _ in groups)
+        assert (capacity, [bisect.bisect_left(keys, c) for c in cuts]) == _greedy_cuts(groups, shards)
+
+
 def test_url_rules(spark):
     rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("a.example.net", "/en/x", "block"), ("net", "/", "block")]
     urls = [None, "", "no scheme", "HTTP://A.Example.NET/en/x?q", "http://example.net", "http://b.net#f", "https://xnet/", "ftp://example.net/EN/", "http://q://net/"]
